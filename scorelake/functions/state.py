@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staging_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    For inputs that several passes read: an expensive plan runs once and later
+    passes still prune columns and push filters into the scan.
+    """
+    path = staging_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_STATE_ROWS) -> DataFrame:
     """Compute ``df`` once and mark it for broadcast only when it is small.
 

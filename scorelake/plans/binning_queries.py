@@ -79,8 +79,9 @@ _BIN_COLUMNS = """variable, kind, bin_id, CAST(bin_order AS INT) AS bin_order,
  row_count, good_count, bad_count"""
 
 
-def fitted_bins(spark, sf_dir, columns=None):
-    return binning.fit_bins(development(spark, sf_dir), TARGET, PARAMS, columns or FEATURES)
+def fitted_bins(spark, sf_dir, columns=None, dev=None):
+    sample = dev if dev is not None else development(spark, sf_dir)
+    return binning.fit_bins(sample, TARGET, PARAMS, columns or FEATURES)
 
 
 def _shown(bins):
@@ -107,8 +108,9 @@ def bins_all(spark, sf_dir):
 
 
 def fitted_cells(spark, sf_dir, columns=None, params=woe.WoeParams()):
-    bins = fitted_bins(spark, sf_dir, columns)
-    return bins, woe.woe_cells(development(spark, sf_dir), bins, TARGET, params)
+    dev = development(spark, sf_dir)
+    bins = fitted_bins(spark, sf_dir, columns, dev)
+    return bins, woe.woe_cells(dev, bins, TARGET, params)
 
 
 @query(

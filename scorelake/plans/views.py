@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
 
 TARGET = TargetSpec("outcome", good=("good",), bad=("bad",), indeterminate=("unknown",))
@@ -85,5 +86,5 @@ def known(df: DataFrame) -> DataFrame:
 
 
 def development(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows with a declared outcome."""
-    return known(scored(spark, sf_dir)).filter("role = 'train'")
+    """Training rows with a declared outcome, staged because fits read them several times."""
+    return stage(known(scored(spark, sf_dir)).filter("role = 'train'"))
