@@ -35,11 +35,16 @@ LEAKAGE_NAMES = (
     "collection", "recovery", "loss", "outcome", "performance", "post_",
 )
 
-# Date formats a string column is tried against (first 19 characters).
+# Date formats a string column is tried against (first 19
+# characters), each with the shape that is worth parsing.
 DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-    "dd/MM/yyyy", "MM/dd/yyyy", "yyyyMMdd",
-)
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+)
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -230,7 +235,9 @@ def string_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
     def parses(value: Column) -> Column:
         head = F.substring(value, 1, 19)
-        return F.coalesce(*[F.try_to_timestamp(head, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+        return F.coalesce(
+            *[F.when(head.rlike(shape), F.try_to_timestamp(head, F.lit(f))) for f, shape in DATE_FORMATS]
+        ).isNotNull()
 
     return _share_matching(df, _string_columns(df, columns), parses, DATE_LIKE_RATIO, "DATE_LIKE_STRING")
 
