@@ -64,3 +64,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         same = col(k).eqNullSafe(col(f"_right_{k}"))
         condition = same if i == 0 else condition & same
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def sql_number(value: float) -> str:
+    """A double literal of Spark SQL; long expressions are built as text and parsed once."""
+    value = float(value)
+    if value != value or value in (float("inf"), float("-inf")):
+        return f"double('{value}')"
+    return f"{value!r}D"
+
+
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_position(value: str, breaks: Sequence[float], left_closed: bool = False) -> str:
+    """CASE giving the 0-based interval of ``value`` among ascending breaks."""
+    if not breaks:
+        return "0"
+    op = "<" if left_closed else "<="
+    whens = " ".join(f"WHEN {value} {op} {sql_number(b)} THEN {i}" for i, b in enumerate(breaks))
+    return f"CASE {whens} ELSE {len(breaks)} END"

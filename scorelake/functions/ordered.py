@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, null_safe_join, unpivot_values
+from scorelake.functions.columns import col, null_safe_join, sql_number, unpivot_values
 from scorelake.functions.state import materialise, small_side
 
 SKETCH_ACCURACY = 10_000
@@ -210,17 +210,14 @@ def _order_statistics(
         first.alias("first_index"),
         (first + F.col("cnt") - 1).alias("last_index"),
     )
-    position = lambda p: (F.col("n") - 1).cast("double") * p
+    listed = "array(" + ", ".join(sql_number(p) for p in probs) + ")"
+    position = "cast(n - 1 AS double) * p"
     wanted = sketch.select(
         *[col(k) for k in keys],
-        F.transform(
-            F.array(*[F.lit(p) for p in probs]),
-            lambda p: F.struct(
-                p.alias("p"),
-                F.floor(position(p)).alias("low_index"),
-                F.ceil(position(p)).alias("high_index"),
-            ),
-        ).alias("wanted"),
+        F.expr(
+            f"transform({listed}, p -> struct(p AS p, floor({position}) AS low_index,"
+            f" ceil({position}) AS high_index)) AS wanted"
+        ),
     )
     touched = F.expr(
         "filter(wanted, w -> w.low_index BETWEEN first_index AND last_index"
@@ -229,20 +226,19 @@ def _order_statistics(
     hits = null_safe_join(valued, wanted, keys).select(
         *[col(k) for k in keys], "value", "first_index", "last_index", F.inline(touched)
     )
-    low = F.when(F.col("low_index").between(F.col("first_index"), F.col("last_index")), F.col("value"))
-    high = F.when(F.col("high_index").between(F.col("first_index"), F.col("last_index")), F.col("value"))
-    found = hits.groupBy(*keys, "p").agg(F.max(low).alias("lo"), F.max(high).alias("hi"))
-    targets = sketch.select(
-        *[col(k) for k in keys], "n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
+    within_row = "BETWEEN first_index AND last_index THEN value END"
+    found = hits.groupBy(*keys, "p").agg(
+        F.expr(f"max(CASE WHEN low_index {within_row}) AS lo"),
+        F.expr(f"max(CASE WHEN high_index {within_row}) AS hi"),
     )
-    fraction = position(F.col("p")) - F.floor(position(F.col("p")))
+    targets = sketch.select(*[col(k) for k in keys], "n", F.expr(f"explode({listed}) AS p"))
     return small_side(
         null_safe_join(targets, found, keys + ["p"], "left").select(
             *[col(k) for k in keys],
             "p",
-            F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-            .otherwise(F.col("lo") + fraction * (F.col("hi") - F.col("lo")))
-            .alias("q"),
+            F.expr(
+                f"CASE WHEN lo = hi THEN lo ELSE lo + ({position} - floor({position})) * (hi - lo) END AS q"
+            ),
             "n",
         )
     )

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.columns import col, null_safe_join
+from scorelake.functions.columns import col, null_safe_join, quote, sql_position, sql_text
 from scorelake.functions.state import small_side
 
 # Comparisons a projection may hold before breaks are joined instead.
 MAX_INLINE_COMPARISONS = 600
 
 
-def _position(value: Column, breaks: Sequence[float], left_closed: bool) -> Column:
-    if not breaks:
-        return F.lit(0)
-    chain = None
-    for i, b in enumerate(breaks):
-        before = value < F.lit(b) if left_closed else value <= F.lit(b)
-        chain = F.when(before, F.lit(i)) if chain is None else chain.when(before, F.lit(i))
-    return chain.otherwise(F.lit(len(breaks)))
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return sql_text(value) if isinstance(value, str) else str(value)
 
 
 def place(
@@ -41,15 +37,15 @@ def place(
     by = list(by)
     rows = breaks.select(*[col(b) for b in by], "breaks").limit(MAX_INLINE_COMPARISONS + 1).collect()
     x = col(value)
-    if sum(len(r.breaks) + 1 for r in rows) <= MAX_INLINE_COMPARISONS:
-        chain = None
-        for r in rows:
-            here = F.lit(True)
-            for b in by:
-                here = here & col(b).eqNullSafe(F.lit(r[b]))
-            position = _position(x, r.breaks, left_closed)
-            chain = F.when(here, position) if chain is None else chain.when(here, position)
-        return df.withColumn(output, F.when(x.isNotNull(), chain if chain is not None else F.lit(None)))
+    simple = all(isinstance(r[b], (str, int, bool, type(None))) for r in rows for b in by)
+    if simple and sum(len(r.breaks) + 1 for r in rows) <= MAX_INLINE_COMPARISONS:
+        positions = [sql_position(quote(value), r.breaks, left_closed) for r in rows]
+        if not by:
+            chosen = positions[0] if positions else "NULL"
+        else:
+            tests = [" AND ".join(f"{quote(b)} <=> {_literal(r[b])}" for b in by) for r in rows]
+            chosen = "CASE " + " ".join(f"WHEN {t} THEN {p}" for t, p in zip(tests, positions)) + " END"
+        return df.withColumn(output, F.expr(f"CASE WHEN {quote(value)} IS NOT NULL THEN {chosen} END"))
     side = small_side(breaks.select(*[col(b) for b in by], F.col("breaks").alias("_breaks")))
     test = "e <= x" if left_closed else "e < x"
     return (

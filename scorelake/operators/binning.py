@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake.functions.columns import (
-    col,
     constants,
     count_if,
     null_safe_join,
     numeric_columns,
+    quote,
     ratio,
-    unpivot_values,
+    sql_number,
+    sql_position,
+    sql_text,
 )
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.state import collect_state, materialise
@@ -48,7 +50,7 @@ class BinningParams:
             raise ValueError("max_categorical_levels must be at least 1")
 
 
-def _tally(target: TargetSpec) -> list[Column]:
+def _tally() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("row_count"),
         count_if(F.col("_good")).alias("good_count"),
@@ -65,22 +67,52 @@ def fit_bins(
     """Bins of every variable: equal-frequency for numbers, levels for the rest.
 
     Numeric bins are ``(lower, upper]`` with open ends; empty ones are dropped.
-    All variables share the same passes over the data.
+    Breaks take two passes; one more pass counts intervals and levels of all
+    variables together.
     """
     names = [c for c in (columns or df.columns) if c != target.column]
     numeric = [c for c in numeric_columns(df) if c in names]
     categorical = [c for c in names if c not in numeric]
-    flagged = df.withColumns({"_good": target.is_good, "_bad": target.is_bad})
-    totals = flagged.agg(*_tally(target)).first()
-    if not totals.good_count or not totals.bad_count:
+    breaks = numeric_breaks(df, numeric, params, df.count()) if numeric else {}
+    keys = {c: f"cast({quote(c)} AS string)" for c in categorical}
+    for c in numeric:
+        keys[c] = f"cast({sql_position(f'cast({quote(c)} AS double)', breaks.get(c, []))} AS string)"
+        keys[c] = f"CASE WHEN {quote(c)} IS NOT NULL THEN {keys[c]} END"
+    pairs = ", ".join(f"struct({sql_text(c)} AS variable, {keys[c]} AS value)" for c in names)
+    counts = materialise(
+        df.select(target.is_good.alias("_good"), target.is_bad.alias("_bad"), F.expr(f"inline(array({pairs}))"))
+        .groupBy("variable", "value")
+        .agg(*_tally())
+    )
+    # Top levels: the row_number limit is applied before the shuffle as well.
+    by_size = Window.partitionBy("variable").orderBy(F.desc("row_count"), F.asc("value"))
+    limit = max(params.max_categorical_levels, params.max_bins)
+    levels = (
+        counts.filter("value IS NOT NULL")
+        .withColumn("rank", F.row_number().over(by_size))
+        .filter(F.col("rank") <= limit)
+    )
+    whole = counts.groupBy("variable", F.expr("value IS NULL AS missing")).agg(
+        *[F.sum(c).alias(c) for c in ("row_count", "good_count", "bad_count")]
+    )
+    sums = {(r.variable, r.missing): r for r in collect_state(whole)}
+    found: dict[str, list[Row]] = {}
+    for r in collect_state(levels, what="bins"):
+        found.setdefault(r.variable, []).append(r)
+    first = [r for (v, _), r in sums.items() if v == names[0]] if names else []
+    if not sum(r.good_count for r in first) or not sum(r.bad_count for r in first):
         raise ValueError("binning needs at least one good and one bad row")
     rows: list[dict] = []
-    if numeric:
-        rows += _numeric_bins(flagged, numeric, target, params, totals.row_count)
-    if categorical:
-        rows += _categorical_bins(flagged, categorical, target, params)
-    order = {c: i for i, c in enumerate(names)}
-    rows.sort(key=lambda r: (order[r["variable"]], r["bin_order"]))
+    for c in names:
+        missing = sums.get((c, True)) if params.missing_policy == "separate_bin" else None
+        if missing is not None:
+            kind = "numeric" if c in numeric else "categorical"
+            rows.append(_bin_row(c, kind, 1, "Missing", missing, is_missing=True))
+        start = 1 if missing is not None else 0
+        if c in numeric:
+            rows += _interval_bins(c, start, breaks.get(c), found.get(c, []))
+        elif (c, False) in sums:
+            rows += _level_bins(c, start, sums[(c, False)], found[c], params)
     fields = [f.strip().split(" ")[0] for f in BINS_SCHEMA.split(",")]
     return constants(df, [tuple(r[f] for f in fields) for r in rows], BINS_SCHEMA)
 
@@ -134,16 +166,6 @@ def numeric_breaks(
     return breaks
 
 
-def _interval_index(value: Column, breaks: Sequence[float]) -> Column:
-    """Number of the right-closed interval a non-null value falls in."""
-    if not breaks:
-        return F.lit(0)
-    chain = F.when(value <= F.lit(breaks[0]), F.lit(0))
-    for i, b in enumerate(breaks[1:], start=1):
-        chain = chain.when(value <= F.lit(b), F.lit(i))
-    return chain.otherwise(F.lit(len(breaks)))
-
-
 def _interval_label(lower: float | None, upper: float | None) -> str:
     if lower is None and upper is None:
         return "All values"
@@ -152,90 +174,41 @@ def _interval_label(lower: float | None, upper: float | None) -> str:
     return f"{left}, {right}"
 
 
-def _numeric_bins(
-    flagged: DataFrame, columns: list[str], target: TargetSpec, params: BinningParams, total_rows: int
-) -> list[dict]:
-    breaks = numeric_breaks(flagged, columns, params, total_rows)
-    placed = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.when(col(c).isNull(), F.lit(-1))
-                .otherwise(_interval_index(col(c).cast("double"), breaks.get(c, [])))
-                .alias("cell"),
-            )
-            for c in columns
-        ]
-    )
-    counts = (
-        flagged.select("_good", "_bad", F.inline(placed)).groupBy("variable", "cell").agg(*_tally(target))
-    )
-    tallies = {(r.variable, r.cell): r for r in collect_state(counts, what="bins")}
-    rows: list[dict] = []
-    for c in columns:
-        order = 0
-        if (c, -1) in tallies and params.missing_policy == "separate_bin":
-            order += 1
-            rows.append(_bin_row(c, "numeric", order, "Missing", tallies[(c, -1)], is_missing=True))
-        if c not in breaks:
-            continue
-        filled = [i for i in range(len(breaks[c]) + 1) if (c, i) in tallies]
-        for position, i in enumerate(filled):
-            order += 1
-            lower = breaks[c][filled[position - 1]] if position > 0 else None
-            upper = breaks[c][i] if position < len(filled) - 1 else None
-            rows.append(
-                _bin_row(
-                    c,
-                    "numeric",
-                    order,
-                    _interval_label(lower, upper),
-                    tallies[(c, i)],
-                    lower=lower,
-                    upper=upper,
-                    upper_inclusive=upper is not None,
-                )
+def _interval_bins(c: str, start: int, breaks: list[float] | None, found: Sequence[Row]) -> list[dict]:
+    """Bins of one numeric variable; a break between two empty intervals is dropped."""
+    if breaks is None:
+        return []
+    tallies = {int(r.value): r for r in found}
+    filled = sorted(tallies)
+    rows = []
+    for position, i in enumerate(filled):
+        lower = breaks[filled[position - 1]] if position > 0 else None
+        upper = breaks[i] if position < len(filled) - 1 else None
+        rows.append(
+            _bin_row(
+                c,
+                "numeric",
+                start + position + 1,
+                _interval_label(lower, upper),
+                tallies[i],
+                lower=lower,
+                upper=upper,
+                upper_inclusive=upper is not None,
             )
+        )
     return rows
 
 
-def _categorical_bins(
-    flagged: DataFrame, columns: list[str], target: TargetSpec, params: BinningParams
-) -> list[dict]:
-    long = unpivot_values(flagged, columns, ["_good", "_bad"], cast="string")
-    counts = materialise(long.groupBy("variable", "value").agg(*_tally(target)))
-    # Top levels: the row_number limit is applied before the shuffle as well.
-    by_size = Window.partitionBy("variable").orderBy(F.desc("row_count"), F.asc("value"))
-    top = (
-        counts.filter("value IS NOT NULL")
-        .withColumn("rank", F.row_number().over(by_size))
-        .filter(F.col("rank") <= params.max_categorical_levels)
-    )
-    whole = counts.groupBy("variable", F.col("value").isNull().alias("missing")).agg(
-        *[F.sum(c).alias(c) for c in ("row_count", "good_count", "bad_count")]
-    )
-    levels: dict[str, list[Row]] = {}
-    for r in collect_state(top, what="category levels"):
-        levels.setdefault(r.variable, []).append(r)
-    sums = {(r.variable, r.missing): r for r in collect_state(whole)}
-    rows: list[dict] = []
-    for c in columns:
-        order = 0
-        if (c, True) in sums and params.missing_policy == "separate_bin":
-            order += 1
-            rows.append(_bin_row(c, "categorical", order, "Missing", sums[(c, True)], is_missing=True))
-        if (c, False) not in sums:
-            continue
-        rest = {k: sums[(c, False)][k] for k in ("row_count", "good_count", "bad_count")}
-        for level in sorted(levels[c], key=lambda r: r.rank):
-            order += 1
-            rows.append(
-                _bin_row(c, "categorical", order, level.value, level, categories=[level.value])
-            )
-            rest = {k: rest[k] - level[k] for k in rest}
-        if rest["row_count"] > 0:
-            order += 1
-            rows.append(_bin_row(c, "categorical", order, "Other", rest, is_other=True))
+def _level_bins(c: str, start: int, whole: Row, found: Sequence[Row], params: BinningParams) -> list[dict]:
+    """The largest levels of one variable, then "Other" for the rest."""
+    rest = {k: whole[k] for k in ("row_count", "good_count", "bad_count")}
+    rows = []
+    for level in sorted(found, key=lambda r: r.rank)[: params.max_categorical_levels]:
+        order = start + len(rows) + 1
+        rows.append(_bin_row(c, "categorical", order, level.value, level, categories=[level.value]))
+        rest = {k: rest[k] - level[k] for k in rest}
+    if rest["row_count"] > 0:
+        rows.append(_bin_row(c, "categorical", start + len(rows) + 1, "Other", rest, is_other=True))
     return rows
 
 
@@ -261,42 +234,41 @@ def bins_by_variable(bins: DataFrame) -> dict[str, list[Row]]:
     return grouped
 
 
-def bin_condition(entry: Row, siblings: Sequence[Row]) -> Column:
-    """True where a row's value belongs to the bin."""
-    value = col(entry.variable)
+def bin_condition(entry: Row, siblings: Sequence[Row]) -> str:
+    """Spark SQL test that a row's value belongs to the bin."""
+    value = quote(entry.variable)
     if entry.is_missing:
-        return value.isNull()
+        return f"{value} IS NULL"
     if entry.kind == "categorical":
-        as_text = value.cast("string")
+        text = f"cast({value} AS string)"
         if entry.is_other:
-            named = [c for s in siblings for c in (s.categories or [])]
-            return value.isNotNull() & (~as_text.isin(*named) if named else F.lit(True))
-        return as_text.isin(*entry.categories) if entry.categories else F.lit(False)
-    number = value.cast("double")
+            named = ", ".join(sql_text(c) for s in siblings for c in (s.categories or []))
+            return f"{value} IS NOT NULL" + (f" AND {text} NOT IN ({named})" if named else "")
+        if not entry.categories:
+            return "false"
+        return f"{text} IN ({', '.join(sql_text(c) for c in entry.categories)})"
+    number = f"cast({value} AS double)"
     if entry.categories:  # special codes of a numeric variable
-        return number.isin(*[float(c) for c in entry.categories])
-    condition = value.isNotNull()
+        return f"{number} IN ({', '.join(sql_number(c) for c in entry.categories)})"
+    tests = [f"{value} IS NOT NULL"]
     if entry.lower is not None:
-        low = F.lit(entry.lower)
-        condition = condition & (number >= low if entry.lower_inclusive else number > low)
+        tests.append(f"{number} {'>=' if entry.lower_inclusive else '>'} {sql_number(entry.lower)}")
     if entry.upper is not None:
-        high = F.lit(entry.upper)
-        condition = condition & (number <= high if entry.upper_inclusive else number < high)
-    special = [float(c) for s in siblings if s.is_special for c in (s.categories or [])]
-    return condition & ~number.isin(*special) if special else condition
-
-
-def case_by_bin(
-    entries: Sequence[Row], results: Sequence[Column], siblings: Sequence[Row] | None = None
-) -> Column:
-    """First matching bin's result, null where no bin matches."""
-    chain: Column | None = None
-    for entry, result in zip(entries, results):
-        test = bin_condition(entry, siblings or entries)
-        chain = F.when(test, result) if chain is None else chain.when(test, result)
-    if chain is None:
+        tests.append(f"{number} {'<=' if entry.upper_inclusive else '<'} {sql_number(entry.upper)}")
+    special = [sql_number(c) for s in siblings if s.is_special for c in (s.categories or [])]
+    if special:
+        tests.append(f"{number} NOT IN ({', '.join(special)})")
+    return " AND ".join(tests)
+
+
+def case_by_bin(entries: Sequence[Row], results: Sequence[str], siblings: Sequence[Row] | None = None) -> str:
+    """Spark SQL giving the first matching bin's result, null where no bin matches."""
+    if not entries:
         raise ValueError("variable has no bins")
-    return chain
+    whens = " ".join(
+        f"WHEN {bin_condition(e, siblings or entries)} THEN {r}" for e, r in zip(entries, results)
+    )
+    return f"CASE {whens} END"
 
 
 ALL_ROWS = "(all rows)"
@@ -309,17 +281,16 @@ def bin_counts(df: DataFrame, bins: DataFrame, target: TargetSpec) -> DataFrame:
     """
     spec = {v: e for v, e in bins_by_variable(bins).items() if v in df.columns}
     entries = [
-        F.struct(
-            F.lit(v).alias("variable"),
-            case_by_bin(e, [F.lit(b.bin_id) for b in e]).alias("bin_id"),
-        )
+        f"struct({sql_text(v)} AS variable, {case_by_bin(e, [sql_text(b.bin_id) for b in e])} AS bin_id)"
         for v, e in spec.items()
     ]
-    entries.append(F.struct(F.lit(ALL_ROWS).alias("variable"), F.lit(ALL_ROWS).alias("bin_id")))
+    entries.append(f"struct({sql_text(ALL_ROWS)} AS variable, {sql_text(ALL_ROWS)} AS bin_id)")
     return (
-        df.select(target.is_good.alias("_good"), target.is_bad.alias("_bad"), F.inline(F.array(*entries)))
+        df.select(
+            target.is_good.alias("_good"), target.is_bad.alias("_bad"), F.expr(f"inline(array({', '.join(entries)}))")
+        )
         .groupBy("variable", "bin_id")
-        .agg(*_tally(target))
+        .agg(*_tally())
     )
 
 

@@ -11,7 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, constants, numeric_columns, unpivot_values
+from scorelake.functions.columns import (
+    col,
+    constants,
+    numeric_columns,
+    quote,
+    sql_number,
+    sql_position,
+    sql_text,
+    unpivot_values,
+)
 from scorelake.functions.ordered import exact_quantiles, quantile_arrays
 from scorelake.functions.state import collect_state, materialise
 from scorelake.functions.target import TargetSpec
@@ -146,7 +155,7 @@ def fit_optimal_bins(
         .applyInPandas(_merge_table(params), _MERGED)
     )
     cells = table.join(merged, ["variable", "position"], "left")
-    return _assemble(df, collect_state(cells, what="pre-bins"), columns, numeric, breaks)
+    return _assemble(df, collect_state(cells, what="pre-bins"), columns, numeric, breaks, special)
 
 
 def _numeric_prebins(flagged, numeric, target, params, special, breaks) -> DataFrame:
@@ -159,20 +168,18 @@ def _numeric_prebins(flagged, numeric, target, params, special, breaks) -> DataF
         breaks[r.variable] = list(r.breaks)
     entries = []
     for c in numeric:
-        x = col(c).cast("double")
-        chain = F.when(x.isNull(), F.lit(-1))
-        if special.get(c):
-            chain = chain.when(x.isin(*special[c]), F.lit(-2))
-        for i, b in enumerate(breaks.get(c, [])):
-            chain = chain.when(x < F.lit(b), F.lit(i))
+        x = f"cast({quote(c)} AS double)"
+        codes = ", ".join(sql_number(v) for v in special.get(c, []))
+        marked = f"WHEN {x} IN ({codes}) THEN -2 " if codes else ""
+        place = sql_position(x, breaks.get(c, []), left_closed=True)
         entries.append(
-            F.struct(F.lit(c).alias("variable"), chain.otherwise(F.lit(len(breaks.get(c, [])))).alias("position"))
+            f"struct({sql_text(c)} AS variable, CASE WHEN {x} IS NULL THEN -1 {marked}ELSE {place} END AS position)"
         )
     kind = F.when(F.col("position") == -1, "missing").when(F.col("position") == -2, "special").otherwise("pre")
     return (
-        flagged.select("_good", "_bad", F.inline(F.array(*entries)))
+        flagged.select("_good", "_bad", F.expr(f"inline(array({', '.join(entries)}))"))
         .groupBy("variable", "position")
-        .agg(*_tally(target))
+        .agg(*_tally())
         .withColumns({"kind": kind, "level": F.lit(None).cast("string")})
     )
 
@@ -180,7 +187,7 @@ def _numeric_prebins(flagged, numeric, target, params, special, breaks) -> DataF
 def _text_prebins(flagged, texts, target, params) -> DataFrame:
     """Levels in bad-rate order; levels under the cut-off are pooled before anything is collected."""
     long = unpivot_values(flagged, texts, ["_good", "_bad"], cast="string")
-    counts = materialise(long.groupBy("variable", "value").agg(*_tally(target)))
+    counts = materialise(long.groupBy("variable", "value").agg(*_tally()))
     totals = counts.groupBy("variable").agg(F.sum("row_count").alias("n"))
     rare = F.col("row_count") < F.lit(params.cat_cutoff) * F.col("n")
     pooled = (
@@ -200,7 +207,7 @@ def _text_prebins(flagged, texts, target, params) -> DataFrame:
     ).select("variable", "position", "row_count", "good_count", "bad_count", "kind", "level")
 
 
-def _assemble(df, cells, columns, numeric, breaks) -> tuple[DataFrame, DataFrame]:
+def _assemble(df, cells, columns, numeric, breaks, special) -> tuple[DataFrame, DataFrame]:
     fields = [f.strip().split(" ")[0] for f in BINS_SCHEMA.split(",")]
     add = lambda rows: {k: sum(r[k] for r in rows) for k in ("row_count", "good_count", "bad_count")}
     bins, states = [], []
@@ -223,7 +230,8 @@ def _assemble(df, cells, columns, numeric, breaks) -> tuple[DataFrame, DataFrame
             found = [r for r in mine if r.kind == special_kind]
             if found:
                 order += 1
-                bins.append(_bin_row(c, kind, order, special_kind.title(), add(found), **{flag: True}))
+                extra = {"categories": [str(x) for x in special[c]]} if special_kind == "special" else {}
+                bins.append(_bin_row(c, kind, order, special_kind.title(), add(found), **{flag: True}, **extra))
         ordered = [groups[k] for k in sorted(groups)]
         for i, rows in enumerate(ordered):
             order += 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.columns import col
+from scorelake.functions.columns import col, sql_number
 from scorelake.functions.state import collect_state
 from scorelake.operators.binning import bins_by_variable, case_by_bin
 from scorelake.operators.metrics import PROBABILITY, SCORE
@@ -52,7 +52,8 @@ def add_points(df: DataFrame, bins: DataFrame, card: DataFrame, base_points: flo
     total = F.lit(float(base_points))
     for variable, entries in bins_by_variable(bins).items():
         if variable in used:
-            total = total + case_by_bin(entries, [F.lit(points[(variable, e.bin_id)]) for e in entries])
+            values = [sql_number(points[(variable, e.bin_id)]) for e in entries]
+            total = total + F.expr(case_by_bin(entries, values))
     return df.withColumn("total_points", total)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, count_if, null_safe_join
+from scorelake.functions.columns import col, count_if, null_safe_join, sql_number
 from scorelake.functions.state import collect_state, small_side
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.binning import ALL_ROWS, bin_counts, bin_diagnostics, bins_by_variable, case_by_bin
@@ -145,9 +145,9 @@ def add_woe_columns(
                     continue
                 value = 0.0
             kept.append(e)
-            values.append(F.lit(value))
+            values.append(sql_number(value))
         if kept:
-            exprs[f"{variable}{suffix}"] = case_by_bin(kept, values, entries)
+            exprs[f"{variable}{suffix}"] = F.expr(case_by_bin(kept, values, entries))
     return df.withColumns(exprs)
 
 
