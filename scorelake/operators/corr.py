@@ -15,7 +15,7 @@ from scorelake.functions.state import small_side
 
 # Up to this many columns the pairs are plain aggregates; beyond it their number
 # would leave generated code, so partitions send summed products instead.
-MAX_AGGREGATE_COLUMNS = 20
+MAX_AGGREGATE_COLUMNS = 4
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[int, int]]:

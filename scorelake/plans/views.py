@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
+from scorelake.sources.readers import spread
 
 TARGET = TargetSpec("outcome", good=("good",), bad=("bad",), indeterminate=("unknown",))
 
@@ -71,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         APPS_TEXT,
-        lineitem=table(spark, sf_dir, "lineitem"),
+        lineitem=spread(table(spark, sf_dir, "lineitem")),
         orders=table(spark, sf_dir, "orders"),
         customer=table(spark, sf_dir, "customer"),
     )

@@ -91,6 +91,18 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
     return df
 
 
+def spread(df: DataFrame, min_rows: int = 100_000) -> DataFrame:
+    """Use every core on a table that came as too few files to split.
+
+    A plain scan knows its partitions without running; one with at least as many
+    as there are cores (any table of size) is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores or df.count() < min_rows:
+        return df
+    return df.repartition(cores)
+
+
 def cap_rows(df: DataFrame, order_by: Sequence[str], limit: int) -> DataFrame:
     """The first ``limit`` rows in key order (Spark tables have no file order)."""
     if limit < 1:
