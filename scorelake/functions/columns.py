@@ -25,6 +25,13 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation of the complete pairs; null without variance (``corr`` would fail)."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -51,10 +51,10 @@ def rank_cutoffs(hashed: DataFrame, by: Sequence[str], wanted: DataFrame) -> Dat
             *by, "_bucket", "_offset", "cut", "k"
         )
     )
-    buckets = chosen.select(*by, "_bucket", "_offset").distinct()
+    buckets = small_side(chosen.select(*by, "_bucket", "_offset").distinct())
     rows = hashed.select(*by, "_h", F.substring("_h", 1, PREFIX_HEX).alias("_bucket"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_h")
-    numbered = null_safe_join(rows, F.broadcast(buckets), by + ["_bucket"]).withColumn(
+    numbered = null_safe_join(rows, buckets, by + ["_bucket"]).withColumn(
         "k", F.col("_offset") + F.row_number().over(inside)
     )
     return small_side(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.columns import col
+from scorelake.functions.columns import col, safe_corr
 from scorelake.functions.ordered import average_ranks
 from scorelake.functions.state import small_side
 
@@ -29,7 +29,7 @@ def _pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     x = [col(c).cast("double") for c in columns]
     pairs = _pairs(columns)
     aggregated = df.agg(
-        *[F.corr(x[i], x[j]).alias(f"r_{i}_{j}") for i, j in pairs],
+        *[safe_corr(x[i], x[j]).alias(f"r_{i}_{j}") for i, j in pairs],
         *[F.count(F.when(x[i].isNotNull() & x[j].isNotNull(), 1)).alias(f"n_{i}_{j}") for i, j in pairs],
     )
     rows = [

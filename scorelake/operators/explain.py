@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+from scorelake.functions.columns import safe_corr
 from scorelake.functions.hashing import dense_index, hash_order
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.state import materialise
@@ -80,7 +81,7 @@ def importance_stability(table: DataFrame, threshold: float = 0.85) -> DataFrame
     b = ranked.select(F.col("seed").alias("seed_b"), "feature", F.col("rank").alias("rank_b"))
     pairs = (
         a.join(b, "feature").filter("seed_a < seed_b").groupBy("seed_a", "seed_b")
-        .agg(F.corr("rank_a", "rank_b").alias("rho"))
+        .agg(safe_corr(F.col("rank_a"), F.col("rank_b")).alias("rho"))
     )
     return pairs.agg(
         F.count(F.lit(1)).alias("seed_pairs"), F.round(F.avg("rho"), 4).alias("mean_rank_correlation")

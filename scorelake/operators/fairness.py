@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, count_if, null_safe_join, ratio
+from scorelake.functions.columns import col, count_if, null_safe_join, ratio, safe_corr
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, SCORE
@@ -102,7 +102,7 @@ def proxy_risk(
     measured = [(s, f) for s, f in pairs if s != f and is_number[s] and is_number[f]]
     numbers = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.corr(col(s).cast("double"), col(f).cast("double")).alias(f"c_{i}") for i, (s, f) in enumerate(measured)],
+        *[safe_corr(col(s).cast("double"), col(f).cast("double")).alias(f"c_{i}") for i, (s, f) in enumerate(measured)],
     )
     rows = []
     for s, f in pairs:

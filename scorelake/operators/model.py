@@ -84,11 +84,10 @@ def fit_logistic(
     features = list(features or [c for c in df.columns if c.endswith("_woe")])
     if not features:
         raise ValueError("no WOE columns to fit")
-    unknown = df.filter(~target.is_known).limit(1).count()
-    if unknown:
+    rows = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(target.is_known, 1)).alias("known")).first()
+    if rows.n != rows.known:
         raise ValueError("every row needs a declared good or bad outcome")
-    data = assembled(df, features, target)
-    fitted = params.estimator(data.count()).fit(data)
+    fitted = params.estimator(rows.n).fit(assembled(df, features, target))
     iterations = fitted.summary.totalIterations
     if iterations >= params.max_iter and params.fail_on_no_convergence:
         raise ValueError(f"logistic regression did not converge in {params.max_iter} iterations")
