@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,15 +61,19 @@ def running_totals(
     )
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """``(value, rank)``: the tie-averaged rank of every distinct non-null value."""
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(variable, value, rank)``: tie-averaged rank of every distinct non-null value.
+
+    All columns share one count, one range partitioning and one checkpoint.
+    """
     counts = (
-        df.filter(col(column).isNotNull())
-        .groupBy(col(column).cast("double").alias("value"))
+        unpivot_values(df, columns, [])
+        .filter("value IS NOT NULL")
+        .groupBy("variable", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return running_totals(counts, "value", ["n"]).select(
-        "value", (F.col("before_n") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("rank")
+    return running_totals(counts, "value", ["n"], ["variable"]).select(
+        "variable", "value", (F.col("before_n") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("rank")
     )
 
 

@@ -19,7 +19,7 @@ MAX_AGGREGATE_COLUMNS = 4
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    return _index_pairs(range(len(columns)))
 
 
 def _pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,12 +71,16 @@ def _pearson_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its tie-averaged rank (all columns non-null)."""
-    ranked = df.select(*[col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)])
-    for i in range(len(columns)):
-        ranks = small_side(average_ranks(ranked, f"v_{i}"))
-        renamed = ranks.select(F.col("value").alias(f"v_{i}"), F.col("rank").alias(f"x_{i}"))
-        ranked = ranked.join(renamed, f"v_{i}")
+    """Replace each column by its tie-averaged rank (all columns non-null).
+
+    Rank tables join on the value; they are broadcast only while small.
+    """
+    names = [f"v_{i}" for i in range(len(columns))]
+    ranked = df.select(*[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    ranks = small_side(average_ranks(ranked, names))
+    for i, n in enumerate(names):
+        mine = ranks.filter(F.col("variable") == n).select(F.col("value").alias(n), F.col("rank").alias(f"x_{i}"))
+        ranked = ranked.join(mine, n)
     return ranked.select(*[F.col(f"x_{i}").alias(c) for i, c in enumerate(columns)])
 
 
@@ -121,26 +125,33 @@ def correlation_matrix(
 
 
 def _spearman_pairwise(used: DataFrame, columns: list[str]) -> DataFrame:
-    filled = used.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
-    whole = [i for i in range(len(columns)) if filled[i] == 0]
-    parts = []
-    if len(whole) > 1:
-        names = [columns[i] for i in whole]
-        index = F.array(*[F.lit(i) for i in whole])
-        parts.append(
-            _pearson(_ranked(used.select(*[col(c) for c in names]), names), names).select(
-                F.get(index, F.col("i")).alias("i"), F.get(index, F.col("j")).alias("j"), "corr", "n"
-            )
-        )
-    for i, j in _pairs(columns):
-        if i in whole and j in whole:
+    """Ranks within the rows each pair shares.
+
+    Pairs that share the same rows are ranked together: all full columns, then
+    each column with nulls beside the full ones, then pairs of two with nulls.
+    """
+    nulls = used.agg(*[F.count(F.when(col(c).isNull(), 1)).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
+    full = [i for i in range(len(columns)) if nulls[i] == 0]
+    holes = [i for i in range(len(columns)) if nulls[i] > 0]
+    groups = [(full, _index_pairs(full))]
+    groups += [(sorted([h, *full]), [tuple(sorted((h, f))) for f in full]) for h in holes]
+    groups += [([i, j], [(i, j)]) for i, j in _index_pairs(holes)]
+    result = None
+    for members, pairs in groups:
+        if not pairs:
             continue
-        both = [columns[i], columns[j]]
-        present = used.select(*[col(c) for c in both]).dropna()
-        parts.append(
-            _pearson(_ranked(present, both), both).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "corr", "n")
+        names = [columns[i] for i in members]
+        shared = used.select(*[col(c) for c in names]).dropna()
+        index = F.array(*[F.lit(i) for i in members])
+        wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+        part = (
+            _pearson(_ranked(shared, names), names)
+            .select(F.get(index, F.col("i")).alias("i"), F.get(index, F.col("j")).alias("j"), "corr", "n")
+            .filter(F.array_contains(wanted, F.struct(F.col("i").alias("i"), F.col("j").alias("j"))))
         )
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
+        result = part if result is None else result.unionByName(part)
     return result
+
+
+def _index_pairs(members: Sequence[int]) -> list[tuple[int, int]]:
+    return [(a, b) for k, a in enumerate(members) for b in members[k + 1 :]]

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.columns import col, constants, numeric_columns, ratio
 from scorelake.functions.hashing import hash_order
+from scorelake.functions.ordered import running_totals
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
-from scorelake.functions.ordered import running_totals
 from scorelake.operators.scaling import coefficients_table
 
 
@@ -141,15 +141,14 @@ def importances(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
 def _leaf_paths(model, features: Sequence[str]) -> list[tuple[int, str]]:
     """Conditions of each leaf, in leaf order, from the model's printed form."""
     paths: list[tuple[int, str]] = []
-    conditions: list[str] = []
+    conditions: list[tuple[int, str]] = []
     for line in model.toDebugString.splitlines():
-        depth = (len(line) - len(line.lstrip())) // 1
+        depth = len(line) - len(line.lstrip())
         branch = re.match(r"\s*(?:If|Else) \(feature (\d+) (<=|>) ([-+0-9.eE]+)\)", line)
         if branch:
-            level = depth
-            conditions = [c for c in conditions if c[0] < level]
+            conditions = [c for c in conditions if c[0] < depth]
             name = features[int(branch.group(1))]
-            conditions.append((level, f"{name} {branch.group(2)} {round(float(branch.group(3)), 6)}"))
+            conditions.append((depth, f"{name} {branch.group(2)} {round(float(branch.group(3)), 6)}"))
         elif line.strip().startswith("Predict:"):
             here = [c[1] for c in conditions if c[0] < depth]
             paths.append((len(paths), " AND ".join(here)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import binning, woe
 from scorelake.plans.registry import query
-from scorelake.plans.views import CATEGORICAL, NUMERIC, SCORED_CTE, TARGET, development, known, scored
+from scorelake.plans.views import CATEGORICAL, NUMERIC, SCORED_CTE, TARGET, development
 
 FEATURES = NUMERIC + CATEGORICAL
 PARAMS = binning.BinningParams(max_bins=20, max_categorical_levels=3)

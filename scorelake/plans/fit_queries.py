@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage
-from scorelake.operators import calibrate, explain, metrics, model, optimal, prep, reject, scaling, scoring, select, woe
+from scorelake.operators import calibrate, explain, metrics, model, optimal, prep, reject, scaling, scoring, select
 from scorelake.plans.binning_queries import FEATURES
 from scorelake.plans.metric_queries import SCORED_CTE, scored_sample
 from scorelake.plans.model_queries import SCALING, _woe_frame

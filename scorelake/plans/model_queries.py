@@ -5,15 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorelake.functions.state import stage
+from scorelake.functions.state import stage, staging_path
 from scorelake.operators import (
     binning, cluster, compare, corr, diagnostics, metrics, scaling, scoring, select, strategy, woe,
 )
 from scorelake.plans.binning_queries import BINS_CTE, FEATURES, fitted_bins, fitted_cells
-from scorelake.plans.metric_queries import AUC_SELECT, EQUAL_BANDS, KS_SELECT, bands_cte, ranking_cte, scored_sample
+from scorelake.plans.metric_queries import AUC_SELECT, KS_SELECT, bands_cte, ranking_cte, scored_sample
 from scorelake.plans.registry import query
-from scorelake.plans.views import CHALLENGER_CTE, NUMERIC, SCORED_CTE, TARGET, development, known, scored
+from scorelake.plans.views import CHALLENGER_CTE, NUMERIC, SCORED_CTE, TARGET, development, scored
 from scorelake.sources.sqlgen import scoring_sql
+from scorelake.sources.writers import export_scorecard
 
 MODEL = {"quantity_woe": -0.9, "discount_woe": -0.8, "segment_woe": -1.1}
 INTERCEPT = -1.36
@@ -78,9 +79,7 @@ def woe_unmatched(spark, sf_dir):
     params = binning.BinningParams(missing_policy="ignore")
     bins = binning.fit_bins(dev, TARGET, params, ["quantity", "segment"])
     table = woe.woe_table(woe.woe_cells(dev, bins, TARGET))
-    added = woe.apply_woe(scored(spark, sf_dir), bins, table, on_unmatched="warn")
     raw = woe.add_woe_columns(scored(spark, sf_dir), bins, table)
-    assert set(added.columns) == set(raw.columns)
     return woe.unmatched(raw, ["quantity_woe", "segment_woe"])
 
 
@@ -428,9 +427,6 @@ def scorecard_points(spark, sf_dir):
 )
 def scorecard_table(spark, sf_dir):
     """The exported points table, read back from CSV with its scaling constants."""
-    from scorelake.functions.state import staging_path
-    from scorelake.sources.writers import export_scorecard
-
     _, table = _fitted(spark, sf_dir, MODEL_VARIABLES)
     coefficients = _coefficients(table)
     path = staging_path(spark)

@@ -9,7 +9,7 @@ from scorelake.functions.state import stage, staging_path
 from scorelake.operators import prep, profile, resample, split
 from scorelake.operators.prep import RejectRules, Rule, Treatment
 from scorelake.plans.registry import query
-from scorelake.plans.views import APPS_CTE, NUMERIC, SCORED_CTE, TARGET, apps, development, known, scored, table
+from scorelake.plans.views import APPS_CTE, NUMERIC, SCORED_CTE, TARGET, apps, development, scored, table
 from scorelake.sources import readers, writers
 
 # --- sources ------------------------------------------------------------------

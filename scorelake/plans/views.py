@@ -8,6 +8,8 @@ text, without the ``D`` suffixes, is the oracle's starting point.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,6 @@ FROM (SELECT *, -1.6D + <W>D * (discount - 0.05D) + 0.02D * (coalesce(quantity,
 
 
 def _duck(text: str) -> str:
-    import re
-
     return re.sub(r"(\d\.\d+|\d+\.\d+)D", r"\1::DOUBLE", text)
 
 

@@ -50,7 +50,7 @@ def test_running_totals_match_a_sorted_sum(spark):
 
 def test_average_ranks_share_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,), (5.0,)], "v double")
-    assert {r.value: r["rank"] for r in average_ranks(df, "v").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
+    assert {r.value: r["rank"] for r in average_ranks(df, ["v"]).collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
 
 
 def test_hash_cutoffs_and_index_agree_with_a_full_sort(spark):
