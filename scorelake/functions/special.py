@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors need no copy of this package: what Python workers run is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma: series below a + 1, continued fraction above."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,9 @@ from scorelake.functions.state import collect_state, materialise
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.binning import BINS_SCHEMA, _bin_row, _tally
 
+# Executors need no copy of this package: what Python workers run is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class OptimalParams:
