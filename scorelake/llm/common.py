@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage, staging_path
 
-__all__ = ["LAST_ID", "col", "fresh_name", "ordered_id", "packed", "stage", "staging_path", "table", "text_of", "unpacked"]
+__all__ = ["LAST_ID", "col", "fresh_name", "ordered_id", "packed", "stage", "staging_path", "table", "text_of", "tokenizer_model", "unpacked"]
 
 # A row without an id counts as this id, after all real ones.
 LAST_ID = 2**63 - 1
@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_model(name: str) -> bytes:
+    """The content of an installed public tokenizer file (a few hundred kilobytes)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

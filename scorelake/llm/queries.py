@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import table
+from scorelake.llm.archives import convert_arc, read_warc, write_arc
+from scorelake.llm.common import table, tokenizer_model
 from scorelake.llm.histogram_shards import shard_by_bytes
 from scorelake.llm.line_dedup import dedup_lines
+from scorelake.llm.piece_bpe import encode_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +63,34 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), best AS (
+  SELECT html, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY html
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN coalesce(best, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN best USING (html)
+"""
+
+
+@query("op5_arc_to_warc", WARC_SQL)
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = write_arc(table(spark, sf_dir, "pages"))
+    records = read_warc(spark, convert_arc(spark, arcs))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_piece_bpe")
+def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_model("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
