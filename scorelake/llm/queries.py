@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.archives import convert_arc, read_warc, write_arc
 from scorelake.llm.common import table, tokenizer_model
+from scorelake.llm.decontaminate import find_leaks
 from scorelake.llm.histogram_shards import shard_by_bytes
+from scorelake.llm.jaccard_join import jaccard_join
 from scorelake.llm.line_dedup import dedup_lines
 from scorelake.llm.piece_bpe import encode_documents
 
@@ -94,3 +96,16 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_spaced_seeds")
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = find_leaks(documents, table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "words", "matches", "doc_word", "item_word")
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classed = jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classed.select("doc_id", "class_id", "n_links", "kept")
