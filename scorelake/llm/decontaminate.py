@@ -165,7 +165,7 @@ def find_leaks(
     min_match: float = 0.8,
 ) -> DataFrame:
     """``(doc_id, item_id, words, matches, doc_word, item_word)``: the longest overlap of each pair; ``th`` hashes the text."""
-    items = benchmark.select(col(item_col).cast("long").alias("item"), text_of(item_text_col).alias("text"))
+    items = benchmark.select(col(item_col).cast("long").alias("item"), F.lower(text_of(item_text_col)).alias("text"))
     seeded = stage(
         items.mapInArrow(_bench_seeds, "item long, words binary, size long, span int, seeds array<long>, places array<long>")
     )
@@ -179,7 +179,7 @@ def find_leaks(
     short = [r.span for r in seeded.select("span").filter(F.col("span") < SPAN).distinct().collect()]  # at most SPAN of them
     masks = MASKS + ["1" * n for n in sorted(short)]
 
-    rows = docs.select(ordered_id(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
+    rows = docs.select(ordered_id(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), F.lower(text_of(text_col)).alias("text"))
     near = stage(rows.mapInArrow(_near_hits(masks, np.packbits(known, bitorder="little")), _NEAR).dropDuplicates(["did", "th", "start"]))
     key = ["did", "th", "start"]
     hits = near.select(*key, F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(

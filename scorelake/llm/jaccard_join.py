@@ -267,7 +267,7 @@ def jaccard_join(
     """
     text = text_of(text_col)
     rows = docs.select(
-        ordered_id(id_col).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text")
+        ordered_id(id_col).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), F.lower(text).alias("text")
     )
     signed = stage(
         rows.filter("text <> ''").mapInArrow(

@@ -14,6 +14,8 @@ from scorelake.llm.histogram_shards import shard_by_bytes
 from scorelake.llm.jaccard_join import jaccard_join
 from scorelake.llm.line_dedup import dedup_lines
 from scorelake.llm.piece_bpe import encode_documents
+from scorelake.llm.quality import fit_quality, score_quality
+from scorelake.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +69,30 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_quality_trees")
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(documents, table(spark, sf_dir, "labels"))
+    return score_quality(documents, trees).select("doc_id", "held_out", "score", "predicted")
+
+
+def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans, from an array of spans."""
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(F.array_join(F.transform(of_base, written), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", written), ",").alias("spans"),
+    )
+
+
+@query("op4_zstd_novelty")
+def op4_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), ["assign", "access", "hex"])
+
+
 WARC_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages

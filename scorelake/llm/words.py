@@ -1,7 +1,7 @@
 """Word and shingle hashes of whole Arrow columns, computed in numpy.
 
 A word is a run of ASCII letters, digits and non-ASCII characters; A-Z count as
-a-z.  Its 64-bit hash is a polynomial over its bytes, taken from running sums, so
+a-z (callers lower other letters beforehand).  Its 64-bit hash is a polynomial over its bytes, taken from running sums, so
 no Python object is made per word.
 """
 
@@ -43,15 +43,17 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 class Hasher:
-    """Hashes words; keeps the powers of the base between chunks."""
+    """Hashes words, or with ``apart`` what lies between these bytes; keeps the powers of the base between chunks."""
 
-    def __init__(self):
+    def __init__(self, apart: bytes | None = None):
         rng = np.random.default_rng(SEED)
         self.value = rng.integers(1, 2**63, 256, dtype=np.uint64)
         code = np.arange(256)
         upper = (code >= ord("A")) & (code <= ord("Z"))
         self.value[code[upper]] = self.value[code[upper] + 32]
         self.in_word = upper | ((code >= ord("a")) & (code <= ord("z"))) | ((code >= ord("0")) & (code <= ord("9"))) | (code >= 128)
+        if apart is not None:
+            self.in_word = ~np.isin(code, list(apart))
         self.power = self.inverse = np.ones(0, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -62,13 +64,13 @@ class Hasher:
             steps[0] = 1
             setattr(self, name, np.multiply.accumulate(steps))
 
-    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of a string column without nulls, and each row's number of words."""
+    def spans(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of a string column without nulls, where its rows end, and where words start and last."""
         ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         ends = ends - ends[0]
         if not len(data):
-            return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+            return data, ends, np.zeros(0, np.int64), np.zeros(0, np.int64)
         inside = self.in_word[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
@@ -76,15 +78,22 @@ class Hasher:
         cuts = ends[:-1][ends[:-1] < len(data)]  # a row ends what the row before it began
         first[cuts] = inside[cuts]
         last[cuts[cuts > 0] - 1] = inside[cuts[cuts > 0] - 1]
-        start, stop = np.flatnonzero(first), np.flatnonzero(last)
+        return data, ends, np.flatnonzero(first), np.flatnonzero(last)
+
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and each row's number of words."""
+        data, ends, start, stop = self.spans(column)
+        return self.hashes(data, start, stop), np.diff(np.searchsorted(start, ends))
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
         total = self.value[data]
         total *= self.power[: len(data)]
         np.cumsum(total, out=total)
-        hashes = total[stop]
+        hashes = total[stop] if len(stop) else np.zeros(0, np.uint64)
         hashes[start > 0] -= total[start[start > 0] - 1]
         hashes *= self.inverse[start]
-        return mix(hashes), np.diff(np.searchsorted(start, ends))
+        return mix(hashes)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
