@@ -79,10 +79,11 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_digest(found: DataFrame, base: list[str]) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans, from an array of spans."""
     written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        *[number(kind).alias(f"n_{kind}") for kind in base],
         F.sha2(F.array_join(F.transform(of_base, written), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", written), ",").alias("spans"),
     )
