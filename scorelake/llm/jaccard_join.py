@@ -32,9 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.blocks import block_pairs, classes_of, exact_links, forest, groups, link_rows, named_texts
 from scorelake.llm.common import ordered_id, packed, stage, text_of, unpacked
 from scorelake.llm.components import components
 from scorelake.llm.words import Hasher, chunks, shingles
@@ -45,7 +46,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 STEP = 16  # hashes compared before each look at the posterior
-BLOCK = 256  # texts in a block of a bucket or component, on average
 PAIRS_AT_ONCE = 50_000
 COLUMNS_AT_ONCE = 4096
 
@@ -95,60 +95,11 @@ def _signer(k: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``keys``, never parting a group: several groups at a time, or one (``whole``)."""
-    held: list[pa.RecordBatch] = []
-
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows = joined()
-        at = [rows.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(rows.num_rows, bool)
-        for values in at:
-            change[1:] |= values[1:] != values[:-1]
-        edges = np.flatnonzero(change)
-        if not len(edges):
-            held = [rows]
-            continue
-        bounds = [0, *edges.tolist()] if whole else [0, int(edges[-1])]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            yield rows.slice(a, b - a)
-        held = [rows.slice(bounds[-1])]
-    if held:
-        yield joined()
-
-
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from every node of a component to its smallest node, for nodes 0..n-1."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label[left], low)
-        np.minimum.at(new, label[right], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            child = np.flatnonzero(label != np.arange(n))
-            return label[child], child
-        label = new
-
-
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
 def _compare_buckets(limits: list[tuple[int, int]]):
     """Candidate links of bucket blocks sorted by ``(bucket, pa, pb)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["bucket", "pa", "pb"], whole=False):
+        for rows in groups(batches, ["bucket", "pa", "pb"], whole=False):
             n = rows.num_rows
             bucket, pa_, pb_, block, node = (rows.column(c).to_numpy() for c in ("bucket", "pa", "pb", "block", "node"))
             blob = rows.column("signature")
@@ -174,8 +125,8 @@ def _compare_buckets(limits: list[tuple[int, int]]):
                     right.append(part + lag)
             if left and sum(map(len, left)):
                 ids, place = np.unique(node, return_inverse=True)
-                a, b = _forest(len(ids), place[np.concatenate(left)], place[np.concatenate(right)])
-                yield _links(ids[a], ids[b])
+                a, b = forest(len(ids), place[np.concatenate(left)], place[np.concatenate(right)])
+                yield link_rows(ids[a], ids[b])
 
     return run
 
@@ -215,40 +166,14 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def _compare_exactly(threshold: float):
-    """Links of component blocks sorted by ``(component, pa, pb)``: counts per text and a spanning forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["component", "pa", "pb"], whole=True):
-            node, block, copies = (rows.column(c).to_numpy() for c in ("node", "block", "copies"))
-            sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column("shingles")]
-            size = np.array([len(s) for s in sets], np.float64)
-            both = _shared(sets)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            if rows.column("pa")[0].as_py() != rows.column("pb")[0].as_py():
-                linked &= block[:, None] != block[None, :]
-            links = linked @ copies
-            some = np.flatnonzero(links)
-            if not len(some):
-                continue
-            a, b = _forest(len(node), *np.nonzero(linked))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([node[some], node[a]])), pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])),
-                 pa.array(np.concatenate([np.full(len(some), -1), node[b]]), mask=np.concatenate([np.ones(len(some), bool), np.zeros(len(a), bool)]))],
-                names=["a", "links", "b"],
-            )
-
-    return run
-
+def _similar(threshold: float):
+    def matrix(rows: pa.RecordBatch) -> np.ndarray:
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column("shingles")]
+        size = np.array([len(s) for s in sets], np.float64)
+        both = _shared(sets)
+        return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
 
-def _block_pairs(df: DataFrame, count: Column) -> DataFrame:
-    """Each row once for every pair of blocks that its own block takes part in."""
-    blocks = F.ceil(count / BLOCK).cast("int")
-    df = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    df = df.select("*", other)
-    return df.withColumn("pa", F.least("block", "other")).withColumn("pb", F.greatest("block", "other")).drop("other", "blocks")
+    return matrix
 
 
 def jaccard_join(
@@ -276,10 +201,7 @@ def jaccard_join(
     )
     same = ["t1", "t2"]
     texts = signed.groupBy(*same).agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # A text goes by its smallest id, or by its hash where different texts (or rows without id) share that id.
-    shared = texts.groupBy("rep").agg(F.count(F.lit(1)).alias("users")).filter("users > 1")
-    node = F.when(F.col("users").isNull(), F.col("rep")).otherwise(-1 - F.abs(F.col("t1")))
-    texts = stage(texts.join(shared, "rep", "left").select(*same, "rep", "copies", node.alias("node")))
+    texts = stage(named_texts(texts, same))
     # One row a text: of rows alike in id and text any will do, their signatures are equal.
     reps = stage(
         signed.filter("n_shingles > 0")
@@ -291,7 +213,7 @@ def jaccard_join(
 
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    paired = _block_pairs(banded.join(crowded, "bucket"), F.col("members"))
+    paired = block_pairs(banded.join(crowded, "bucket"), F.col("members"))
     blocks = paired.join(reps.select("node", "signature"), "node").select("bucket", "pa", "pb", "block", "node", "signature")
     keys = ["bucket", "pa", "pb"]
     candidates = (
@@ -307,21 +229,7 @@ def jaccard_join(
     sets = wanted.select("node", "component", "members", "copies", "text").mapInArrow(
         _set_maker(words), "node long, component long, members long, copies long, shingles binary"
     )
-    keys = ["component", "pa", "pb"]
-    exact = stage(
-        _block_pairs(sets, F.col("members"))
-        .select(*keys, "block", "node", "copies", "shingles")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(_compare_exactly(threshold), "a long, links long, b long")
-    )
-    linked = exact.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = components(exact.filter("b IS NOT NULL").select("a", "b"))
-    named = texts.join(classes, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-    found = texts.join(linked, "node", "left").join(classes, "node", "left").join(named, "component", "left")
-    known = found.select(
-        *same, F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    known = classes_of(texts, same, *exact_links(sets, "shingles", _similar(threshold)))
     out = docs.select(
         ordered_id(id_col).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), packed(docs).alias("row")
     ).join(known, same, "left")

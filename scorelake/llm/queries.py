@@ -12,6 +12,7 @@ from scorelake.llm.common import table, tokenizer_model
 from scorelake.llm.decontaminate import find_leaks
 from scorelake.llm.histogram_shards import shard_by_bytes
 from scorelake.llm.jaccard_join import jaccard_join
+from scorelake.llm.lattice import lattice_dedup
 from scorelake.llm.line_dedup import dedup_lines
 from scorelake.llm.piece_bpe import encode_documents
 from scorelake.llm.quality import fit_quality, score_quality
@@ -136,3 +137,9 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classed = jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classed.select("doc_id", "class_id", "n_links", "kept")
+
+
+@query("op8_lattice_hashing")
+def op8_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice_dedup(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
