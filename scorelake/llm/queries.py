@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.llm.archives import convert_arc, read_warc, write_arc
 from scorelake.llm.common import table, tokenizer_model
 from scorelake.llm.decontaminate import find_leaks
+from scorelake.llm.disclosure import sanitise
 from scorelake.llm.histogram_shards import shard_by_bytes
 from scorelake.llm.jaccard_join import jaccard_join
 from scorelake.llm.lattice import lattice_dedup
@@ -143,3 +144,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lattice_dedup(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op7_disclosure")
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")), ["email", "ip", "card", "phone"])
