@@ -75,9 +75,9 @@ def link_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def block_pairs(df: DataFrame, count: Column) -> DataFrame:
-    """Each row once for every pair of blocks that its own block takes part in."""
-    blocks = F.ceil(count / BLOCK).cast("int")
+def block_pairs(df: DataFrame, count: Column, size: int = BLOCK) -> DataFrame:
+    """Each row once for every pair of blocks (of about ``size`` rows) that its own block takes part in."""
+    blocks = F.ceil(count / size).cast("int")
     df = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     df = df.select("*", other)

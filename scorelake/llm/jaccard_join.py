@@ -46,6 +46,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 STEP = 16  # hashes compared before each look at the posterior
+BUCKET_BLOCK = 1024  # signatures in a block of a bucket: larger blocks meet less often and send fewer links
 PAIRS_AT_ONCE = 50_000
 COLUMNS_AT_ONCE = 4096
 
@@ -205,15 +206,14 @@ def jaccard_join(
     # One row a text: of rows alike in id and text any will do, their signatures are equal.
     reps = stage(
         signed.filter("n_shingles > 0")
-        .join(texts, same)
-        .filter("did = rep")
-        .dropDuplicates(same)
-        .select(*same, "node", "copies", "signature", "bands")
+        .join(texts.withColumnRenamed("rep", "did"), ["did", *same])
+        .dropDuplicates(["did", *same])
+        .select("did", *same, "node", "copies", "signature", "bands")
     )
 
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    paired = block_pairs(banded.join(crowded, "bucket"), F.col("members"))
+    paired = block_pairs(banded.join(crowded, "bucket"), F.col("members"), BUCKET_BLOCK)
     blocks = paired.join(reps.select("node", "signature"), "node").select("bucket", "pa", "pb", "block", "node", "signature")
     keys = ["bucket", "pa", "pb"]
     candidates = (
@@ -224,8 +224,8 @@ def jaccard_join(
     grouped = components(candidates)
 
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    asked = reps.select(*same, "node", "copies").join(grouped.join(sizes, "component"), "node")
-    wanted = rows.join(asked, same).dropDuplicates(same)
+    asked = reps.select("did", *same, "node", "copies").join(grouped.join(sizes, "component"), "node")
+    wanted = rows.join(asked, ["did", *same]).dropDuplicates(["did", *same])
     sets = wanted.select("node", "component", "members", "copies", "text").mapInArrow(
         _set_maker(words), "node long, component long, members long, copies long, shingles binary"
     )

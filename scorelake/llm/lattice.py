@@ -183,7 +183,7 @@ def lattice_dedup(
     rows = vectors.select(ordered_id(id_col).alias("did"), *hashed, value.alias("vector"))
     entered = stage(rows.mapInArrow(_hasher(tables, neighbours, scale), _ENTRIES))
     named = stage(named_texts(entered.groupBy(*same).agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies")), same))
-    reps = stage(entered.join(named, same).filter("did = rep").dropDuplicates(same).drop("did", "rep", *same))
+    reps = stage(entered.join(named.withColumnRenamed("rep", "did"), ["did", *same]).dropDuplicates(["did", *same]).drop("did", *same))
 
     sketch = ["node", "s1", "s2"]
     entries = reps.select(*sketch, F.explode("own").alias("cell"), F.lit(True).alias("entry"))
