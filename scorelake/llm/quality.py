@@ -136,7 +136,7 @@ def grow(
     share = float(np.mean(y)) if len(y) else 0.5
     inner, leaves = 2**depth - 1, 2**depth
     start = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), start)
     edges = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins)) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
