@@ -10,8 +10,8 @@ own wherever it stands near that entity.  Sanitised texts have entities replaced
 by their kind, a number-bearing term by ``<NUMBER>``, and other terms removed.
 
 Only DataFrame functions are used.  A text's spans are found inside its row;
-what is shuffled are words near entities and, for the counts, the corpus's
-words that are candidates at all.
+what is shuffled are words near entities and, for the counts, one row for each
+word of a task.
 
 Defined cases: a null or empty text has no spans; positions are code points, end
 exclusive; values are compared in lower case without blanks and separators;
@@ -128,8 +128,8 @@ def disclosing_terms(
     ).filter(F.col("c") >= min_documents)
     entities = near.select("did", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    asked = together.select("term").distinct()
-    spread = docs.select(F.explode(words).alias("term")).join(asked, "term").groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    # Words are summed up where they are read; only one row a word meets the candidates.
+    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"))
     # Term counts and N are of rows: a repeated row weighs in both.
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     share = F.col("c") / F.col("d")
