@@ -25,8 +25,14 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+def missing_as_null(x: Column) -> Column:
+    """A double with NaN as null."""
+    return F.when(~F.isnan(x), x)
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation of the complete pairs; null without variance (``corr`` would fail)."""
+    x, y = missing_as_null(x.cast("double")), missing_as_null(y.cast("double"))
     both = x.isNotNull() & y.isNotNull()
     spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
     return F.when(spread > 0, F.covar_pop(x, y) / spread)

@@ -20,7 +20,9 @@ PREFIX_HEX = 4  # 65,536 buckets per group
 
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:
-    return F.md5(F.concat_ws("|", *[col(k) for k in keys], F.lit(str(seed))))
+    """md5 of the keys and the seed; a null key has a sign of its own, so it cannot pass for another's place."""
+    parts = [F.coalesce(col(k).cast("string"), F.lit("\x00")) for k in keys]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
 def uniform(keys: Sequence[Column], seed: int) -> Column:
@@ -38,7 +40,7 @@ def _bucket_offsets(hashed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rank_cutoffs(hashed: DataFrame, by: Sequence[str], wanted: DataFrame) -> DataFrame:
-    """Hash value of chosen ranks: ``(by..., cut, h)``.
+    """Hash value of chosen ranks: ``(by..., cut, h, k, upto)``; ``upto`` rows have that hash or a lower one.
 
     ``hashed`` has the hash in ``_h``; ``wanted`` is a small table
     ``(by..., cut, k)`` of 1-based ranks.  Ranks below 1 have no row.
@@ -56,14 +58,20 @@ def rank_cutoffs(hashed: DataFrame, by: Sequence[str], wanted: DataFrame) -> Dat
     inside = Window.partitionBy(*by, "_bucket").orderBy("_h")
     numbered = null_safe_join(rows, buckets, by + ["_bucket"]).withColumn(
         "k", F.col("_offset") + F.row_number().over(inside)
-    )
+    ).withColumn("_upto", F.col("_offset") + F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, 0)))
     return small_side(
-        null_safe_join(numbered.select(*by, "k", "_h"), chosen.select(*by, "k", "cut"), by + ["k"]).select(
-            *by, "cut", F.col("_h").alias("h")
+        null_safe_join(numbered.select(*by, "k", "_h", "_upto"), chosen.select(*by, "k", "cut"), by + ["k"]).select(
+            *by, "cut", F.col("_h").alias("h"), "k", F.col("_upto").alias("upto")
         )
     )
 
 
+def refuse_ties(cutoffs: DataFrame, keys: Sequence[str]) -> None:
+    """Keys that repeat at a cut-off leave no exact size to keep."""
+    if not cutoffs.filter("upto > k").isEmpty():
+        raise ValueError(f"the keys {list(keys)} repeat where the sample is cut; name columns that tell rows apart")
+
+
 def dense_index(hashed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``_index``: 0-based position of each row in the hash order of its group."""
     by = list(by)

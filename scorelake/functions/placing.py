@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -46,10 +47,11 @@ def place(
             tests = [" AND ".join(f"{quote(b)} <=> {_literal(r[b])}" for b in by) for r in rows]
             chosen = "CASE " + " ".join(f"WHEN {t} THEN {p}" for t, p in zip(tests, positions)) + " END"
         return df.withColumn(output, F.expr(f"CASE WHEN {quote(value)} IS NOT NULL THEN {chosen} END"))
-    side = small_side(breaks.select(*[col(b) for b in by], F.col("breaks").alias("_breaks")))
-    test = "e <= x" if left_closed else "e < x"
+    held, at = f"_breaks_{uuid.uuid4().hex}", f"_value_{uuid.uuid4().hex}"  # no column of the caller's has these names
+    side = small_side(breaks.select(*[col(b) for b in by], F.col("breaks").alias(held)))
+    test = f"e <= {at}" if left_closed else f"e < {at}"
     return (
-        null_safe_join(df.withColumn("x", x.cast("double")), side, by, "left")
-        .withColumn(output, F.expr(f"CASE WHEN x IS NOT NULL THEN size(filter(_breaks, e -> {test})) END"))
-        .drop("x", "_breaks")
+        null_safe_join(df.withColumn(at, x.cast("double")), side, by, "left")
+        .withColumn(output, F.expr(f"CASE WHEN {at} IS NOT NULL THEN size(filter({held}, e -> {test})) END"))
+        .drop(at, held)
     )

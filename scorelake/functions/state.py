@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 # Rows a fitted-state table (bins, coefficients, quantiles per group) may have
 # before it is treated as ordinary distributed data.
-MAX_STATE_ROWS = 200_000
+MAX_STATE_ROWS = 2_000_000
+# What may be sent to every task: rows fetched to find out, and bytes.
+MAX_BROADCAST_ROWS = 50_000
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -48,15 +51,15 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_STATE_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Compute ``df`` once and mark it for broadcast only when it is small.
 
-    Up to ``max_rows`` rows come back as a local table with a broadcast hint.
-    Beyond that the result is checkpointed and carries no hint, so joins with it
+    Up to ``max_rows`` rows and ``max_bytes`` come back as a local table with a
+    broadcast hint.  Beyond either the result is checkpointed and carries no hint, so joins with it
     stay shuffle joins that adaptive execution can still split on skew.
     """
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows <= max_rows:
+    if table.num_rows <= max_rows and table.nbytes <= max_bytes:
         return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
     return materialise(df)
 

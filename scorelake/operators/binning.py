@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -234,28 +234,41 @@ def bins_by_variable(bins: DataFrame) -> dict[str, list[Row]]:
     return grouped
 
 
-def bin_condition(entry: Row, siblings: Sequence[Row]) -> str:
-    """Spark SQL test that a row's value belongs to the bin."""
-    value = quote(entry.variable)
+@dataclass(frozen=True)
+class Dialect:
+    """How names, numbers and texts are written."""
+
+    name: Callable[[str], str]
+    number: Callable[[float], str]
+    text: Callable[[str], str]
+    string: str | None = "string"  # type that categories are cast to; None: the column is text
+
+
+SPARK = Dialect(quote, sql_number, sql_text)
+
+
+def bin_condition(entry: Row, siblings: Sequence[Row], dialect: Dialect = SPARK) -> str:
+    """SQL test that a row's value belongs to the bin."""
+    value = dialect.name(entry.variable)
     if entry.is_missing:
         return f"{value} IS NULL"
     if entry.kind == "categorical":
-        text = f"cast({value} AS string)"
+        text = f"cast({value} AS {dialect.string})" if dialect.string else value
         if entry.is_other:
-            named = ", ".join(sql_text(c) for s in siblings for c in (s.categories or []))
+            named = ", ".join(dialect.text(c) for s in siblings for c in (s.categories or []))
             return f"{value} IS NOT NULL" + (f" AND {text} NOT IN ({named})" if named else "")
         if not entry.categories:
-            return "false"
-        return f"{text} IN ({', '.join(sql_text(c) for c in entry.categories)})"
+            return "1 = 0"
+        return f"{text} IN ({', '.join(dialect.text(c) for c in entry.categories)})"
     number = f"cast({value} AS double)"
     if entry.categories:  # special codes of a numeric variable
-        return f"{number} IN ({', '.join(sql_number(c) for c in entry.categories)})"
+        return f"{number} IN ({', '.join(dialect.number(c) for c in entry.categories)})"
     tests = [f"{value} IS NOT NULL"]
     if entry.lower is not None:
-        tests.append(f"{number} {'>=' if entry.lower_inclusive else '>'} {sql_number(entry.lower)}")
+        tests.append(f"{number} {'>=' if entry.lower_inclusive else '>'} {dialect.number(entry.lower)}")
     if entry.upper is not None:
-        tests.append(f"{number} {'<=' if entry.upper_inclusive else '<'} {sql_number(entry.upper)}")
-    special = [sql_number(c) for s in siblings if s.is_special for c in (s.categories or [])]
+        tests.append(f"{number} {'<=' if entry.upper_inclusive else '<'} {dialect.number(entry.upper)}")
+    special = [dialect.number(c) for s in siblings if s.is_special for c in (s.categories or [])]
     if special:
         tests.append(f"{number} NOT IN ({', '.join(special)})")
     return " AND ".join(tests)
@@ -386,16 +399,28 @@ class BinOverride:
     source_bin_ids: tuple[str, ...] = ()
     new_bin_id: str = ""
     new_label: str = ""
-    position: str = "first"
+    position: str = "last"
 
 
-def _check_override(o: BinOverride, entries: Sequence[Row]) -> None:
+@dataclass
+class _Edited:
+    """A bin between edits: the original bins it holds, and the label an edit gave it."""
+
+    bin_id: str
+    kind: str
+    order: int
+    members: list[str]
+    label: str | None = None
+
+
+def _merged(o: BinOverride, entries: list[_Edited]) -> list[_Edited]:
+    """The variable's bins after one edit; earlier edits have used up their sources."""
     if not o.reason.strip():
         raise ValueError(f"override of {o.variable!r} needs a reason")
     if not entries:
         raise ValueError(f"override names unknown variable {o.variable!r}")
     if o.action in ("reject_variable", "reorder_missing_bin", "reorder_special_bin"):
-        return
+        return entries
     if o.action not in ("merge_bins", "group_categories"):
         raise ValueError(f"unknown override action {o.action!r}")
     known = {e.bin_id: e for e in entries}
@@ -404,28 +429,33 @@ def _check_override(o: BinOverride, entries: Sequence[Row]) -> None:
     unknown = [b for b in o.source_bin_ids if b not in known]
     if unknown:
         raise ValueError(f"override of {o.variable!r} names unknown bins {unknown}")
-    kinds = {known[b].kind for b in o.source_bin_ids}
+    sources = [known[b] for b in o.source_bin_ids]
+    kinds = {e.kind for e in sources}
     if o.action == "group_categories" and kinds != {"categorical"}:
         raise ValueError("group_categories applies to categorical variables only")
     if kinds == {"numeric"}:
-        orders = [known[b].bin_order for b in o.source_bin_ids]
-        if orders != list(range(orders[0], orders[0] + len(orders))):
+        places = [entries.index(e) for e in sources]
+        if places != list(range(places[0], places[0] + len(places))):
             raise ValueError("numeric bins must be adjacent and listed in order")
+    name = o.new_bin_id or o.source_bin_ids[0]
+    rest = [e for e in entries if e.bin_id not in o.source_bin_ids]
+    if any(e.bin_id == name for e in rest):
+        raise ValueError(f"override of {o.variable!r} reuses the bin id {name!r}")
+    members = [m for e in sources for m in e.members]
+    joined = _Edited(name, sources[0].kind, min(e.order for e in sources), members, o.new_label or None)
+    return sorted([*rest, joined], key=lambda e: e.order)
 
 
 def apply_overrides(bins: DataFrame, overrides: Sequence[BinOverride]) -> DataFrame:
-    """Edited bins: sources of a merge become one bin with summed counts."""
-    spec = bins_by_variable(bins)
+    """Edits one after another: sources of a merge become one bin with summed counts, which later edits may name."""
+    edited = {
+        v: [_Edited(e.bin_id, e.kind, e.bin_order, [e.bin_id]) for e in entries] for v, entries in bins_by_variable(bins).items()
+    }
     for o in overrides:
-        _check_override(o, spec.get(o.variable, []))
+        edited[o.variable] = _merged(o, edited.get(o.variable, []))
     rejected = [o.variable for o in overrides if o.action == "reject_variable"]
     kept = bins.filter(~F.col("variable").isin(*rejected)) if rejected else bins
-    merges = [
-        (o.variable, b, o.new_bin_id or o.source_bin_ids[0], o.new_label or None)
-        for o in overrides
-        if o.action in ("merge_bins", "group_categories")
-        for b in o.source_bin_ids
-    ]
+    merges = [(v, m, e.bin_id, e.label) for v, entries in edited.items() for e in entries if len(e.members) > 1 for m in e.members]
     if merges:
         mapping = constants(
             bins, merges, "variable string, bin_id string, new_bin_id string, new_label string"

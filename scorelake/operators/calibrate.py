@@ -42,6 +42,7 @@ class Platt:
     """Averaged sigmoids of the log-odds; several when cross-validated."""
 
     parts: tuple[tuple[float, float], ...]  # (slope, intercept)
+    status: str = "fitted"  # or "too_few_rows", which leaves probabilities as they are
 
     def transform(self, df: DataFrame, output: str = PROBABILITY) -> DataFrame:
         if not self.parts:
@@ -85,10 +86,16 @@ def _fit_sigmoid(weights: DataFrame) -> tuple[float, float]:
     return slope, float(fitted.intercept)
 
 
-def fit_platt(df: DataFrame, target: TargetSpec, folds: int = 0, keys: Sequence[str] = (), seed: int = 42) -> Platt:
-    """Too few rows give the identity; ``folds`` > 1 averages one sigmoid per training fold."""
-    if df.filter(target.is_known).limit(MIN_ROWS).count() < MIN_ROWS:
-        return Platt(())
+def _enough(df: DataFrame, target: TargetSpec, min_rows: int) -> bool:
+    return df.filter(target.is_known).limit(min_rows).count() >= min_rows
+
+
+def fit_platt(
+    df: DataFrame, target: TargetSpec, folds: int = 0, keys: Sequence[str] = (), seed: int = 42, min_rows: int = MIN_ROWS
+) -> Platt:
+    """Fewer than ``min_rows`` rows give the identity and say so; ``folds`` > 1 averages one sigmoid per training fold."""
+    if not _enough(df, target, min_rows):
+        return Platt((), "too_few_rows")
     if folds <= 1:
         return Platt((_fit_sigmoid(_value_weights(df, target)),))
     folded = with_folds(df, keys, folds, seed)
@@ -100,8 +107,11 @@ class Isotonic:
     """Averaged step functions; predictions outside the fitted range are clipped."""
 
     models: tuple
+    status: str = "fitted"  # or "too_few_rows", which leaves probabilities as they are
 
     def transform(self, df: DataFrame, output: str = PROBABILITY) -> DataFrame:
+        if not self.models:
+            return df.withColumn(output, F.col(PROBABILITY))
         raw = "_raw_probability"
         current = df.withColumn(raw, F.col(PROBABILITY))
         for i, m in enumerate(self.models):
@@ -118,8 +128,12 @@ def _fit_steps(weights: DataFrame):
     return IsotonicRegression(weightCol="weight").fit(data)
 
 
-def fit_isotonic(df: DataFrame, target: TargetSpec, folds: int = 0, keys: Sequence[str] = (), seed: int = 42) -> Isotonic:
-    """Fitted on distinct probabilities weighted by their rows, so ties are one point."""
+def fit_isotonic(
+    df: DataFrame, target: TargetSpec, folds: int = 0, keys: Sequence[str] = (), seed: int = 42, min_rows: int = MIN_ROWS
+) -> Isotonic:
+    """Fitted on distinct probabilities weighted by their rows, so ties are one point; ``min_rows`` as for Platt."""
+    if not _enough(df, target, min_rows):
+        return Isotonic((), "too_few_rows")
     if folds <= 1:
         return Isotonic((_fit_steps(_value_weights(df, target)),))
     folded = with_folds(df, keys, folds, seed)

@@ -1,4 +1,4 @@
-"""Variable clusters from a correlation table (at most a few dozen variables)."""
+"""Variable clusters from a correlation table (one row per variable or pair, never per row)."""
 
 from __future__ import annotations
 
@@ -11,18 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake.functions.columns import constants, null_safe_join
-from scorelake.functions.state import materialise
+from scorelake.functions.state import collect_state, materialise
 
-CANDIDATE_LIMIT = 50
 RULES = ("highest_iv", "lowest_missing", "manual")
 
 
-def candidates(iv: DataFrame, columns: Sequence[str], limit: int = CANDIDATE_LIMIT) -> list[str]:
-    """Columns with an IV, best first."""
-    rows = (
-        iv.filter(F.col("variable").isin(*columns)).orderBy(F.desc("iv"), "variable").limit(limit).select("variable")
-    )
-    return [r.variable for r in rows.collect()]
+def candidates(iv: DataFrame, columns: Sequence[str], limit: int | None = None) -> list[str]:
+    """Columns with an IV, best first; all of them unless the caller sets a limit."""
+    ranked = collect_state(iv.filter(F.col("variable").isin(*columns)).select("variable", "iv"), what="candidates")
+    ranked.sort(key=lambda r: (-r.iv if r.iv is not None else float("inf"), r.variable))
+    return [r.variable for r in ranked[:limit]]
 
 
 def _describe(labels: DataFrame, corr: DataFrame, stats: DataFrame, rule: str) -> DataFrame:
@@ -102,13 +100,11 @@ def hierarchical_clusters(
 ) -> DataFrame:
     """Merge the closest clusters (distance 1 - corr) until none is within ``cut``.
 
-    The correlations come from Spark; only the k by k table (k is limited) is
+    The correlations come from Spark; only the k by k table of the k variables is
     merged, inside one grouped task.
     """
     if linkage not in ("average", "complete"):
         raise ValueError("linkage must be average or complete")
-    if len(columns) > CANDIDATE_LIMIT:
-        raise ValueError(f"at most {CANDIDATE_LIMIT} variables can be clustered")
     names = list(columns)
     corr = materialise(corr)
 

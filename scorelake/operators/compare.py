@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorelake.functions.columns import col
 
@@ -43,10 +42,8 @@ def compare_validation(baseline: DataFrame, challenger: DataFrame) -> DataFrame:
     return side_by_side(baseline, challenger, ["role"], ["auc", "gini", "ks"], ["auc", "gini", "ks"])
 
 
-def compare_cutoffs(baseline: DataFrame, challenger: DataFrame, limit: int = 20) -> DataFrame:
-    """Bands with the same upper bound side by side: the first ``limit`` cut-offs per role."""
+def compare_cutoffs(baseline: DataFrame, challenger: DataFrame) -> DataFrame:
+    """Bands with the same upper bound side by side, all cut-offs of every role."""
     values = ["approval_rate", "bad_rate", "capture_rate", "count"]
     named = [d.filter("upper IS NOT NULL").withColumnRenamed("upper", "cutoff") for d in (baseline, challenger)]
-    both = side_by_side(*named, ["role", "cutoff"], values)
-    order = Window.partitionBy("role").orderBy("cutoff")
-    return both.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
+    return side_by_side(*named, ["role", "cutoff"], values)

@@ -9,40 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.columns import col, safe_corr
+from scorelake.functions.columns import col, missing_as_null
 from scorelake.functions.ordered import average_ranks
 from scorelake.functions.state import small_side
 
-# Up to this many columns the pairs are plain aggregates; beyond it their number
-# would leave generated code, so partitions send summed products instead.
-MAX_AGGREGATE_COLUMNS = 4
-
-
-def _pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
-    return _index_pairs(range(len(columns)))
-
-
 def _pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(i, j, corr, n)`` over the rows where both columns are present."""
-    if len(columns) > MAX_AGGREGATE_COLUMNS:
-        return _pearson_by_products(df, columns)
-    x = [col(c).cast("double") for c in columns]
-    pairs = _pairs(columns)
-    aggregated = df.agg(
-        *[safe_corr(x[i], x[j]).alias(f"r_{i}_{j}") for i, j in pairs],
-        *[F.count(F.when(x[i].isNotNull() & x[j].isNotNull(), 1)).alias(f"n_{i}_{j}") for i, j in pairs],
-    )
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r_{i}_{j}").alias("corr"), F.col(f"n_{i}_{j}").alias("n")
-        )
-        for i, j in pairs
-    ]
-    return aggregated.select(F.inline(F.array(*rows)))
+    """``(i, j, corr, n)`` over the rows where both columns are present.
 
-
-def _pearson_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Masked, centred cross products per partition, summed per pair."""
+    Partitions send masked, centred cross products, one row per pair, whatever the number of columns.
+    """
     k = len(columns)
     means = df.agg(*[F.coalesce(F.avg(col(c).cast("double")), F.lit(0.0)).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
     centres = np.array([means[i] for i in range(k)])
@@ -94,7 +69,7 @@ def correlation_matrix(
 ) -> DataFrame:
     """``(variable_a, variable_b, corr, n, warning)`` for each pair of columns.
 
-    An undefined correlation is 0.  With ``missing="pairwise"`` ranks of a pair
+    An undefined correlation is 0; NaN counts as missing.  With ``missing="pairwise"`` ranks of a pair
     are taken over the rows where both are present.
     """
     if method not in ("pearson", "spearman"):
@@ -102,7 +77,7 @@ def correlation_matrix(
     if missing not in ("pairwise", "complete_case"):
         raise ValueError("missing must be pairwise or complete_case")
     columns = list(columns)
-    used = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    used = df.select(*[missing_as_null(col(c).cast("double")).alias(c) for c in columns])
     if missing == "complete_case":
         used = used.dropna()
     if method == "pearson":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, count_if, null_safe_join, ratio, safe_corr
+from scorelake.functions.columns import col, constants, count_if, null_safe_join, ratio, safe_corr
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, SCORE
@@ -83,18 +83,22 @@ def fairness_parity(groups: DataFrame) -> DataFrame:
     )
 
 
+_PROXY_ROWS = "array<struct<sensitive_column:string,feature:string,correlation:double,same_column:boolean,importance:double>>"
+
+
 def proxy_risk(
     df: DataFrame,
     sensitive: Sequence[str],
     features: Sequence[str],
     importance: Mapping[str, float] | None = None,
-    correlation_threshold: float = 0.5,
-    importance_threshold: float = 0.1,
+    correlation_threshold: float = 0.3,
+    importance_threshold: float = 0.05,
 ) -> DataFrame:
     """Per sensitive column and feature: absolute correlation and the column's risk level.
 
     High when a feature is the column itself or correlates above the threshold;
-    otherwise medium when the column's own importance is above its threshold.
+    otherwise medium when the column's own importance is above its threshold.  A
+    sensitive column that is absent has one row without a feature and risk "unknown".
     """
     importance = dict(importance or {})
     is_number = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
@@ -119,10 +123,14 @@ def proxy_risk(
                 F.lit(float(importance.get(s, 0.0))).alias("importance"),
             )
         )
-    table = numbers.select(F.inline(F.array(*rows)))
+    table = numbers.select(F.inline(F.array(*rows).cast(_PROXY_ROWS)))
     is_proxy = F.col("same_column") | F.coalesce(F.col("correlation") > F.lit(correlation_threshold), F.lit(False))
     column = Window.partitionBy("sensitive_column")
-    return table.select(
+    absent = constants(df, [(s,) for s in sensitive if s not in is_number], "sensitive_column string").select(
+        "sensitive_column", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("correlation"),
+        F.lit(False).alias("is_proxy"), F.lit("unknown").alias("risk_level"),
+    )
+    rated = table.select(
         "sensitive_column",
         "feature",
         "correlation",
@@ -132,3 +140,4 @@ def proxy_risk(
         .otherwise(F.lit("low"))
         .alias("risk_level"),
     )
+    return rated.unionByName(absent)

@@ -147,7 +147,13 @@ def _treated_columns(df: DataFrame, treatments: Sequence[Treatment]) -> tuple[di
             if t.column not in df.columns:
                 raise ValueError(f"treatment names unknown column {t.column!r}")
             before = current.get(t.column, col(t.column))
-            value = F.lit(t.value).cast(df.schema[t.column].dataType)
+            kind_of = df.schema[t.column].dataType
+            if kind != "impute" and not isinstance(kind_of, T.NumericType):
+                raise ValueError(f"column {t.column!r} is not numeric")
+            # A fractional limit widens a column of whole numbers instead of being cut to one.
+            fractional = isinstance(kind_of, T.IntegralType) and isinstance(t.value, float) and not t.value.is_integer()
+            value = F.lit(float(t.value)) if fractional else F.lit(t.value).cast(kind_of)
+            before = before.cast("double") if fractional else before
             if kind == "impute":
                 changed = before.isNull()
             else:

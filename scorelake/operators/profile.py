@@ -220,12 +220,16 @@ def _share_matching(df: DataFrame, names: Sequence[str], test, threshold: float,
     return counts.select(F.inline(rows)).withColumn("code", F.when(flagged, F.lit(code)).otherwise(F.lit("OK")))
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def string_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns whose values are numbers once one comma and a leading $ are removed."""
 
     def parses(value: Column) -> Column:
         cleaned = F.regexp_replace(F.regexp_replace(value, r"^([^,]*),", "$1"), r"^\s*\$", "")
-        return F.trim(cleaned).try_cast("double").isNotNull()
+        plain = F.trim(cleaned)  # Java's suffixes, as in 12d or 7F, are codes and not numbers
+        return plain.rlike(NUMBER) & plain.try_cast("double").isNotNull()
 
     return _share_matching(df, _string_columns(df, columns), parses, STRING_NUMERIC_RATIO, "STRING_CODED_NUMERIC")
 

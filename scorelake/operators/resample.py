@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake.functions.columns import col, constants, null_safe_join
-from scorelake.functions.hashing import dense_index, hash_order, rank_cutoffs, uniform
+from scorelake.functions.hashing import dense_index, hash_order, rank_cutoffs, refuse_ties, uniform
 from scorelake.functions.state import materialise
 from scorelake.functions.target import TargetSpec
 
@@ -30,18 +30,20 @@ def _class_counts(df: DataFrame, target: TargetSpec) -> tuple[int, int]:
 
 
 def resample_sizes(n_bad: int, n_good: int, strategy: str, ratio: float) -> tuple[int, int]:
-    """Target row counts (bad, good); a ratio above 1 leaves the class alone."""
-    capped = ratio <= 1.0
-    if strategy == "undersample_majority":
-        return n_bad, min(int(n_bad * ratio) if capped else n_good, n_good)
-    if strategy == "oversample_minority":
-        return max(int(n_good * ratio) if capped else n_bad, n_bad), n_good
-    if strategy == "combined":
-        middle = (n_bad + n_good) // 2
-        bad = int(middle * ratio) if capped else n_bad
-        good = int(middle * ratio) if capped else n_good
-        return max(bad, n_bad), min(good, n_good)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    """Target row counts (bad, good).
+
+    A strategy names the size that its class or classes move towards; bads only
+    grow, goods only shrink, and a ratio above 1 moves nothing.
+    """
+    towards = {
+        "undersample_majority": (None, n_bad),
+        "oversample_minority": (n_good, None),
+        "combined": ((n_bad + n_good) // 2,) * 2,
+    }
+    if strategy not in towards:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    bad, good = (None if size is None or ratio > 1.0 else int(size * ratio) for size in towards[strategy])
+    return n_bad if bad is None else max(bad, n_bad), n_good if good is None else min(good, n_good)
 
 
 def _keep_lowest(df: DataFrame, keys: Sequence[str], seed: int, k: int) -> DataFrame:
@@ -50,7 +52,9 @@ def _keep_lowest(df: DataFrame, keys: Sequence[str], seed: int, k: int) -> DataF
     if k <= 0:
         return df.filter(F.lit(False))
     wanted = constants(df, [(0, "keep", k)], "_one int, cut string, k long")
-    cut = rank_cutoffs(hashed.select(F.lit(0).alias("_one"), "_h"), ["_one"], wanted).first()
+    cutoffs = rank_cutoffs(hashed.select(F.lit(0).alias("_one"), "_h"), ["_one"], wanted)
+    refuse_ties(cutoffs, keys)
+    cut = cutoffs.first()
     return hashed.filter(F.col("_h") <= F.lit(cut.h)).drop("_h") if cut else df
 
 

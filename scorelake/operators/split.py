@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.columns import col, null_safe_join
-from scorelake.functions.hashing import hash_order, rank_cutoffs
+from scorelake.functions.hashing import hash_order, rank_cutoffs, refuse_ties
 from scorelake.functions.state import small_side
 
 ROLES = ("train", "test", "oot")
@@ -60,6 +60,7 @@ def stratified_split(
     wanted = sizes.select("_stratum", F.inline(cuts))
     narrow = hashed.select(stratum.alias("_stratum"), "_h")
     cutoffs = rank_cutoffs(narrow, ["_stratum"], wanted)
+    refuse_ties(cutoffs, keys)
     wide = small_side(
         cutoffs.groupBy("_stratum").agg(
             F.max(F.when(F.col("cut") == "train", F.col("h"))).alias("_train_h"),

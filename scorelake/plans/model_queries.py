@@ -243,8 +243,8 @@ def corr_matrix(spark, sf_dir):
     f"{_CORR_CTE} SELECT variable_a, variable_b, round(corr, 6) AS corr, n FROM cm",
 )
 def corr_products(spark, sf_dir):
-    """The wide-table route: cross products summed per partition."""
-    table = corr._pearson_by_products(_with_gross(scored(spark, sf_dir)), _CORR_COLUMNS)
+    """The cross products themselves, before names and warnings are put on."""
+    table = corr._pearson(_with_gross(scored(spark, sf_dir)), _CORR_COLUMNS)
     names = F.array(*[F.lit(c) for c in _CORR_COLUMNS])
     return table.select(
         F.get(names, F.col("i")).alias("variable_a"), F.get(names, F.col("j")).alias("variable_b"),
@@ -658,3 +658,63 @@ def compare_cutoffs(spark, sf_dir):
         strategy.cutoff_bands(scored_sample(spark, sf_dir), TARGET, cutoffs=cutoffs),
         strategy.cutoff_bands(scored_sample(spark, sf_dir, "3.0"), TARGET, cutoffs=cutoffs),
     )
+
+
+# --- cases outside the usual route ------------------------------------------------------
+
+_NAN_COLUMNS = ["quantity", "price", "discount", "tax", "balance"]
+
+
+@query(
+    "corr_nan",
+    f"""{SCORED_CTE}, wide AS (SELECT CASE WHEN quantity % 7 = 0 THEN NULL ELSE quantity END AS quantity, price, discount, tax, balance FROM scored),
+    cm AS ({_corr_oracle(_NAN_COLUMNS)}) SELECT variable_a, variable_b, round(corr, 6) AS corr, n FROM cm""",
+)
+def corr_nan(spark, sf_dir):
+    """NaN counts as missing, pair by pair."""
+    holed = F.when(F.col("quantity") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("quantity"))
+    table = corr.correlation_matrix(scored(spark, sf_dir).withColumn("quantity", holed), _NAN_COLUMNS)
+    return table.select("variable_a", "variable_b", F.round("corr", 6).alias("corr"), "n")
+
+
+def _special_model(spark):
+    """Bins of quantity with a special code, and one bin of discount that leaves values unmatched."""
+    row = dict.fromkeys(["lower", "upper", "categories"]) | {"is_missing": False, "is_special": False, "is_other": False}
+    row |= {"kind": "numeric", "lower_inclusive": True, "upper_inclusive": False, "row_count": 1, "good_count": 1, "bad_count": 0}
+    entries = [
+        ("quantity", "q_missing", {"is_missing": True}, -0.4), ("quantity", "q_special", {"is_special": True, "categories": ["25.0", "26.0"]}, 0.9),
+        ("quantity", "q_low", {"upper": 20.0}, 0.2), ("quantity", "q_high", {"lower": 20.0}, -0.3), ("discount", "d_low", {"upper": 0.05}, 0.5),
+    ]
+    names = [c.strip().split(" ")[0] for c in binning.BINS_SCHEMA.split(",")]
+    rows = [
+        tuple((row | changed | {"variable": v, "bin_id": b, "bin_order": i, "label": b})[n] for n in names)
+        for i, (v, b, changed, _) in enumerate(entries)
+    ]
+    bins = spark.createDataFrame(rows, binning.BINS_SCHEMA)
+    values = spark.createDataFrame([(v, b, w) for v, b, _, w in entries], "variable string, bin_id string, woe double")
+    return bins, values, scaling.coefficients_table(bins, -1.0, {"quantity_woe": -0.8, "discount_woe": -1.2})
+
+
+def _special_oracle(unmatched):
+    return f"""{SCORED_CTE}, x AS (SELECT app_key, -1.0::DOUBLE - 0.8::DOUBLE * CASE WHEN quantity IS NULL THEN -0.4::DOUBLE WHEN quantity IN (25, 26) THEN 0.9
+        WHEN quantity < 20 THEN 0.2 ELSE -0.3 END - 1.2::DOUBLE * CASE WHEN discount < 0.05 THEN 0.5::DOUBLE ELSE {unmatched} END AS raw FROM scored)
+      SELECT app_key, round(raw, 8) AS raw_model_output, round({_OFFSET} - {_FACTOR} * raw, 4) AS score FROM x"""
+
+
+def _special_scores(spark, sf_dir, policy):
+    bins, values, coefficients = _special_model(spark)
+    text = scoring_sql(bins, values, coefficients, "{sample}", ["app_key"], SCALING, policy, "spark")
+    out = spark.sql(text, sample=scored(spark, sf_dir))
+    return out.select("app_key", F.round("raw_model_output", 8).alias("raw_model_output"), F.round("score", 4).alias("score"))
+
+
+@query("score_sql_special", _special_oracle("NULL"))
+def score_sql_special(spark, sf_dir):
+    """Special codes have a bin of their own; a value without a bin has no score."""
+    return _special_scores(spark, sf_dir, "error")
+
+
+@query("score_sql_zero", _special_oracle("0.0"))
+def score_sql_zero(spark, sf_dir):
+    """A value without a bin counts with a WOE of zero."""
+    return _special_scores(spark, sf_dir, "zero")

@@ -14,8 +14,6 @@ OVERRIDE_TYPES = {"string": "string", "int64": "bigint", "float64": "double", "b
 ENCODINGS = ("utf-8", "latin-1", "utf-16", "ascii")
 _JAVA_ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16", "ascii": "US-ASCII"}
 
-INFERENCE_ROWS = 10_000
-
 
 def infer_format(path: str) -> str:
     low = path.lower().rstrip("/")
@@ -25,10 +23,10 @@ def infer_format(path: str) -> str:
     raise ValueError(f"cannot infer the format of {path!r}; name it explicitly")
 
 
-def _inferred(sample: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """Narrowest of bigint, double, boolean, string that every sampled value fits."""
+def _inferred(text: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Narrowest of bigint, double, boolean, string that every value of the column fits: one aggregate over all rows."""
     tests = {"bigint": "bigint", "double": "double", "boolean": "boolean"}
-    row = sample.agg(
+    row = text.agg(
         *[F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[
             F.count(col(c).try_cast(t)).alias(f"{t}_{i}")
@@ -52,7 +50,10 @@ def read_csv(
     null_values: Sequence[str] = (),
     overrides: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Delimited text with types inferred from the first rows and overridden by name."""
+    """Delimited text with types inferred from all rows and overridden by name.
+
+    Inference reads the file once more; naming every column in ``overrides`` avoids it.
+    """
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding must be one of {ENCODINGS}")
     overrides = dict(overrides or {})
@@ -72,7 +73,8 @@ def read_csv(
         return F.when(col(c).isin(*null_values), F.lit(None)).otherwise(col(c)) if null_values else col(c)
 
     cleaned = text.select(*[clean(c).alias(c) for c in text.columns])
-    kinds = _inferred(cleaned.limit(INFERENCE_ROWS), text.columns)
+    open_columns = [c for c in text.columns if c not in overrides]
+    kinds = _inferred(cleaned, open_columns) if open_columns else {}
     kinds.update({c: OVERRIDE_TYPES[t] for c, t in overrides.items()})
     return cleaned.select(*[col(c).cast(kinds[c]).alias(c) for c in text.columns])
 
@@ -91,18 +93,6 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, **option
     return df
 
 
-def spread(df: DataFrame, min_rows: int = 100_000) -> DataFrame:
-    """Use every core on a table that came as too few files to split.
-
-    A plain scan knows its partitions without running; one with at least as many
-    as there are cores (any table of size) is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or df.count() < min_rows:
-        return df
-    return df.repartition(cores)
-
-
 def cap_rows(df: DataFrame, order_by: Sequence[str], limit: int) -> DataFrame:
     """The first ``limit`` rows in key order (Spark tables have no file order)."""
     if limit < 1:

@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+import re
+from dataclasses import replace
 
-from scorelake.operators.binning import bins_by_variable
+from pyspark.sql import DataFrame
+
+from scorelake.functions.columns import quote
+from scorelake.operators.binning import SPARK, Dialect, bin_condition, bins_by_variable
 from scorelake.operators.scaling import Scaling, model_of
 from scorelake.operators.woe import woe_lookup
 
-
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def _number(value: float) -> str:
-    return f"CAST({value!r} AS DOUBLE)"
+    return f"CAST({float(value)!r} AS DOUBLE)"
 
 
-def _test(entry: Row, siblings: list[Row]) -> str:
-    name = entry.variable
-    if entry.is_missing:
-        return f"{name} IS NULL"
-    if entry.kind == "categorical":
-        if entry.is_other:
-            named = ", ".join(_text(c) for s in siblings for c in (s.categories or []))
-            return f"{name} IS NOT NULL AND {name} NOT IN ({named})" if named else f"{name} IS NOT NULL"
-        return f"{name} IN ({', '.join(_text(c) for c in entry.categories)})"
-    tests = [f"{name} IS NOT NULL"]
-    if entry.lower is not None:
-        tests.append(f"{name} {'>=' if entry.lower_inclusive else '>'} {_number(entry.lower)}")
-    if entry.upper is not None:
-        tests.append(f"{name} {'<=' if entry.upper_inclusive else '<'} {_number(entry.upper)}")
-    return " AND ".join(tests)
+# Names are quoted only where they must be, so plain ones read the same everywhere.
+ANSI = Dialect(
+    name=lambda n: n if PLAIN_NAME.fullmatch(n) else '"' + n.replace('"', '""') + '"',
+    number=_number,
+    text=lambda t: "'" + str(t).replace("'", "''") + "'",
+    string=None,
+)
+SPARK_SQL = replace(SPARK, name=lambda n: n if PLAIN_NAME.fullmatch(n) else quote(n), number=_number, string=None)
+DIALECTS = {"ansi": ANSI, "spark": SPARK_SQL}
 
 
 def scoring_sql(
@@ -42,14 +38,20 @@ def scoring_sql(
     keep: list[str],
     scaling: Scaling = Scaling(),
     on_unmatched: str = "error",
+    dialect: str = "ansi",
 ) -> str:
     """CASE per variable, then log-odds, probability and score.
 
     ``on_unmatched``: "error" leaves NULL where no bin matches, so the score is
-    NULL too; "zero" uses a WOE of 0.
+    NULL too; "zero" uses a WOE of 0.  ``dialect`` ("ansi" or "spark") tells how
+    names and texts are quoted.  A model variable without bins and a bin without
+    WOE are errors.
     """
     if on_unmatched not in ("error", "zero"):
         raise ValueError("on_unmatched must be error or zero")
+    if dialect not in DIALECTS:
+        raise ValueError(f"dialect must be one of {sorted(DIALECTS)}")
+    written = DIALECTS[dialect]
     lookup, spec = woe_lookup(woe), bins_by_variable(bins)
     intercept, slopes = model_of(coefficients)
     fallback = "NULL" if on_unmatched == "error" else "0.0"
@@ -58,12 +60,15 @@ def scoring_sql(
         variable = feature.removesuffix("_woe")
         if variable not in spec:
             raise ValueError(f"no bins for model variable {variable!r}")
+        unknown = [e.bin_id for e in spec[variable] if lookup.get((variable, e.bin_id)) is None]
+        if unknown:
+            raise ValueError(f"bins {unknown} of {variable!r} have no WOE")
         whens = "\n      ".join(
-            f"WHEN {_test(e, spec[variable])} THEN {_number(lookup[(variable, e.bin_id)])}" for e in spec[variable]
+            f"WHEN {bin_condition(e, spec[variable], written)} THEN {_number(lookup[(variable, e.bin_id)])}" for e in spec[variable]
         )
-        columns.append(f"    CASE\n      {whens}\n      ELSE {fallback} END AS {feature}")
-        terms.append(f"{_number(slope)} * {feature}")
-    kept = ", ".join(keep)
+        columns.append(f"    CASE\n      {whens}\n      ELSE {fallback} END AS {written.name(feature)}")
+        terms.append(f"{_number(slope)} * {written.name(feature)}")
+    kept = ", ".join(written.name(k) for k in keep)
     woe_columns = ",\n".join(columns)
     return (
         f"WITH woe_values AS (\n  SELECT {kept},\n{woe_columns}\n  FROM {table}\n),\n"
