@@ -75,7 +75,9 @@ def _archives(records: Iterator[bytes], opening, end: bytes) -> Iterator[pa.Reco
 
 def _save(archives: DataFrame, end: bytes) -> str:
     path = staging_path(archives.sparkSession)
-    archives.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", end.decode()).text(path)
+    # The faster level costs a few hundredths of size and saves half of the compression.
+    options = {"maxRecordsPerFile": 1, "compression": "gzip", "lineSep": end.decode(), "zlib.compress.level": "THREE"}
+    archives.write.options(**options).text(path)
     return path
 
 
