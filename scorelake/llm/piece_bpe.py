@@ -43,7 +43,7 @@ SPACE = "▁"
 WORD, OTHER = "[^\\W_²]", f"(?:[^\\w{SPACE}]|[_²])"
 PART = re.compile(f"{SPACE}*{WORD}+|{SPACE}*{OTHER}+|{SPACE}+")
 ACROSS = re.compile(f"[^{SPACE}]{SPACE}|{WORD}{OTHER}|{OTHER}{WORD}")
-REMEMBERED_PARTS = 400_000  # parts kept by a worker before it forgets all
+REMEMBERED_PARTS = 800_000  # parts kept by a worker before it forgets all
 REMEMBERED_CHARS = 48  # longer parts are merged anew each time
 OUT_CHARS = 1 << 20  # text per Arrow batch on the way out
 PLACE = (1 << 32) - 1
@@ -149,16 +149,20 @@ def _coder(model: bytes, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _worker_memory()
         if (digest, check) not in memory:
-            memory[digest, check] = (PieceCodec(model), {})
-        codec, known = memory[digest, check]
+            memory[digest, check] = (PieceCodec(model), {}, {})
+        # Ids of parts; and texts of those that do not decode to themselves, which only a lossy model has.
+        codec, known, changed = memory[digest, check]
 
-        def learn(parts: set[str]) -> dict[str, tuple[bytes, str]]:
+        def learn(parts: set[str]) -> None:
             listed = list(parts)
             ids = [codec.encode_part(p) for p in listed]
             joined = [codec.join(i) for i in ids]
             if check:
                 codec.check(listed, ids, joined)
-            return {p: (array("i", i).tobytes(), j) for p, i, j in zip(listed, ids, joined, strict=True)}
+            for part, own, text in zip(listed, ids, joined, strict=True):
+                known[part] = array("i", own).tobytes()
+                if text != part.replace(SPACE, " "):
+                    changed[part] = text
 
         for batch in batches:
             texts, start = batch.column(1), 0
@@ -171,13 +175,17 @@ def _coder(model: bytes, check: bool):
                     stop += 1
                 if len(known) > REMEMBERED_PARTS:
                     known.clear()
-                rare = learn({p for parts in split for p in parts if p not in known})
-                known.update(rare)
-                coded = [b"".join([known[p][0] for p in parts]) for parts in split]
-                decoded = ["".join([known[p][1] for p in parts])[1:] for parts in split]
-                for part in rare:
+                    changed.clear()
+                fresh = set().union(*split).difference(known)
+                learn(fresh)
+                coded = [b"".join([known[p] for p in parts]) for parts in split]
+                if changed:
+                    split = [[changed.get(p, p) for p in parts] for parts in split]
+                decoded = ["".join(parts).replace(SPACE, " ")[1:] for parts in split]
+                for part in fresh:
                     if len(part) > REMEMBERED_CHARS:
                         del known[part]
+                        changed.pop(part, None)
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
                 ids = pa.ListArray.from_arrays(pa.array(ends), values)
