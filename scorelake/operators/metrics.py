@@ -213,13 +213,19 @@ def psi(df: DataFrame, target: TargetSpec, value: str = SCORE, baseline: str = "
     """Population stability of every other role against the baseline's deciles.
 
     Bins are ``[lo, hi)``.  A baseline with at most one distinct break has PSI 0.
-    An empty bin counts as half a row and is reported.
+    An empty bin counts as half a row and is reported.  Without baseline rows the
+    other roles have no PSI (null).
     """
     known = labelled(df, target, value)
     base = known.filter(F.col("role") == baseline)
     probs = [k / bins for k in range(1, bins)]
     breaks = quantile_arrays(exact_quantiles(base, [value], probs)).select("breaks")
-    edges = breaks.first().breaks
+    first = breaks.first()
+    if first is None:
+        others = known.filter(F.col("role") != baseline).select("role").distinct()
+        unknown = F.lit(None).cast("double").alias("psi")
+        return others.select(F.lit(baseline).alias("baseline"), "role", unknown, F.lit(0).cast("long").alias("empty_bins"))
+    edges = first.breaks
     counts = small_side(
         place(known, value, breaks, left_closed=True).groupBy("role", "bin").agg(F.count(F.lit(1)).alias("n"))
     )

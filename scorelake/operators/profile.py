@@ -113,7 +113,7 @@ def name_warning(column: str) -> str | None:
     return None
 
 
-def column_statistics(df: DataFrame, approximate: bool = False) -> DataFrame:
+def column_statistics(df: DataFrame) -> DataFrame:
     """Per column: rows, non-null rows, distinct values and the largest value count.
 
     Exact: values are counted per (column, value), with map-side combining, then
@@ -122,21 +122,14 @@ def column_statistics(df: DataFrame, approximate: bool = False) -> DataFrame:
     names = df.columns
     kinds = {c: c in numeric_columns(df) for c in names}
     long = unpivot_values(df, names, [], cast="string")
-    if approximate:
-        stats = long.groupBy("variable").agg(
-            F.count(F.lit(1)).alias("row_count"), F.count("value").alias("filled"),
-            F.approx_count_distinct("value").alias("distinct_values"),
-            F.lit(None).cast("long").alias("top_count"),
-        )
-    else:
-        per_value = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-        present = F.col("value").isNotNull()
-        stats = per_value.groupBy("variable").agg(
-            F.sum("n").alias("row_count"),
-            F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("filled"),
-            count_if(present).alias("distinct_values"),
-            F.max(F.when(present, F.col("n"))).alias("top_count"),
-        )
+    per_value = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    present = F.col("value").isNotNull()
+    stats = per_value.groupBy("variable").agg(
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("filled"),
+        count_if(present).alias("distinct_values"),
+        F.max(F.when(present, F.col("n"))).alias("top_count"),
+    )
     numeric = F.col("variable").isin(*[c for c in names if kinds[c]]) if any(kinds.values()) else F.lit(False)
     return stats.withColumn("is_numeric", numeric)
 

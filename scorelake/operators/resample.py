@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +173,8 @@ def smote(
     Equal feature vectors are one point with a weight, so copies never meet each
     other pairwise; a point with copies can draw a copy as its neighbour, which
     interpolates to the point itself.  Other columns of a synthetic row are null.
+    A minority row without one of the features has no place among the others and
+    is an error.
     """
     n_bad, n_good = _class_counts(df, target)
     minority_is_bad = n_bad <= n_good
@@ -183,7 +187,10 @@ def smote(
         return flagged
     minority = df.filter(target.is_bad if minority_is_bad else target.is_good)
     doubles = [col(f).cast("double").alias(f) for f in features]
-    distinct = minority.select(*doubles).dropna().groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
+    unplaced = reduce(or_, (col(f).isNull() | F.isnan(col(f)) for f in features))
+    if not minority.select(*doubles).filter(unplaced).isEmpty():
+        raise ValueError("SMOTE needs every feature of every minority row")
+    distinct = minority.select(*doubles).groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
     points = materialise(
         distinct.withColumn("_h", F.md5(F.concat_ws("|", *[col(f).cast("string") for f in features])))
     )
@@ -192,7 +199,7 @@ def smote(
     neighbours = nearest_neighbours(indexed, features, min(k, n_points - 1)) if n_points > 1 else None
     # Each draw picks a base row in proportion to its copies, then a neighbour rank.
     per_point = indexed.withColumn(
-        "quota", F.col("copies") * F.lit(float(new_rows)) / F.lit(float(minority.dropna(subset=list(features)).count()))
+        "quota", F.col("copies") * F.lit(float(new_rows)) / F.lit(float(n_min))
     )
     whole = per_point.withColumn("whole", F.floor("quota")).withColumn(
         "chance", F.md5(F.concat_ws("|", "point", F.lit(seed)))

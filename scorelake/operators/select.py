@@ -123,7 +123,7 @@ def select_variables(
         F.when(F.col("accepted") & ~full, F.lit("selected")).otherwise(F.lit("rejected")).alias("decision"),
         F.when(F.col("exclude_reason").isNotNull(), F.col("exclude_reason"))
         .when(F.col("skipped"), F.concat(F.lit("Not the representative of "), F.col("cluster_id")))
-        .when(full, limit_text)
+        .when(full & (F.lit(not use_clusters) | F.col("accepted")), limit_text)
         .when(F.col("representative"), why_representative)
         .when(F.col("manual"), F.col("include_reason"))
         .when(F.col("accepted"), high)
