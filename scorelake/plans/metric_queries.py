@@ -93,9 +93,7 @@ def calibration_curve(spark, sf_dir):
     return metrics.calibration_curve(scored_sample(spark, sf_dir), TARGET)
 
 
-@query(
-    "hosmer_lemeshow",
-    f"""WITH RECURSIVE {KNOWN_CTE[5:]}{ranking_cte('p')},
+_HOSMER_LEMESHOW = f"""WITH RECURSIVE {KNOWN_CTE[5:]}{ranking_cte('p')},
     cum AS (SELECT role, v, n, bad, bn + n AS upto, n * v AS ex FROM pre),
     sz AS (SELECT role, sum(n) AS total, ceil(sum(n) / greatest(2, least(10, sum(n) // 5))) AS size FROM pre GROUP BY role),
     ends AS (SELECT role, 0 AS k, CAST(0 AS HUGEINT) AS pos FROM sz
@@ -103,17 +101,25 @@ def calibration_curve(spark, sf_dir):
       SELECT ends.role, ends.k + 1, (SELECT min(upto) FROM cum WHERE cum.role = ends.role AND upto >= least(ends.pos + sz.size, sz.total))
       FROM ends JOIN sz ON ends.role = sz.role WHERE ends.pos < sz.total),
     g AS (SELECT cum.role, (SELECT min(k) FROM ends WHERE ends.role = cum.role AND ends.pos >= cum.upto) AS grp,
-      sum(n) AS n, sum(bad) AS ob, sum(ex) AS ex FROM cum GROUP BY ALL)
-    SELECT role, CAST(sum(n) AS BIGINT) AS known_count, count(*) AS n_bins,
+      sum(n) AS n, sum(bad) AS ob, sum(ex) AS ex FROM cum GROUP BY ALL)"""
+_HL_COLUMNS = """CAST(sum(n) AS BIGINT) AS known_count, count(*) AS n_bins,
       round(sum((ob - ex) * (ob - ex) / ex + (ob - ex) * (ob - ex) / (n - ex)), 4) AS statistic,
       CAST(greatest(1, count(*) - 2) AS INT) AS degrees_of_freedom,
-      round(avg(round(abs(ob / n - ex / n), 6)), 6) AS calibration_error FROM g GROUP BY role""",
-)
+      round(avg(round(abs(ob / n - ex / n), 6)), 6) AS calibration_error"""
+
+
+@query("hosmer_lemeshow", f"{_HOSMER_LEMESHOW} SELECT role, {_HL_COLUMNS} FROM g GROUP BY role")
 def hosmer_lemeshow(spark, sf_dir):
     return metrics.hosmer_lemeshow(scored(spark, sf_dir), TARGET).drop("p_value")
 
 
-@query("hosmer_lemeshow_p_value")
+@query(
+    "hosmer_lemeshow_p_value",
+    # The chi-square tail has a closed form for even degrees of freedom; ten groups leave eight.
+    f"""{_HOSMER_LEMESHOW}, h AS (SELECT role, {_HL_COLUMNS}, sum((ob - ex) * (ob - ex) / ex + (ob - ex) * (ob - ex) / (n - ex)) / 2 AS half FROM g GROUP BY role)
+    SELECT role, known_count, n_bins, statistic, degrees_of_freedom, calibration_error,
+      round(exp(-half) * list_sum(list_transform(range(degrees_of_freedom // 2), lambda k: pow(half, k) / factorial(CAST(k AS INT)))), 6) AS p_value FROM h""",
+)
 def hosmer_lemeshow_p_value(spark, sf_dir):
     return metrics.hosmer_lemeshow(scored(spark, sf_dir), TARGET)
 
