@@ -15,12 +15,12 @@
 A pair of similarity t misses all bands with probability (1 - t^4)^28 = 4e-7 at
 t = 0.8 and is pruned wrongly with about the tolerance; nothing else is lost.
 
-Defined cases: a null or empty text links with nothing; a text of one to four
-words has one shingle of all its words; texts without any word link only with
-equal texts; repeated rows are copies of each other; a row without an id counts
-as the largest id; an empty table gives an empty table; input columns pass
-through, ``class_id``, ``n_links`` and ``kept`` replace input columns of those
-names.
+Defined cases: equal texts always link, and so do null and empty ones with each
+other; a text of one to four words has one shingle of all its words; texts
+without any word link only with equal texts; repeated rows are copies of each
+other; a row without an id counts as the largest id; an empty table gives an
+empty table; input columns pass through, ``class_id``, ``n_links`` and ``kept``
+replace input columns of those names.
 """
 
 from __future__ import annotations
@@ -196,7 +196,7 @@ def jaccard_join(
         ordered_id(id_col).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), F.lower(text).alias("text")
     )
     signed = stage(
-        rows.filter("text <> ''").mapInArrow(
+        rows.mapInArrow(
             _signer(words), "did long, t1 long, t2 long, n_shingles long, signature binary, bands array<long>"
         )
     )

@@ -57,7 +57,7 @@ def jaccard_brute(texts):
     links = [
         (a, b)
         for a, b in itertools.combinations(range(len(texts)), 2)
-        if (texts[a] and texts[a] == texts[b]) or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+        if (texts[a] or "") == (texts[b] or "") or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
     ]
     return links, linked_classes(range(len(texts)), links)
 
