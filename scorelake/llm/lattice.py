@@ -3,9 +3,9 @@
 Each table projects the unit vectors at random to eight dimensions and decodes
 them to the nearest point of the E8 lattice; that point is the vector's cell.  A
 vector is entered under its own cell and looked up there and in the neighbouring
-cells nearest to it.  Pairs that meet are sifted by a 128-bit sign sketch, whose
-Hamming distance for a cosine of 0.95 is about 13 of 128 and is let pass up to
-``MAX_DISTANCE``, and cosines are then verified in double precision.
+cells nearest to it.  Pairs that meet are sifted by a 256-bit sign sketch, whose
+Hamming distance is about 26 for a cosine of 0.95 and 85 for one of 0.5; it is
+let pass up to ``MAX_DISTANCE``, and cosines are then verified in double precision.
 
 With the defaults a pair of cosine 0.95 meets in one table with probability 0.93
 and in none of six with about 1e-7; nearer pairs meet more surely.  The number of cells does not follow the number of vectors:
@@ -42,7 +42,7 @@ TABLES = 6
 NEIGHBOURS = 6
 SCALE = 0.2  # of the lattice, for projections whose coordinates have a spread of 1/8
 CELL_BLOCK = 1024  # vectors in a block of a cell
-MAX_DISTANCE = 40  # differing bits of 128
+MAX_DISTANCE = 54  # differing bits of 256; a pair of cosine 0.95 has more with probability 6e-8
 
 
 def e8_roots() -> np.ndarray:
@@ -97,7 +97,8 @@ def _unit_rows(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return rows, units
 
 
-_ENTRIES = "did long, v1 long, v2 long, s1 long, s2 long, unit binary, own array<long>, near array<long>"
+SKETCH = ["s1", "s2", "s3", "s4"]
+_ENTRIES = "did long, v1 long, v2 long, s1 long, s2 long, s3 long, s4 long, unit binary, own array<long>, near array<long>"
 
 
 def _hasher(tables: int, neighbours: int, scale: float):
@@ -109,7 +110,7 @@ def _hasher(tables: int, neighbours: int, scale: float):
                 n = x.shape[1]
                 if n not in drawn:
                     rng = np.random.default_rng(n)
-                    drawn[n] = rng.normal(size=(tables, n, 8)) / 8, rng.uniform(-2, 2, (tables, 8)), rng.normal(size=(n, 128))
+                    drawn[n] = rng.normal(size=(tables, n, 8)) / 8, rng.uniform(-2, 2, (tables, 8)), rng.normal(size=(n, 64 * len(SKETCH)))
                 planes, shifts, signs = drawn[n]
                 own, near = np.empty((len(row), tables), np.int64), np.empty((len(row), tables, neighbours), np.int64)
                 for t in range(tables):
@@ -126,8 +127,8 @@ def _hasher(tables: int, neighbours: int, scale: float):
                 ids = [batch.column(i).take(pa.array(row)) for i in range(3)]
                 units = pa.array([u.tobytes() for u in x], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), units, *listed],
-                    names=["did", "v1", "v2", "s1", "s2", "unit", "own", "near"],
+                    [*ids, *(pa.array(np.ascontiguousarray(s)) for s in sketch.T), units, *listed],
+                    names=["did", "v1", "v2", *SKETCH, "unit", "own", "near"],
                 )
 
     return run
@@ -136,10 +137,9 @@ def _hasher(tables: int, neighbours: int, scale: float):
 def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate links of cell blocks sorted by ``(cell, pa, pb)``, entries first: entries with entries and visitors."""
     for rows in groups(batches, ["cell", "pa", "pb"], whole=False):
-        cell, pa_, pb_, block, node, s1, s2 = (
-            rows.column(c).to_numpy() for c in ("cell", "pa", "pb", "block", "node", "s1", "s2")
-        )
-        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of a signed number are counted of its magnitude
+        cell, pa_, pb_, block, node = (rows.column(c).to_numpy() for c in ("cell", "pa", "pb", "block", "node"))
+        # Unsigned: bits of a signed number would be counted of its magnitude.
+        sketch = np.column_stack([rows.column(c).to_numpy().view(np.uint64) for c in SKETCH])
         entry = rows.column("entry").to_numpy(zero_copy_only=False)
         left, right = [], []
         i = np.flatnonzero(entry)  # entries come first in their group
@@ -150,7 +150,7 @@ def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             i, j = i[same], j[same]
             if not len(i):
                 break
-            near = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j]) <= MAX_DISTANCE
+            near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
             near &= ((pa_[i] == pb_[i]) | (block[i] != block[j])) & (node[i] != node[j])
             left.append(i[near])
             right.append(j[near])
@@ -187,7 +187,7 @@ def lattice_dedup(
     named = stage(named_texts(entered.groupBy(*same).agg(F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies")), same))
     reps = stage(entered.join(named.withColumnRenamed("rep", "did"), ["did", *same]).dropDuplicates(["did", *same]).drop("did", *same))
 
-    sketch = ["node", "s1", "s2"]
+    sketch = ["node", *SKETCH]
     entries = reps.select(*sketch, F.explode("own").alias("cell"), F.lit(True).alias("entry"))
     visits = reps.select(*sketch, F.explode("near").alias("cell"), F.lit(False).alias("entry"))
     met = entries.union(visits)
