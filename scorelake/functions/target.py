@@ -24,6 +24,8 @@ class TargetSpec:
             raise ValueError("target column must not be blank")
         if not self.good or not self.bad:
             raise ValueError("good and bad values must not be empty")
+        if any(v is None or not str(v).strip() for v in (*self.good, *self.bad, *self.indeterminate)):
+            raise ValueError("good, bad and indeterminate values must not be blank")
         groups = [set(map(str, g)) for g in (self.good, self.bad, self.indeterminate)]
         if groups[0] & groups[1] or groups[0] & groups[2] or groups[1] & groups[2]:
             raise ValueError("good, bad and indeterminate values must not overlap")

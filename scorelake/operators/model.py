@@ -16,11 +16,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.columns import col, constants, numeric_columns, ratio
-from scorelake.functions.hashing import hash_order
+from scorelake.functions.hashing import dense_index, hash_order
 from scorelake.functions.ordered import running_totals
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
@@ -121,8 +121,41 @@ def tree_estimator(kind: str, seed: int = 42, **params):
     raise ValueError(f"unknown tree model {kind!r}")
 
 
-def fit_tree(df: DataFrame, target: TargetSpec, features: Sequence[str], kind: str, seed: int = 42, **params):
-    return tree_estimator(kind, seed, **params).fit(assembled(df, features, target))
+CLASS_WEIGHT = "_class_weight"
+
+
+def class_weights(data: DataFrame, weights: str | Mapping[int, float]) -> DataFrame:
+    """Add a row weight by label: given per label, or "balanced" (rows / (2 rows of the class))."""
+    if isinstance(weights, str):
+        if weights != "balanced":
+            raise ValueError("class weights are a mapping or 'balanced'")
+        counts = {int(r.label): r["count"] for r in data.groupBy("label").count().collect()}
+        weights = {label: sum(counts.values()) / (2.0 * n) for label, n in counts.items()}
+    value = F.when(F.col("label") == 1, F.lit(float(weights.get(1, 1.0)))).otherwise(F.lit(float(weights.get(0, 1.0))))
+    return data.withColumn(CLASS_WEIGHT, value)
+
+
+def fit_tree(
+    df: DataFrame,
+    target: TargetSpec,
+    features: Sequence[str],
+    kind: str,
+    seed: int = 42,
+    class_weight: str | Mapping[int, float] | None = None,
+    **params,
+):
+    """Fit a tree model; ``class_weight`` weighs rows by their class."""
+    data, estimator = assembled(df, features, target), tree_estimator(kind, seed, **params)
+    if class_weight is not None:
+        data, estimator = class_weights(data, class_weight), estimator.setWeightCol(CLASS_WEIGHT)
+    return estimator.fit(data)
+
+
+def tree_facts(df: DataFrame, model) -> DataFrame:
+    """One row: depth, leaves and a warning when the tree used all the depth it was allowed."""
+    leaves = (model.numNodes + 1) // 2
+    warning = "FULL_DEPTH_TREE" if model.depth >= model.getMaxDepth() else None
+    return constants(df, [(model.depth, leaves, warning)], "depth int, leaves int, warning string")
 
 
 def apply_tree(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -175,8 +208,15 @@ def tree_rules(df: DataFrame, model, target: TargetSpec, features: Sequence[str]
 # --- cross-validation ----------------------------------------------------------------
 
 
-def with_folds(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42) -> DataFrame:
-    """Add ``fold``: a hash of the row key, so folds do not depend on partitioning."""
+def with_folds(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42, by: Column | None = None) -> DataFrame:
+    """Add ``fold``: a hash of the row key, so folds do not depend on partitioning.
+
+    With ``by`` folds are stratified: a row's place in the hash order of its class
+    decides, so the folds of a class differ by one row at most.
+    """
+    if by is not None:
+        hashed = df.withColumns({"_h": hash_order(keys, seed), "_class": by})
+        return dense_index(hashed, ["_class"]).withColumn("fold", F.pmod("_index", F.lit(folds)).cast("int")).drop("_index", "_h", "_class")
     bucket = F.conv(F.substring(hash_order(keys, seed), 1, 8), 16, 10).cast("long")
     return df.withColumn("fold", F.pmod(bucket, F.lit(folds)).cast("int"))
 
@@ -201,7 +241,7 @@ def cross_validate(
     df: DataFrame, target: TargetSpec, features: Sequence[str], keys: Sequence[str], kind: str, folds: int = 5, seed: int = 42, **params
 ) -> DataFrame:
     """``(fold, role, auc, f1_macro, overfit)``; overfit when mean test AUC trails train by 0.1."""
-    data = assembled(with_folds(df, keys, folds, seed), features, target, keep=["fold"]).persist()
+    data = assembled(with_folds(df, keys, folds, seed, target.is_bad), features, target, keep=["fold"]).persist()
     try:
         parts = []
         for k in range(folds):
@@ -238,9 +278,29 @@ def tune(
     parallelism: int = 2,
 ) -> DataFrame:
     """``(params, mean_auc, std_auc, rank)`` of a grid or random search."""
+    return tune_best(df, target, features, keys, kind, grid, folds, seed, random_trials, parallelism)[0]
+
+
+def tune_best(
+    df: DataFrame,
+    target: TargetSpec,
+    features: Sequence[str],
+    keys: Sequence[str],
+    kind: str,
+    grid: Mapping[str, Sequence],
+    folds: int = 5,
+    seed: int = 42,
+    random_trials: int | None = None,
+    parallelism: int = 2,
+    scoring: str = "areaUnderROC",
+):
+    """The search table and the best model, fitted again on all rows.
+
+    ``scoring`` is areaUnderROC or areaUnderPR; the table's columns keep their names.
+    """
     import random
 
-    data = assembled(with_folds(df, keys, folds, seed), features, target, keep=["fold"]).persist()
+    data = assembled(with_folds(df, keys, folds, seed, target.is_bad), features, target, keep=["fold"]).persist()
     n = data.count()
     logistic = kind == "logistic"
     estimator = LogisticParams().estimator(n) if logistic else tree_estimator(kind, seed)
@@ -253,7 +313,7 @@ def tune(
     if random_trials is not None and random_trials < len(maps):
         maps = random.Random(seed).sample(maps, random_trials)
     evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="probability", metricName="areaUnderROC", numBins=0
+        rawPredictionCol="probability", metricName=scoring, numBins=0
     )
     try:
         search = CrossValidator(
@@ -267,4 +327,5 @@ def tune(
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda e: e[0].name))
         rows.append((text, round(float(mean), 6), round(float(std), 6)))
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return constants(df, [(*r, i + 1) for i, r in enumerate(rows)], "params string, mean_auc double, std_auc double, rank int")
+    table = constants(df, [(*r, i + 1) for i, r in enumerate(rows)], "params string, mean_auc double, std_auc double, rank int")
+    return table, search.bestModel

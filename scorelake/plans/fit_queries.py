@@ -57,14 +57,14 @@ def tree_rules(spark, sf_dir):
 @query("forest_fit")
 def forest_fit(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "random_forest", n_trees=30)
+    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "random_forest", n_trees=100)
     return model.importances(sample, fitted, TREE_FEATURES)
 
 
 @query("gbt_fit")
 def gbt_fit(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "gradient_boosting", n_trees=20)
+    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "gradient_boosting", n_trees=100)
     return model.importances(sample, fitted, TREE_FEATURES)
 
 
@@ -92,19 +92,19 @@ def score_tree(spark, sf_dir):
 @query("cv_metrics")
 def cv_metrics(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", folds=3)
+    return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", folds=5)
 
 
 @query("tune_grid")
 def tune_grid(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", {"max_depth": [2, 4], "min_samples_leaf": [20, 200]}, folds=3)
+    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", {"max_depth": [2, 4], "min_samples_leaf": [20, 200]}, folds=5)
 
 
 @query("tune_random")
 def tune_random(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", {"c": [0.001, 0.1, 10.0]}, folds=3, random_trials=2)
+    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}, folds=5, random_trials=4)
 
 
 @query("select_embedded")
@@ -139,7 +139,7 @@ def calibrate_platt(spark, sf_dir):
 @query("calibrate_platt_cv")
 def calibrate_platt_cv(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
-    fitted = calibrate.fit_platt(sample, TARGET, folds=3, keys=["app_key"])
+    fitted = calibrate.fit_platt(sample, TARGET, folds=5, keys=["app_key"])
     return _reported(sample, fitted.transform(_with_raw(sample)))
 
 
@@ -162,7 +162,7 @@ def calibrate_isotonic(spark, sf_dir):
 @query("calibrate_isotonic_cv")
 def calibrate_isotonic_cv(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
-    fitted = calibrate.fit_isotonic(sample, TARGET, folds=3, keys=["app_key"])
+    fitted = calibrate.fit_isotonic(sample, TARGET, folds=5, keys=["app_key"])
     return _reported(sample, fitted.transform(_with_raw(sample)))
 
 
@@ -274,7 +274,7 @@ def partial_dependence(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
     fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "decision_tree")
     table = model.importances(sample, fitted, TREE_FEATURES)
-    return explain.partial_dependence(sample, fitted, TREE_FEATURES, table, grid_points=20)
+    return explain.partial_dependence(sample, fitted, TREE_FEATURES, table, grid_points=100)
 
 
 @query("native_explanation")
