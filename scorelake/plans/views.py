@@ -86,5 +86,9 @@ def known(df: DataFrame) -> DataFrame:
 
 
 def development(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows with a declared outcome, staged because fits read them several times."""
-    return stage(known(scored(spark, sf_dir)).filter("role = 'train'"))
+    """Training rows with a declared outcome, staged because fits read them several times.
+
+    They are dealt out evenly once, so every later pass uses all cores however few files the tables came in.
+    """
+    rows = known(scored(spark, sf_dir)).filter("role = 'train'")
+    return stage(rows.repartition(spark.sparkContext.defaultParallelism))
