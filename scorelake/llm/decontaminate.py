@@ -1,9 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed hashes the words at the kept positions of a fixed mask, so words at the
-other positions may differ.  Seeds of the benchmark and of the documents are
-joined by hash; a bitmap of the benchmark's hashes, of a fixed size whatever the
-benchmark's, keeps nearly all other seeds of a document from leaving its task.
+other positions may differ.  The masks were chosen by covering all placements of
+changed words: of any 10 words or more of which at least 0.8 agree in place, one
+mask has all its words among those that agree.  (All placements in 10 to 19
+words are enumerated in the tests; a longer stretch parts into such, and one of
+the parts agrees as well as the whole.)  So no stretch is missed for want of a
+seed while ``min_match`` is 0.8 or more.  Seeds of the benchmark and of the
+documents are joined by hash; a bitmap of the benchmark's hashes, of a fixed size
+whatever the benchmark's, keeps nearly all other seeds of a document from leaving
+its task.
 Around its hits a document sends the words of the neighbourhood along, and each
 hit's alignment is verified there: the longest stretch in which at least
 ``min_match`` of the words agree in place.
@@ -33,11 +39,12 @@ from scorelake.llm.words import Hasher, chunks, mix
 # Executors need no copy of this package: what Python workers run is sent by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MASKS = ["1101100111", "1110010111", "1011101101"]  # 1: the word at this position counts
-SPAN = len(MASKS[0])
+MASKS = ["1111011", "110010111", "1110100011", "1011111", "1110111", "111100101"]  # 1: the word at this position counts
+SPAN = max(len(mask) for mask in MASKS)
 SHORTEST = 5
 NEAR = 32  # words of the neighbourhood on either side of a hit
 SLOTS = 1 << 24  # bits of the filter
+PROBES = (0, 24, 40)  # a seed passes where the bits at its numbers from these places on are all set
 
 
 def _seeds(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +66,7 @@ def _seeds(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.ndarray
 
 
 def _bench_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(item, words, size, mask, seeds, places)`` of benchmark items."""
+    """``(item, words, size, seeds, places)`` of benchmark items."""
     hasher = Hasher()
     for batch in batches:
         texts = batch.column(1)
@@ -71,11 +78,11 @@ def _bench_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = words[end - count : end]
                 for mask in MASKS if count >= SPAN else ["1" * count] if count >= SHORTEST else []:
                     seeds, places = _seeds(own, np.array([count]), mask)
-                    rows.append((batch.column(0)[start + i].as_py(), own.tobytes(), int(count), len(mask), seeds.view(np.int64), places))
+                    rows.append((batch.column(0)[start + i].as_py(), own.tobytes(), int(count), seeds.view(np.int64), places))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["item", "words", "size", "span", "seeds", "places"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["item", "words", "size", "seeds", "places"])
 
 
 _NEAR = "did long, th long, start long, words binary, seeds array<long>, places array<long>"
@@ -95,6 +102,8 @@ def _near_hits(masks: list[str], packed_slots: np.ndarray):
                 for mask in masks:
                     own, place = _seeds(words, counts, mask)
                     hit = np.flatnonzero(known[own & np.uint64(SLOTS - 1)])
+                    for probe in PROBES[1:]:
+                        hit = hit[known[(own[hit] >> np.uint64(probe)) & np.uint64(SLOTS - 1)]]
                     seeds.append(own[hit])
                     places.append(place[hit])
                 seeds, places = np.concatenate(seeds), np.concatenate(places)
@@ -167,16 +176,17 @@ def find_leaks(
     """``(doc_id, item_id, words, matches, doc_word, item_word)``: the longest overlap of each pair; ``th`` hashes the text."""
     items = benchmark.select(col(item_col).cast("long").alias("item"), F.lower(text_of(item_text_col)).alias("text"))
     seeded = stage(
-        items.mapInArrow(_bench_seeds, "item long, words binary, size long, span int, seeds array<long>, places array<long>")
+        items.mapInArrow(_bench_seeds, "item long, words binary, size long, seeds array<long>, places array<long>")
     )
     seeds = seeded.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
         "item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place")
     )
     # At most SLOTS small numbers, however large the benchmark; a full filter only lets more seeds through to the join.
-    slots = seeds.select(F.col("seed").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
+    probes = F.array(*[F.shiftrightunsigned("seed", probe).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for probe in PROBES])
+    slots = seeds.select(F.explode(probes).alias("slot")).distinct().toArrow()
     known = np.zeros(SLOTS, bool)
     known[slots.column("slot").to_numpy()] = True
-    short = [r.span for r in seeded.select("span").filter(F.col("span") < SPAN).distinct().collect()]  # at most SPAN of them
+    short = [r.size for r in seeded.select("size").filter(F.col("size") < SPAN).distinct().collect()]  # at most SPAN of them
     masks = MASKS + ["1" * n for n in sorted(short)]
 
     rows = docs.select(ordered_id(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("th"), F.lower(text_of(text_col)).alias("text"))

@@ -175,6 +175,35 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.decontaminate(missing, bench).count() == 1
 
 
+def test_masks_leave_no_placement_out():
+    masks = [sum(1 << i for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS]
+    spans = [len(m) for m in decontaminate.MASKS]
+    # A stretch of 20 words or more parts into stretches of 10 to 19, and one of them has no more than its fifth changed.
+    for n in range(10, 21):
+        changed = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        hit = np.zeros(len(changed), bool)
+        for mask, span in zip(masks, spans, strict=True):
+            for shift in range(n - span + 1):
+                hit |= changed & (mask << shift) == 0
+        assert hit.all(), (n, int((~hit).sum()))
+
+
+def test_leaks_with_every_fifth_word_changed(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (300, 13, 15, 20)]
+    texts, expected = [], set()
+    for first in range(5):
+        texts.append([w if i % 5 != first else "new" for i, w in enumerate(items[0])])
+        expected.add((len(texts) - 1, 0))
+    for number, places in [(1, c) for c in itertools.combinations(range(13), 2)] + [(2, (3, 7, 11)), (2, (4, 9, 14)), (3, (4, 9, 14, 19)), (3, (3, 7, 11, 15))]:
+        texts.append([w if i not in places else "new" for i, w in enumerate(items[number])])
+        expected.add((len(texts) - 1, number))
+    texts = [" ".join([word() for _ in range(20)] + t + [word() for _ in range(20)]) for t in texts]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()} == expected
+
+
 @pytest.mark.parametrize("share", [0.8, 0.6])
 def test_longest_agreement_equals_brute_force(share):
     rng = np.random.default_rng(6)
