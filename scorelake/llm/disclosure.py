@@ -3,11 +3,16 @@
 Base spans follow four patterns (email, ip, card, phone).  Their values are the
 protected entities.  Terms are words near an entity; over the whole corpus it is
 counted in how many documents a term occurs (d), and in how many next to the
-entity (c).  A term discloses the entity with probability c / d and adds
-log2(c * N / (d * e)) bits about it (N documents, e with the entity).  A term
-that reaches the thresholds, with enough documents behind it, is a span of its
-own wherever it stands near that entity.  Sanitised texts have entities replaced
-by their kind, a number-bearing term by ``<NUMBER>``, and other terms removed.
+entity (c).  A term discloses the entity with a probability p that is smoothed,
+so that it holds for rare entities too: p = (c + w * q * e / k) / (d + w), where
+e documents have the entity, k any entity of its kind, and q is the probability
+that the term stands with the kind, itself (ck + w * k / N) / (d + w).  Of N
+documents, w (``weight``) is what the prior counts for.  With w = 1 and a share of
+one half a term of one document counts if that document has the entity, and a
+term of two documents if both have.  The term adds log2(p * N / e) bits.  One that
+reaches both thresholds is a span of its own wherever it stands near that entity.
+Sanitised texts have entities replaced by their kind, a number-bearing term by
+``<NUMBER>``, and other terms removed.
 
 Only DataFrame functions are used.  A text's spans are found inside its row;
 what is shuffled are words near entities and, for the counts, one row for each
@@ -119,23 +124,25 @@ def _terms_near(found: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(
-    docs: DataFrame, near: DataFrame, *, min_documents: int, min_share: float, min_bits: float
-) -> DataFrame:
+def disclosing_terms(docs: DataFrame, near: DataFrame, *, weight: float, min_share: float, min_bits: float) -> DataFrame:
     """``(entity, term)`` above the thresholds, counted over ``docs (did, th, text)``."""
-    together = (
-        near.select("did", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
-    ).filter(F.col("c") >= min_documents)
-    entities = near.select("did", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e"))
+    near = near.withColumn("kind", F.substring_index("entity", ":", 1))
+    counted = lambda *by: near.select("did", "th", *by).distinct().groupBy(*by)
+    together = counted("entity", "kind", "term").agg(F.count(F.lit(1)).alias("c"))
+    with_kind = counted("kind", "term").agg(F.count(F.lit(1)).alias("ck"))
+    entities = counted("entity").agg(F.count(F.lit(1)).alias("e"))
+    kinds = counted("kind").agg(F.count(F.lit(1)).alias("k"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     # Words are summed up where they are read; only one row a word meets the candidates.
     spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"))
     # Term counts and N are of rows: a repeated row weighs in both.
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("c") / F.col("d")
-    bits = F.log2(F.col("c") * F.col("n") / (F.col("d") * F.col("e")))
+    of_kind = (F.col("ck") + weight * F.col("k") / F.col("n")) / (F.col("d") + weight)
+    share = (F.col("c") + weight * of_kind * F.col("e") / F.col("k")) / (F.col("d") + weight)
+    bits = F.log2(share * F.col("n") / F.col("e"))
     return (
-        together.join(spread, "term").join(entities, "entity").join(F.broadcast(n))  # one row
+        together.join(spread, "term").join(with_kind, ["kind", "term"]).join(entities, "entity")
+        .join(F.broadcast(kinds), "kind").join(F.broadcast(n))  # four rows and one
         .filter((share >= min_share) & (bits >= min_bits))
         .select("entity", "term")
     )
@@ -167,7 +174,7 @@ def sanitise(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_documents: int = 3,
+    weight: float = 1.0,
     min_share: float = 0.5,
     min_bits: float = 4.0,
 ) -> DataFrame:
@@ -176,7 +183,7 @@ def sanitise(
     # Texts with entities only: the others need neither windows nor a second look.
     found = stage(rows.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0).dropDuplicates(["did", "th"]))
     near = stage(_terms_near(found))
-    told = disclosing_terms(rows, near, min_documents=min_documents, min_share=min_share, min_bits=min_bits)
+    told = disclosing_terms(rows, near, weight=weight, min_share=min_share, min_bits=min_bits)
     terms = near.join(told, ["entity", "term"]).select("did", "th", F.struct("start", F.lit(4).alias("kind"), "end").alias("span"))
     base = found.select(
         "did", "th", F.explode(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("span")

@@ -242,3 +242,11 @@ def test_terms_that_disclose_an_entity_go(spark, tmp_path):
     assert rows[0].text == "  at <EMAIL> number 0"  # "number" occurs everywhere and discloses nothing
     assert rows[50].text == texts[50] and rows[50].spans == []
     assert disclosure.sanitise(frame(spark, [])).count() == 0
+
+
+def test_a_name_beside_an_entity_of_one_document_goes(spark, tmp_path):
+    texts = ["write to marinka today unique@corp.example"] + ["plain words today write"] * 40 + ["today shared", "shared other@corp.example"]
+    frame(spark, texts).write.parquet(str(tmp_path / "docs"))
+    rows = {r.doc_id: r for r in disclosure.sanitise(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert rows[0].text == "write to  today <EMAIL>"  # one document, the only one with the name
+    assert rows[42].text == "shared <EMAIL>"  # a word of two documents of which one has the entity
