@@ -250,3 +250,20 @@ def test_a_name_beside_an_entity_of_one_document_goes(spark, tmp_path):
     rows = {r.doc_id: r for r in disclosure.sanitise(spark.read.parquet(str(tmp_path / "docs"))).collect()}
     assert rows[0].text == "write to  today <EMAIL>"  # one document, the only one with the name
     assert rows[42].text == "shared <EMAIL>"  # a word of two documents of which one has the entity
+
+
+def test_terms_go_wherever_their_document_has_the_entity(spark, tmp_path):
+    far = "dear Li and marinka, " + "plain words " * 20
+    texts = [far + "unique@corp.example " + "plain words " * 20 + "yours Li Lee marinka 7731"] + ["plain words dear and yours"] * 40
+    frame(spark, texts).write.parquet(str(tmp_path / "docs"))
+    rows = {r.doc_id: r for r in disclosure.sanitise(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert rows[0].text == "dear  and , " + "plain words " * 20 + "<EMAIL> " + "plain words " * 20 + "yours    <NUMBER>"
+    assert all(texts[0][s.start : s.end] in ("Li", "Lee", "marinka", "7731") for s in rows[0].spans if s.kind == "term")
+
+
+def test_many_entities_and_terms_in_one_document(spark, tmp_path):
+    names = [f"name{i}x" for i in range(300)]
+    text = " ".join(f"{w} {w}@corp.example é plain" for w in names)
+    frame(spark, [text, text] + ["é plain"] * 40, [0, 0] + list(range(1, 41))).write.parquet(str(tmp_path / "docs"))
+    rows = [r for r in disclosure.sanitise(spark.read.parquet(str(tmp_path / "docs"))).collect() if r.doc_id == 0]
+    assert len(rows) == 2 and all(r.text == " ".join(["<NUMBER> <EMAIL> é plain"] * 300) for r in rows)
