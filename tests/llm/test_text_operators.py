@@ -267,3 +267,18 @@ def test_many_entities_and_terms_in_one_document(spark, tmp_path):
     frame(spark, [text, text] + ["é plain"] * 40, [0, 0] + list(range(1, 41))).write.parquet(str(tmp_path / "docs"))
     rows = [r for r in disclosure.sanitise(spark.read.parquet(str(tmp_path / "docs"))).collect() if r.doc_id == 0]
     assert len(rows) == 2 and all(r.text == " ".join(["<NUMBER> <EMAIL> é plain"] * 300) for r in rows)
+
+
+def test_keys_of_any_characters_are_novel_and_prose_is_not(spark):
+    rng = np.random.default_rng(8)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    keys = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (12, 13, 15, 16, 20)]
+    fronts = ["session: ", 'auth_header = "Bearer ', "import os\nload(path)\npwd = ", "The manual says a lot about the server and the clients that use it. credential "]
+    texts = [front + key + " end" for key in keys for front in fronts]
+    prose = ["understanding of responsibilities and authentication", "an internationalization of configuration"]
+    docs = frame(spark, texts + prose * 30 + ["session authentication responsibilities", "bearer configuration understanding internationalization"])
+    rows = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    for i, text in enumerate(texts):
+        found = [text[s.start : s.end] for s in rows[i].spans if s.kind in ("novel", "hex")]
+        assert keys[i // len(fronts)] in found, text
+    assert not any(rows[i].spans for i in range(len(texts), len(rows)))
