@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm.archives import convert_arc, read_warc, write_arc
-from scorelake.llm.common import table, tokenizer_model
+from scorelake.llm.common import stage, table, tokenizer_model
 from scorelake.llm.decontaminate import find_leaks
 from scorelake.llm.disclosure import sanitise
 from scorelake.llm.histogram_shards import shard_by_bytes
@@ -16,6 +16,7 @@ from scorelake.llm.jaccard_join import jaccard_join
 from scorelake.llm.lattice import lattice_dedup
 from scorelake.llm.line_dedup import dedup_lines
 from scorelake.llm.piece_bpe import encode_documents
+from scorelake.llm.prefix_trie import prefix_trie, turn_sequences
 from scorelake.llm.quality import fit_quality, score_quality
 from scorelake.llm.secrets import scan_secrets
 
@@ -149,3 +150,15 @@ def op8_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_disclosure")
 def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")), ["email", "ip", "card", "phone"])
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation opens with turns of the one its group of five begins with, then goes on with its own."""
+    own = stage(turn_sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    opening = own.select(F.col("conv_id").alias("opener"), F.slice("turns", 1, 8).alias("opening"))
+    taken = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    first = F.coalesce(F.expr("slice(opening, 1, taken)"), F.expr("filter(turns, t -> false)"))
+    rest = F.expr("slice(turns, taken + 1, size(turns))")
+    joined = own.select("*", taken.alias("taken"), (F.col("conv_id") - F.col("conv_id") % 5).alias("opener")).join(opening, "opener", "left")
+    return prefix_trie(joined.select("conv_id", F.concat(first, rest).alias("turns")))
