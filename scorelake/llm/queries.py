@@ -19,6 +19,7 @@ from scorelake.llm.piece_bpe import encode_documents
 from scorelake.llm.prefix_trie import prefix_trie, turn_sequences
 from scorelake.llm.quality import fit_quality, score_quality
 from scorelake.llm.secrets import scan_secrets
+from scorelake.llm.spot_signatures import ANCHORS, beside_next, likeness, signatures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +163,64 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.expr("slice(turns, taken + 1, size(turns))")
     joined = own.select("*", taken.alias("taken"), (F.col("conv_id") - F.col("conv_id") % 5).alias("opener")).join(opening, "opener", "left")
     return prefix_trie(joined.select("conv_id", F.concat(first, rest).alias("turns")))
+
+
+SPOT_SQL = r"""
+WITH told AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS doc_id, coalesce(text, '') AS text FROM documents
+), paired AS (
+  SELECT *, row_number() OVER o AS place,
+    coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text,
+    coalesce(lead(row_id) OVER o, first_value(row_id) OVER o) AS next_row, row_id
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id, text) AS row_id FROM told)
+  WINDOW o AS (ORDER BY row_id)
+), versions AS (
+  SELECT row_id, 'own' AS version, text FROM paired
+  UNION ALL
+  SELECT row_id, 'edited', substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) FROM paired
+), split AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM versions
+), parts AS (
+  SELECT *, list_filter(ws, lambda w: NOT list_contains([ANCHORS], w)) AS cs,
+    list_filter(list_transform(ws, lambda w, i: CASE WHEN list_contains([ANCHORS], w) THEN i END), lambda i: i IS NOT NULL) AS ps
+  FROM split
+), chained AS (
+  SELECT *, list_filter(list_transform(ps, lambda p, j: CASE WHEN p - j + 2 <= len(cs)
+    THEN ws[p] || ' ' || cs[p - j + 1] || ' ' || cs[p - j + 2] END), lambda c: c IS NOT NULL) AS chains FROM parts
+), signed AS (
+  SELECT row_id, version, text, list_sort(list_distinct(list_transform(
+    CASE WHEN len(chains) > 0 THEN chains WHEN len(ws) > 0 THEN list_transform(ws, lambda w: ' ' || w) ELSE [chr(10) || text] END,
+    lambda c: substr(md5(c), 1, 16)))) AS sigs
+  FROM chained
+), met AS (
+  SELECT p.doc_id, length(p.text) AS n_chars, sha256(e.text) AS edited_sha256, o.sigs AS a, e.sigs AS b, n.sigs AS c
+  FROM paired p
+  JOIN signed o ON o.row_id = p.row_id AND o.version = 'own'
+  JOIN signed e ON e.row_id = p.row_id AND e.version = 'edited'
+  JOIN signed n ON n.row_id = p.next_row AND n.version = 'own'
+)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
+  len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS near_edited,
+  len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) AS near_next
+FROM met
+""".replace("[ANCHORS]", "['" + "', '".join(sorted(set(ANCHORS))) + "']")
+
+
+@query("op12_spot_signatures", SPOT_SQL)
+def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the documents and of their texts with the last quarter replaced by the next document's opening."""
+    rows = beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    length = F.char_length("text")
+    cut = F.floor(length / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), length - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    told = rows.select(F.col("did").alias("doc_id"), length.cast("long").alias("n_chars"), edited.alias("edited"), "signatures", "next_signatures")
+    told = told.withColumn("edited_signatures", signatures(F.col("edited")))
+    return told.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.array_join("signatures", ",").alias("fingerprint"),
+        F.array_join("edited_signatures", ",").alias("edited_fingerprint"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+    )
