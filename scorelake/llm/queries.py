@@ -20,6 +20,7 @@ from scorelake.llm.prefix_trie import prefix_trie, turn_sequences
 from scorelake.llm.quality import fit_quality, score_quality
 from scorelake.llm.secrets import scan_secrets
 from scorelake.llm.spot_signatures import ANCHORS, beside_next, likeness, signatures
+from scorelake.llm.structure_repair import plan_repairs, repaired_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,3 +225,19 @@ def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
     )
+
+
+@query("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows damaged by the hash of their place, and the cheapest repair of what is left."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", named("conv_id"), named("turn")).cast("binary")) % 20
+    told = rows.select("conv_id", "turn", named("role").alias("role"), named("text").alias("text"), fault.alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    damaged = told.filter("damage <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+    plans = stage(plan_repairs(damaged, rows.select("conv_id")))
+    digests = repaired_digests(damaged, plans).withColumnRenamed("conv_id", "of")
+    return plans.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
