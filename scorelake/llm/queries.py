@@ -191,7 +191,7 @@ WITH told AS (
 ), signed AS (
   SELECT row_id, version, text, list_sort(list_distinct(list_transform(
     CASE WHEN len(chains) > 0 THEN chains WHEN len(ws) > 0 THEN list_transform(ws, lambda w: ' ' || w) ELSE [chr(10) || text] END,
-    lambda c: substr(md5(c), 1, 16)))) AS sigs
+    lambda c: CAST('0x' || substr(md5(c), 1, 15) AS BIGINT)))) AS sigs
   FROM chained
 ), met AS (
   SELECT p.doc_id, length(p.text) AS n_chars, sha256(e.text) AS edited_sha256, o.sigs AS a, e.sigs AS b, n.sigs AS c
@@ -220,8 +220,8 @@ def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("signatures", ",").alias("fingerprint"),
-        F.array_join("edited_signatures", ",").alias("edited_fingerprint"),
+        F.concat_ws(",", F.col("signatures").cast("array<string>")).alias("fingerprint"),
+        F.concat_ws(",", F.col("edited_signatures").cast("array<string>")).alias("edited_fingerprint"),
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
     )

@@ -37,7 +37,7 @@ ANCHORS = (
     "al como con del el ella los las lo más no para pero por se su sus una unos y"
 ).split()
 CHAIN = 2  # content words of a chain
-HEX = 16  # digits of a signature
+HEX = 15  # hexadecimal digits of a signature, which is a long
 SLICE_ROWS, MAX_SLICES = 4096, 1024  # rows of an ordered slice, and how many slices there may be
 
 
@@ -47,7 +47,7 @@ def _let(value: Column, use) -> Column:
 
 
 def _hashed(value: Column) -> Column:
-    return F.substring(F.md5(value.cast("binary")), 1, HEX)
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, HEX), 16, 10).cast("long")
 
 
 def signatures(text: Column, *, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
@@ -95,7 +95,7 @@ def spot_search(queries: DataFrame, docs: DataFrame, *, least: float = 0.8, id_c
 
     def sets(df: DataFrame) -> DataFrame:
         return df.select(ordered_id(id_col).alias("did"), signatures(text_of(text_col)).alias("signatures")).withColumn(
-            "print", F.sha2(F.array_join("signatures", ",").cast("binary"), 256)
+            "print", F.sha2(F.concat_ws(",", F.col("signatures").cast("array<string>")).cast("binary"), 256)
         )
 
     asked, held = stage(sets(queries)), stage(sets(docs))

@@ -124,7 +124,7 @@ def _signatures(text):
         else:
             before += 1
     chains = chains or [" " + w for w in words] or ["\n" + (text or "")]
-    return sorted({hashlib.md5(c.encode()).hexdigest()[:16] for c in chains})
+    return sorted({int(hashlib.md5(c.encode()).hexdigest()[:15], 16) for c in chains})
 
 
 def _jaccard(a, b):
