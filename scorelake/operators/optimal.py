@@ -27,6 +27,7 @@ from scorelake.functions.ordered import exact_quantiles, quantile_arrays
 from scorelake.functions.state import collect_state, materialise
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.binning import BINS_SCHEMA, _bin_row, _tally
+from scorelake.operators.prebins import cart_breaks
 
 # Executors need no copy of this package: what Python workers run is sent by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,7 +35,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class OptimalParams:
+    prebinning: str = "cart"  # cart: Gini splits; quantile: equal frequencies
     max_prebins: int = 20
+    min_prebin_size: float = 0.05  # of a variable's plain values, for cart
     max_bins: int = 6
     min_bins: int = 1
     min_bin_size: float = 0.03
@@ -46,6 +49,10 @@ class OptimalParams:
     def __post_init__(self) -> None:
         if self.monotonic not in ("auto", "ascending", "descending", "none"):
             raise ValueError("monotonic must be auto, ascending, descending or none")
+        if self.prebinning not in ("cart", "quantile"):
+            raise ValueError("prebinning must be cart or quantile")
+        if not 0 < self.min_prebin_size < 1:
+            raise ValueError("min_prebin_size must lie between 0 and 1")
 
 
 def best_merge(good: np.ndarray, bad: np.ndarray, total: tuple[float, float], rows: float, p: OptimalParams) -> list[int] | None:
@@ -138,7 +145,8 @@ def fit_optimal_bins(
     counts = []
     breaks: dict[str, list[float]] = {}
     if numeric:
-        counts.append(_numeric_prebins(flagged, numeric, target, params, special, breaks))
+        prebins = _cart_prebins if params.prebinning == "cart" else _numeric_prebins
+        counts.append(prebins(flagged, numeric, target, params, special, breaks))
     if texts:
         counts.append(_text_prebins(flagged, texts, target, params))
     table = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
@@ -189,6 +197,23 @@ def _numeric_prebins(flagged, numeric, target, params, special, breaks) -> DataF
     )
 
 
+def _cart_prebins(flagged, numeric, target, params, special, breaks) -> DataFrame:
+    """Distinct values are counted once; trees, pre-bins and the missing and special cells come from those counts."""
+    long = unpivot_values(flagged, numeric, ["_good", "_bad"])
+    marked = [(F.col("variable") == c) & F.col("value").isin(*codes) for c, codes in special.items() if c in numeric and codes]
+    kind = F.when(F.col("value").isNull() | F.isnan("value"), "missing")
+    for mark in marked:
+        kind = kind.when(mark, "special")
+    counts = materialise(long.groupBy("variable", "value").agg(*_tally()).withColumn("kind", kind.otherwise("pre")))
+    plain = counts.filter("kind = 'pre'").drop("kind")
+    cells, found = cart_breaks(plain, leaves=params.max_prebins, min_size=params.min_prebin_size)
+    breaks.update(found)
+    rest = counts.filter("kind <> 'pre'").groupBy("variable", "kind").agg(*[F.sum(c).alias(c) for c in ("row_count", "good_count", "bad_count")])
+    rest = rest.withColumn("position", F.when(F.col("kind") == "missing", -1).otherwise(-2))
+    both = cells.withColumn("kind", F.lit("pre")).unionByName(rest)
+    return both.select("variable", "position", "row_count", "good_count", "bad_count", "kind", F.lit(None).cast("string").alias("level"))
+
+
 def _text_prebins(flagged, texts, target, params) -> DataFrame:
     """Levels in bad-rate order; levels under the cut-off are pooled before anything is collected."""
     long = unpivot_values(flagged, texts, ["_good", "_bad"], cast="string")

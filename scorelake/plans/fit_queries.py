@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage
 from scorelake.operators import calibrate, explain, metrics, model, optimal, prep, reject, scaling, scoring, select
-from scorelake.plans.binning_queries import FEATURES
+from scorelake.plans.binning_queries import BINS_CTE, FEATURES
 from scorelake.plans.metric_queries import SCORED_CTE, scored_sample
 from scorelake.plans.model_queries import SCALING, _woe_frame
 from scorelake.plans.prep_queries import REJECTS
 from scorelake.plans.registry import query
-from scorelake.plans.views import TARGET, apps, development, known, scored
+from scorelake.plans.views import NUMERIC, TARGET, apps, development, known, scored
 
 TREE_FEATURES = ["quantity", "price", "discount", "tax", "balance", "builder"]
 
@@ -196,6 +196,88 @@ def bins_optimal(spark, sf_dir):
     return optimal.fit_optimal_bins(development(spark, sf_dir), TARGET, FEATURES)[0]
 
 
+# Every merge of neighbouring pre-bins that the limits allow, by a table of best values over (last bin, number of bins).
+_MERGE_SQL = """
+cum AS (
+  SELECT variable, x, g, b, coalesce(sum(g) OVER w, 0) AS g0, coalesce(sum(b) OVER w, 0) AS b0 FROM (
+    SELECT variable, x, count(*) FILTER (outcome = 'good') AS g, count(*) FILTER (outcome = 'bad') AS b
+    FROM num WHERE x IS NOT NULL GROUP BY variable, x) c
+  WINDOW w AS (PARTITION BY variable ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+node AS (
+  SELECT variable, 0 AS depth, CAST('-inf' AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(0 AS HUGEINT) AS g0, CAST(0 AS HUGEINT) AS b0,
+    sum(g) AS g, sum(b) AS b, 0.05 * (sum(g) + sum(b)) AS least, CAST(NULL AS DOUBLE) AS cut, CAST('inf' AS DOUBLE) AS strength FROM cum GROUP BY variable
+  UNION ALL
+  SELECT variable, depth + 1, CASE WHEN side = 0 THEN lo ELSE x END, CASE WHEN side = 0 THEN x ELSE hi END,
+    CASE WHEN side = 0 THEN g0 ELSE g0 + lg END, CASE WHEN side = 0 THEN b0 ELSE b0 + lb END,
+    CASE WHEN side = 0 THEN lg ELSE g - lg END, CASE WHEN side = 0 THEN lb ELSE b - lb END, least, x, least(strength, gain)
+  FROM (
+    SELECT *, round(((lg * lg + lb * lb)::DOUBLE / (lg + lb) + ((g - lg) * (g - lg) + (b - lb) * (b - lb))::DOUBLE / (g + b - lg - lb)
+        - (g * g + b * b)::DOUBLE / (g + b)), 6) AS gain,
+      row_number() OVER (PARTITION BY variable, lo ORDER BY gain DESC, x) AS place
+    FROM (SELECT n.*, c.x, c.g0 - n.g0 AS lg, c.b0 - n.b0 AS lb FROM node n JOIN cum c ON n.variable = c.variable AND c.x > n.lo AND c.x < n.hi) s
+    WHERE lg + lb >= least AND g + b - lg - lb >= least) t, (VALUES (0), (1)) sides(side)
+  WHERE place = 1 AND gain > 0),
+cart AS (
+  SELECT variable, list_sort(list(cut)) AS b FROM (
+    SELECT variable, cut, row_number() OVER (PARTITION BY variable ORDER BY strength DESC, depth) AS place
+    FROM (SELECT DISTINCT variable, cut, strength, depth FROM node WHERE cut IS NOT NULL) d) r
+  WHERE place < 20 GROUP BY variable),
+quantile AS (SELECT variable, list_sort(list_distinct(quantile_cont(x, PROBS))) AS b FROM num GROUP BY variable),
+methods AS (SELECT 'cart' AS prebinning, * FROM cart UNION ALL SELECT 'quantile', * FROM quantile),
+total AS (SELECT variable, count(*) AS n, count(*) FILTER (outcome = 'good') AS tg, count(*) FILTER (outcome = 'bad') AS tb
+  FROM (SELECT variable, outcome FROM num UNION ALL SELECT variable, outcome FROM cat) q GROUP BY variable),
+level AS (SELECT variable, x, count(*) AS n, count(*) FILTER (outcome = 'good') AS g, count(*) FILTER (outcome = 'bad') AS b FROM cat WHERE x IS NOT NULL GROUP BY variable, x),
+pre AS (
+  SELECT prebinning, num.variable, len(list_filter(b, lambda e: e <= x)) AS pos, count(*) FILTER (outcome = 'good') AS g, count(*) FILTER (outcome = 'bad') AS b
+  FROM num JOIN methods m ON num.variable = m.variable WHERE x IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT prebinning, variable, row_number() OVER (PARTITION BY prebinning, variable ORDER BY b / l.n, x), g, b
+  FROM level l JOIN total t USING (variable), (VALUES ('cart'), ('quantile')) p(prebinning) WHERE l.n >= 0.01 * t.n),
+placed AS (SELECT prebinning, variable, g, b, row_number() OVER (PARTITION BY prebinning, variable ORDER BY pos) AS pos FROM pre),
+seg AS (
+  SELECT *, gs / tg AS gd, bs / tb AS bd, bs / (gs + bs) AS rate, (gs / tg - bs / tb) * ln((gs / tg) / (bs / tb)) AS iv FROM (
+    SELECT a.prebinning, a.variable, a.pos AS i, z.pos AS j, sum(p.g) AS gs, sum(p.b) AS bs
+    FROM placed a JOIN placed z ON a.prebinning = z.prebinning AND a.variable = z.variable AND a.pos <= z.pos
+      JOIN placed p ON p.prebinning = a.prebinning AND p.variable = a.variable AND p.pos BETWEEN a.pos AND z.pos
+    GROUP BY ALL) s JOIN total USING (variable)
+  WHERE gs >= 20 AND bs >= 20 AND gs + bs >= 0.03 * n),
+best AS (
+  SELECT prebinning, variable, trend, 1 AS k, i, j, rate, iv FROM seg, (VALUES ('up'), ('down')) t(trend) WHERE i = 1
+  UNION ALL
+  SELECT prebinning, variable, trend, k, i, j, rate, max(iv) FROM (
+    SELECT c.prebinning, c.variable, c.trend, c.k + 1 AS k, s.i, s.j, s.rate, c.iv + s.iv AS iv
+    FROM best c JOIN seg s ON s.prebinning = c.prebinning AND s.variable = c.variable AND s.i = c.j + 1
+      AND CASE WHEN c.trend = 'up' THEN c.rate <= s.rate ELSE c.rate >= s.rate END
+    WHERE c.k < 6) u
+  GROUP BY ALL),
+top AS (
+  SELECT best.prebinning, best.variable, max(iv) AS iv, max(iv) FILTER (k > 1) AS parted FROM best
+  JOIN (SELECT prebinning, variable, max(pos) AS m FROM placed GROUP BY ALL) e ON e.prebinning = best.prebinning AND e.variable = best.variable AND j = m
+  GROUP BY ALL)
+SELECT prebinning, variable, CASE WHEN parted IS NULL AND variable IN (NUMBERS) THEN 'REJECTED' ELSE 'OPTIMAL' END AS status,
+  CASE WHEN parted IS NOT NULL OR variable NOT IN (NUMBERS) THEN round(iv, 6) END AS iv
+FROM top
+"""
+_MERGE_SQL = _MERGE_SQL.replace("PROBS", "[" + ", ".join(repr(k / 20) for k in range(1, 20)) + "]").replace(
+    "NUMBERS", ", ".join(f"'{c}'" for c in NUMERIC)
+)
+
+
+@query("bins_optimal_iv", f"{BINS_CTE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_MERGE_SQL}")
+def bins_optimal_iv(spark, sf_dir):
+    """Information value of the best merge, from tree and from quantile pre-bins."""
+    dev = development(spark, sf_dir)
+    parts = []
+    for method in ("cart", "quantile"):
+        bins, status = optimal.fit_optimal_bins(dev, TARGET, FEATURES, optimal.OptimalParams(prebinning=method))
+        totals = dev.agg(F.count_if(TARGET.is_good).alias("tg"), F.count_if(TARGET.is_bad).alias("tb"))
+        g, b = F.col("good_count") / F.col("tg"), F.col("bad_count") / F.col("tb")
+        regular = bins.filter("NOT is_missing AND NOT is_special AND NOT is_other").crossJoin(F.broadcast(totals))  # one row
+        iv = regular.groupBy("variable").agg(F.round(F.sum((g - b) * F.log(g / b)), 6).alias("iv"))
+        parts.append(status.join(iv, "variable", "left").select(F.lit(method).alias("prebinning"), "variable", "status", "iv"))
+    return parts[0].union(parts[1])
+
+
 @query("bins_optimal_status")
 def bins_optimal_status(spark, sf_dir):
     params = optimal.OptimalParams(min_bin_size=0.2, monotonic="ascending")
