@@ -14,6 +14,7 @@ from scorelake.functions.columns import col, constants, null_safe_join
 from scorelake.functions.hashing import dense_index, hash_order, rank_cutoffs, refuse_ties, uniform
 from scorelake.functions.state import materialise
 from scorelake.functions.target import TargetSpec
+from scorelake.operators.neighbours import nearest_neighbours
 
 SYNTHETIC = "_is_synthetic_row"
 
@@ -100,66 +101,6 @@ def resample(
     return result
 
 
-def nearest_neighbours(points: DataFrame, features: Sequence[str], k: int, window: int = 16) -> DataFrame:
-    """Exact k nearest neighbours of distinct points: ``(point, neighbour, distance)``.
-
-    ``points`` has a unique ``point`` id.  Points are laid out along a random
-    projection.  Distances to near ranks give each point a radius no smaller
-    than its k-th neighbour's distance; since a projection never lengthens a
-    distance, only points within that radius along the line can be nearer.
-    """
-    weights = [0.5 + ((i * 0.6180339887498949) % 1.0) for i in range(len(features))]
-    norm = sum(w * w for w in weights) ** 0.5
-    line = sum((col(f) * F.lit(w / norm) for f, w in zip(features, weights)), F.lit(0.0))
-    spots = points.select("point", F.array(*[col(f) for f in features]).alias("x"), line.alias("at"))
-    placed = materialise(
-        spots.repartitionByRange("at").withColumn("slice", F.spark_partition_id())
-    )
-    near = Window.partitionBy("slice").orderBy("at", "point").rowsBetween(-window, window)
-    gap = "sqrt(aggregate(zip_with(x, o.x, (a, b) -> (a - b) * (a - b)), 0D, (s, d) -> s + d))"
-    bounded = placed.withColumn("around", F.collect_list(F.struct("point", "x")).over(near)).select(
-        "point", "x", "at",
-        F.expr(f"array_sort(transform(filter(around, o -> o.point <> point), o -> {gap}))").alias("gaps"),
-    )
-    # With fewer than k ranks around (tiny slices) the radius is unbounded.
-    radius = F.when(F.size("gaps") >= k, F.col("gaps")[k - 1]).otherwise(F.lit(None))
-    reach = materialise(bounded.select("point", "x", "at", radius.alias("radius")))
-    span = reach.agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("radius", 0.5).alias("typical"),
-    ).first()
-    width = max((span.hi - span.lo) / max(span.n / 64.0, 1.0), span.typical or 0.0, 1e-9)
-    cell = lambda v: F.floor((v - F.lit(span.lo)) / F.lit(width))
-    far = F.lit(span.hi - span.lo)
-    wide = F.coalesce("radius", far)
-    last = cell(F.lit(span.hi))
-    asked = reach.select(
-        "point", "x", "at", wide.alias("radius"),
-        F.explode(
-            F.sequence(
-                F.greatest(F.lit(0), cell(F.col("at") - wide)), F.least(last, cell(F.col("at") + wide))
-            )
-        ).alias("cell"),
-    )
-    offered = reach.select(
-        F.col("point").alias("neighbour"), F.col("x").alias("nx"), F.col("at").alias("nat"),
-        cell(F.col("at")).alias("cell"),
-    )
-    pairs = asked.join(offered, "cell").filter(
-        (F.col("point") != F.col("neighbour")) & (F.abs(F.col("at") - F.col("nat")) <= F.col("radius"))
-    )
-    measured = pairs.withColumn(
-        "distance",
-        F.expr("sqrt(aggregate(zip_with(x, nx, (a, b) -> (a - b) * (a - b)), 0D, (s, d) -> s + d))"),
-    ).filter(F.col("distance") <= F.col("radius"))
-    nearest = Window.partitionBy("point").orderBy("distance", "neighbour")
-    return (
-        measured.withColumn("rank", F.row_number().over(nearest))
-        .filter(F.col("rank") <= k)
-        .select("point", "neighbour", "distance", "rank")
-    )
-
-
 def smote(
     df: DataFrame,
     target: TargetSpec,

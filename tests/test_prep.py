@@ -136,7 +136,7 @@ def test_nearest_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(size=(150, 3)), rng.normal(size=(5, 3)) * 50])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "point long, a double, b double, c double")
-    got = resample.nearest_neighbours(df, ["a", "b", "c"], 4, window=6).toPandas()
+    got = resample.nearest_neighbours(df, ["a", "b", "c"], 4, leaf=6).toPandas()
     for i, p in enumerate(points):
         distances = np.sort(np.linalg.norm(points - p, axis=1))[1:5]
         mine = got[got.point == i].sort_values("rank").distance.to_numpy()
