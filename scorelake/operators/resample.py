@@ -101,6 +101,16 @@ def resample(
     return result
 
 
+def indexed_points(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Distinct feature vectors with their ``copies`` and a dense ``point`` number in hash order."""
+    doubles = [col(f).cast("double").alias(f) for f in features]
+    distinct = df.select(*doubles).groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
+    points = materialise(
+        distinct.withColumn("_h", F.md5(F.concat_ws("|", *[col(f).cast("string") for f in features])))
+    )
+    return materialise(dense_index(points).withColumnRenamed("_index", "point").drop("_h"))
+
+
 def smote(
     df: DataFrame,
     target: TargetSpec,
@@ -131,11 +141,7 @@ def smote(
     unplaced = reduce(or_, (col(f).isNull() | F.isnan(col(f)) for f in features))
     if not minority.select(*doubles).filter(unplaced).isEmpty():
         raise ValueError("SMOTE needs every feature of every minority row")
-    distinct = minority.select(*doubles).groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
-    points = materialise(
-        distinct.withColumn("_h", F.md5(F.concat_ws("|", *[col(f).cast("string") for f in features])))
-    )
-    indexed = materialise(dense_index(points).withColumnRenamed("_index", "point").drop("_h"))
+    indexed = indexed_points(minority, features)
     n_points = indexed.count()
     neighbours = nearest_neighbours(indexed, features, min(k, n_points - 1)) if n_points > 1 else None
     # Each draw picks a base row in proportion to its copies, then a neighbour rank.

@@ -448,8 +448,55 @@ def resample_combined(spark, sf_dir):
     return _resampled_sizes(resample.resample(dev, TARGET, ["app_key"], "combined", 1.0, seed=7))
 
 
-@query("smote")
+_SMOTE_FEATURES = ["quantity", "discount", "tax", "balance"]
+_SMOTE_GAP = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _SMOTE_FEATURES)
+_SMOTE_LIST = ", ".join(_SMOTE_FEATURES)
+_U = "CAST('0x' || substr(md5({0}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+# Distinct points, the five nearest of each by trying all, and the hashed draws.
+SMOTE_CTE = f"""{SCORED_CTE},
+dev AS (SELECT app_key, outcome, coalesce(CAST(quantity AS DOUBLE), 25) AS quantity, CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax,
+  CAST(balance AS DOUBLE) AS balance FROM scored WHERE role = 'train' AND outcome IN ('good', 'bad')),
+n AS (SELECT count(*) FILTER (outcome = 'bad') AS n_min, count(*) FILTER (outcome = 'good') - count(*) FILTER (outcome = 'bad') AS new_rows FROM dev),
+pts AS (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', {_SMOTE_LIST}))) - 1 AS point
+  FROM (SELECT {_SMOTE_LIST}, count(*) AS copies FROM dev WHERE outcome = 'bad' GROUP BY ALL) q),
+near AS (
+  SELECT point, i AS rank, found[i].neighbour AS neighbour, found[i].gap AS gap FROM (
+    SELECT a.point, min({{'gap': {_SMOTE_GAP}, 'neighbour': b.point}}, 5) AS found FROM pts a JOIN pts b ON a.point <> b.point GROUP BY a.point) f,
+    range(1, 6) r(i))"""
+
+
+@query(
+    "smote_neighbours",
+    f"""{SMOTE_CTE} SELECT {", ".join("a." + c for c in _SMOTE_FEATURES)}, CAST(rank AS INT) AS rank, round(sqrt(gap), 6) AS distance,
+    b.balance AS neighbour_balance FROM near JOIN pts a ON a.point = near.point JOIN pts b ON b.point = neighbour""",
+)
+def smote_neighbours(spark, sf_dir):
+    """The five nearest of every distinct minority point; equal distances by hash order."""
+    dev = development(spark, sf_dir).fillna({"quantity": 25.0}).filter(TARGET.is_bad)
+    points = resample.indexed_points(dev, _SMOTE_FEATURES)
+    near = resample.nearest_neighbours(points, _SMOTE_FEATURES, 5)
+    other = points.select(F.col("point").alias("neighbour"), F.col("balance").alias("neighbour_balance"))
+    return near.join(points, "point").join(other, "neighbour").select(*_SMOTE_FEATURES, "rank", F.round("distance", 6).alias("distance"), "neighbour_balance")
+
+
+@query(
+    "smote",
+    f"""{SMOTE_CTE}, quota AS (
+      SELECT *, CAST(floor(copies * (new_rows::DOUBLE / n_min::DOUBLE)) AS BIGINT) AS whole,
+        row_number() OVER (ORDER BY md5(concat_ws('|', point, 7))) AS turn FROM pts, n),
+    drawn AS (
+      SELECT *, unnest(range(1, 1 + whole + CASE WHEN turn <= new_rows - sum_whole THEN 1 ELSE 0 END)) AS draw
+      FROM (SELECT *, sum(whole) OVER () AS sum_whole FROM quota) q),
+    picked AS (
+      SELECT *, CAST(floor({_U.format("concat_ws('|', point, draw, 7)")} * 5) AS BIGINT) + 1 - (copies - 1) AS rank,
+        {_U.format("concat_ws('|', draw, point, 8)")} AS step FROM drawn)
+    SELECT app_key, outcome, {_SMOTE_LIST}, FALSE AS _is_synthetic_row FROM dev
+    UNION ALL
+    SELECT NULL, 'bad', {", ".join(f"coalesce(p.{c} + step * (b.{c} - p.{c}), p.{c})" for c in _SMOTE_FEATURES)}, TRUE
+    FROM picked p LEFT JOIN near ON near.point = p.point AND near.rank = p.rank LEFT JOIN pts b ON b.point = near.neighbour""",
+)
 def smote(spark, sf_dir):
-    dev = development(spark, sf_dir).select("app_key", "outcome", "quantity", "discount", "tax", "balance")
-    dev = dev.fillna({"quantity": 25.0})
-    return resample.smote(dev, TARGET, ["quantity", "discount", "tax", "balance"], k=5, seed=7)
+    dev = development(spark, sf_dir).select("app_key", "outcome", *_SMOTE_FEATURES).fillna({"quantity": 25.0})
+    return resample.smote(dev, TARGET, _SMOTE_FEATURES, k=5, seed=7)
