@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from scorelake.functions.columns import constants, null_safe_join
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.placing import place
+from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
+from scorelake.operators.isotonic import isotonic_blocks
 from scorelake.operators.metrics import PROBABILITY
 from scorelake.operators.model import with_folds
 from scorelake.operators.scaling import INTERCEPT
@@ -121,23 +123,39 @@ class Isotonic:
         return current.withColumn(output, total).drop(*names, raw)
 
 
-def _fit_steps(weights: DataFrame):
-    data = weights.select(
-        (F.col("bad") / F.col("n")).alias("label"), F.col("p").alias("features"), F.col("n").cast("double").alias("weight")
+def fold_weights(df: DataFrame, target: TargetSpec, keys: Sequence[str], folds: int, seed: int) -> DataFrame:
+    """Weights of every training part at once: ``part`` k has all rows but those of fold k."""
+    folded = with_folds(df, keys, folds, seed).filter(target.is_known)
+    bad = F.when(target.is_bad, 1).otherwise(0)
+    held = lambda k, v: F.sum(F.when(F.col("fold") != k, v).otherwise(0))
+    sums = [F.struct(F.lit(k).alias("part"), F.col(f"n{k}").alias("n"), F.col(f"b{k}").alias("bad")) for k in range(folds)]
+    counted = folded.groupBy(F.col(PROBABILITY).alias("p")).agg(
+        *[held(k, F.lit(1)).alias(f"n{k}") for k in range(folds)], *[held(k, bad).alias(f"b{k}") for k in range(folds)]
     )
-    return IsotonicRegression(weightCol="weight").fit(data)
+    return counted.select("p", F.inline(F.array(*sums)))
+
+
+def _fit_steps(weights: DataFrame, parts: int) -> tuple:
+    """One model per part. Spark's regression only stores the pooled steps: their ends are in order already."""
+    blocks = stage(isotonic_blocks(weights.filter("p IS NOT NULL")))
+    mean = (F.col("bad") / F.col("n")).alias("label")
+    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("features")
+    points = blocks.select("part", mean, ends, F.lit(1.0).alias("weight"))
+    return tuple(IsotonicRegression(weightCol="weight").fit(points.filter(F.col("part") == k)) for k in range(parts))
 
 
 def fit_isotonic(
     df: DataFrame, target: TargetSpec, folds: int = 0, keys: Sequence[str] = (), seed: int = 42, min_rows: int = MIN_ROWS
 ) -> Isotonic:
-    """Fitted on distinct probabilities weighted by their rows, so ties are one point; ``min_rows`` as for Platt."""
+    """Fitted on distinct probabilities weighted by their rows, so ties are one point; ``min_rows`` as for Platt.
+
+    All training folds are counted in one pass and pooled together.
+    """
     if not _enough(df, target, min_rows):
         return Isotonic((), "too_few_rows")
     if folds <= 1:
-        return Isotonic((_fit_steps(_value_weights(df, target)),))
-    folded = with_folds(df, keys, folds, seed)
-    return Isotonic(tuple(_fit_steps(_value_weights(folded.filter(F.col("fold") != k), target)) for k in range(folds)))
+        return Isotonic(_fit_steps(_value_weights(df, target).withColumn("part", F.lit(0)), 1))
+    return Isotonic(_fit_steps(fold_weights(df, target, keys, folds, seed), folds))
 
 
 def calibration_report(df: DataFrame, target: TargetSpec, raw: str, calibrated: str, bins: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage
-from scorelake.operators import calibrate, explain, metrics, model, optimal, prep, reject, scaling, scoring, select
+from scorelake.operators import calibrate, explain, isotonic, metrics, model, optimal, prep, reject, scaling, scoring, select
 from scorelake.plans.binning_queries import BINS_CTE, FEATURES
 from scorelake.plans.metric_queries import SCORED_CTE, scored_sample
 from scorelake.plans.model_queries import SCALING, _woe_frame
@@ -153,19 +153,59 @@ def calibrate_platt_folded(spark, sf_dir):
     return fitted.fold_into(coefficients)
 
 
-@query("calibrate_isotonic")
+# Each value's isotonic mean is the largest, over starts at or below it, of the smallest mean up to an end at or above it.
+_STEPS_SQL = """
+t AS (SELECT predicted_bad_probability AS p, CASE WHEN outcome = 'bad' THEN 1 ELSE 0 END AS bad,
+  CAST(CAST('0x' || substr(md5(concat_ws('|', app_key, 42)), 1, 8) AS BIGINT) % 5 AS INT) AS fold
+  FROM scored WHERE role = 'test' AND outcome IN ('good', 'bad')),
+w AS (SELECT part, p, count(*) AS n, sum(bad) AS bad FROM t, range(PARTS) r(part) WHERE NOT CROSSED OR fold <> part GROUP BY ALL),
+c AS (SELECT part, p, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(bad) OVER o AS cb, n, bad FROM w WINDOW o AS (PARTITION BY part ORDER BY p)),
+span AS (SELECT a.part, a.i AS a, z.i AS i, min((z.cb - a.cb + a.bad) / (z.cn - a.cn + a.n)) OVER (PARTITION BY a.part, a.i ORDER BY z.i DESC) AS least
+  FROM c a JOIN c z ON a.part = z.part AND a.i <= z.i),
+f AS (SELECT part, i, max(least) AS mean FROM span GROUP BY ALL),
+fitted AS (SELECT c.part, c.p, f.mean FROM c JOIN f ON c.part = f.part AND c.i = f.i),
+v AS (SELECT DISTINCT p FROM t),
+around AS (
+  SELECT v.p, part, max(b.p) FILTER (b.p <= v.p) AS lo, min(b.p) FILTER (b.p >= v.p) AS hi FROM v, fitted b GROUP BY ALL),
+known_mean AS (
+  SELECT around.p, around.part, CASE WHEN lo IS NULL OR lo = hi THEN h.mean WHEN hi IS NULL THEN l.mean
+    ELSE l.mean + (h.mean - l.mean) * (around.p - lo) / (hi - lo) END AS mean
+  FROM around LEFT JOIN fitted l ON l.part = around.part AND l.p = lo LEFT JOIN fitted h ON h.part = around.part AND h.p = hi),
+k AS (SELECT v.p AS raw, m.mean AS cal, t.bad::DOUBLE AS y FROM t JOIN v USING (p) JOIN
+  (SELECT p, list_sum(list(mean ORDER BY part)) / PARTS AS mean FROM known_mean GROUP BY p) m USING (p)),
+e AS (SELECT quantile_cont(cal, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b FROM k),
+g AS (SELECT CAST(len(list_filter(b, lambda x: x <= cal)) AS INT) AS bin, count(*) AS count, avg(cal) AS c, avg(raw) AS r, avg(y) AS a FROM k, e GROUP BY 1),
+o AS (SELECT bin, count, round(c, 6) AS avg_predicted, round(r, 6) AS avg_predicted_raw, round(a, 6) AS actual_bad_rate, round(abs(c - a), 6) AS abs_deviation FROM g)
+SELECT *, round(avg(abs_deviation) OVER (), 6) AS mean_deviation, max(abs_deviation) OVER () AS max_deviation FROM o
+"""
+
+
+@query("calibrate_isotonic", f"{SCORED_CTE}, {_STEPS_SQL.replace('PARTS', '1').replace('CROSSED', 'FALSE')}")
 def calibrate_isotonic(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
     return _reported(sample, calibrate.fit_isotonic(sample, TARGET).transform(_with_raw(sample)))
 
 
-@query("calibrate_isotonic_cv")
+@query("calibrate_isotonic_cv", f"{SCORED_CTE}, {_STEPS_SQL.replace('PARTS', '5').replace('CROSSED', 'TRUE')}")
 def calibrate_isotonic_cv(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
     fitted = calibrate.fit_isotonic(sample, TARGET, folds=5, keys=["app_key"])
     return _reported(sample, fitted.transform(_with_raw(sample)))
 
 
+@query(
+    "isotonic_steps",
+    f"""{SCORED_CTE}, {_STEPS_SQL.replace('PARTS', '5').replace('CROSSED', 'TRUE').split("v AS (")[0].rstrip().rstrip(",")}
+    SELECT part, round(mean, 9) AS mean, sum(w.n)::BIGINT AS n, sum(w.bad)::BIGINT AS bad FROM fitted JOIN w USING (part, p) GROUP BY part, round(mean, 9)""",
+)
+def isotonic_steps(spark, sf_dir):
+    """The pooled steps of five training folds; steps of one mean are told together."""
+    weights = calibrate.fold_weights(_probabilities(spark, sf_dir), TARGET, ["app_key"], 5, 42)
+    mean = F.round(F.col("bad") / F.col("n"), 9).alias("mean")
+    steps = isotonic.isotonic_blocks(weights).groupBy(F.col("part").cast("long").alias("part"), mean)
+    return steps.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
 @query(
     "calibration_report",
     f"""{SCORED_CTE}, k AS (SELECT predicted_bad_probability AS raw,
