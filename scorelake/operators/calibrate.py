@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +17,7 @@ from scorelake.functions.target import TargetSpec
 from scorelake.operators.isotonic import isotonic_blocks
 from scorelake.operators.metrics import PROBABILITY
 from scorelake.operators.model import with_folds
+from scorelake.operators.newton import Fit, fit_many
 from scorelake.operators.scaling import INTERCEPT
 
 MIN_ROWS = 30
@@ -30,11 +29,11 @@ def safe_logit(p: Column, eps: float = EPSILON) -> Column:
     return F.log(clipped / (F.lit(1.0) - clipped))
 
 
-def _value_weights(df: DataFrame, target: TargetSpec) -> DataFrame:
+def _value_weights(df: DataFrame, target: TargetSpec, *by: str) -> DataFrame:
     """Distinct probabilities with their row and bad counts: all a calibrator needs."""
     return (
         df.filter(target.is_known)
-        .groupBy(F.col(PROBABILITY).alias("p"))
+        .groupBy(F.col(PROBABILITY).alias("p"), *by)
         .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(target.is_bad, 1)).alias("bad"))
     )
 
@@ -67,25 +66,19 @@ class Platt:
         )
 
 
-def _fit_sigmoid(weights: DataFrame) -> tuple[float, float]:
-    rows = weights.select(
-        safe_logit(F.col("p")).alias("z"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("bad").cast("double").alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("bad")).cast("double").alias("weight")),
-            )
-        ),
-    ).filter("weight > 0")
-    total = rows.agg(F.sum("weight")).first()[0]
-    data = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows)
-    fitted = LogisticRegression(
-        regParam=1.0 / total, standardization=False, weightCol="weight", maxIter=1000, tol=1e-9
-    ).fit(data)
-    slope = float(fitted.coefficients[0])
-    if slope <= 0:
+def _fit_sigmoids(counts: DataFrame, fits: Sequence[Fit]) -> tuple[tuple[float, float], ...]:
+    """``(slope, intercept)`` of every fit over ``counts (p, fold, n, bad)``, in shared passes."""
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("y"), F.col("bad").cast("double").alias("weight")),
+        F.struct(F.lit(0.0).alias("y"), (F.col("n") - F.col("bad")).cast("double").alias("weight")),
+    )
+    rows = counts.select(F.array(safe_logit(F.col("p"))).alias("x"), "fold", F.inline(sides)).filter("weight > 0")
+    betas, converged = fit_many(stage(rows), fits)
+    if not all(converged):
+        raise ValueError("a calibration fit did not converge")
+    if any(beta[1] <= 0 for beta in betas):
         raise ValueError("calibration slope is not positive; the score order would invert")
-    return slope, float(fitted.intercept)
+    return tuple((float(beta[1]), float(beta[0])) for beta in betas)
 
 
 def _enough(df: DataFrame, target: TargetSpec, min_rows: int) -> bool:
@@ -99,9 +92,9 @@ def fit_platt(
     if not _enough(df, target, min_rows):
         return Platt((), "too_few_rows")
     if folds <= 1:
-        return Platt((_fit_sigmoid(_value_weights(df, target)),))
-    folded = with_folds(df, keys, folds, seed)
-    return Platt(tuple(_fit_sigmoid(_value_weights(folded.filter(F.col("fold") != k), target)) for k in range(folds)))
+        return Platt(_fit_sigmoids(_value_weights(df, target).withColumn("fold", F.lit(-1)), [Fit(l2=1.0)]))
+    counts = _value_weights(with_folds(df, keys, folds, seed), target, "fold")
+    return Platt(_fit_sigmoids(counts, [Fit(l2=1.0, without=k) for k in range(folds)]))
 
 
 @dataclass(frozen=True)

