@@ -112,7 +112,7 @@ def gbt_presets(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
     parts = [
         model.importances(
-            sample, model.fit_tree(sample, TARGET, TREE_FEATURES, preset, n_trees=5), TREE_FEATURES
+            sample, model.fit_tree(sample, TARGET, TREE_FEATURES, preset), TREE_FEATURES
         ).select(F.lit(preset).alias("preset"), "feature", "importance")
         for preset in model.BOOSTING_DEPTH
     ]

@@ -320,12 +320,12 @@ def cluster_hierarchical(spark, sf_dir):
 
 @query(
     "cluster_candidates",
-    f"{BINS_CTE} SELECT variable, CAST(row_number() OVER (ORDER BY iv DESC, variable) AS INT) AS position FROM iv QUALIFY position <= 4",
+    f"{BINS_CTE} SELECT variable, CAST(row_number() OVER (ORDER BY iv DESC, variable) AS INT) AS position FROM iv",
 )
 def cluster_candidates(spark, sf_dir):
     _, cells = fitted_cells(spark, sf_dir)
     iv = woe.iv_table(cells)
-    chosen = cluster.candidates(iv, FEATURES, limit=4)
+    chosen = cluster.candidates(iv, FEATURES)
     order = F.array(*[F.lit(c) for c in chosen])
     return iv.filter(F.col("variable").isin(*chosen)).select(
         "variable", F.array_position(order, F.col("variable")).cast("int").alias("position")
@@ -364,7 +364,7 @@ _CLUSTERS = [("cluster_001", "quantity", 0.02), ("cluster_001", "price", 0.0), (
     c AS (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (ORDER BY rep DESC, CASE WHEN rep THEN cluster_id END, iv DESC, variable
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM a)
     SELECT variable, iv, CASE WHEN ok AND earlier < 3 THEN 'selected' ELSE 'rejected' END AS decision,
-      CASE WHEN skipped THEN 'Not the representative of ' || cluster_id WHEN earlier >= 3 THEN 'Reached max_variables limit (3)'
+      CASE WHEN skipped THEN 'Not the representative of ' || cluster_id WHEN ok AND earlier >= 3 THEN 'Reached max_variables limit (3)'
        WHEN rep THEN printf('highest IV (%.4f) in cluster', iv) WHEN ok THEN printf('IV %.4f above threshold 0.002', iv)
        ELSE printf('IV %.4f below threshold 0.002', iv) END AS reason FROM c""",
 )
