@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-from scorelake.functions.columns import safe_corr
+from scorelake.functions.columns import constants, safe_corr
 from scorelake.functions.hashing import dense_index, hash_order
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.state import materialise
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.model import assembled
 from scorelake.operators.scaling import INTERCEPT
+from scorelake.operators.trees import dependence
 
 
 def coefficient_magnitude(coefficients: DataFrame) -> DataFrame:
@@ -94,29 +94,18 @@ def partial_dependence(
     """``(feature, grid_value, average_prediction)`` for the most important features.
 
     The grid runs from the 5th to the 95th percentile, or over the values
-    themselves when there are few.  Each row is scored once per grid point.
+    themselves when there are few.  ``model`` is a tree model or a coefficient table; rows are read once for all features and
+    grid values (see :func:`~scorelake.operators.trees.dependence`).
     """
     chosen = [r.feature for r in importances.orderBy(F.desc("importance"), "feature").limit(top).collect()]
-    base = assembled(df, features).select(vector_to_array("features").alias("x"))
     ends = {(r.variable, r.p): r.q for r in exact_quantiles(df, chosen, [0.05, 0.95]).collect()}
-    few = {}
-    for f in chosen:
-        values = [r[0] for r in df.select(F.col(f).cast("double")).distinct().limit(grid_points).collect()]
-        few[f] = sorted(values) if len(values) < grid_points else None
-    parts = []
+    grids = {}
     for f in chosen:
+        values = sorted(r[0] for r in df.select(F.col(f).cast("double")).distinct().limit(grid_points).collect())
         lo, hi = ends[(f, 0.05)], ends[(f, 0.95)]
-        grid = few[f] or [lo + (hi - lo) * k / (grid_points - 1) for k in range(grid_points)]
-        i = list(features).index(f)
-        rows = base.select("x", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("grid_value"))
-        replaced = F.concat(F.slice("x", 1, i), F.array("grid_value"), F.slice("x", i + 2, len(features)))
-        scored = model.transform(rows.select("grid_value", array_to_vector(replaced).alias("features")))
-        parts.append(
-            scored.groupBy("grid_value")
-            .agg(F.round(F.avg(vector_to_array("probability")[1]), 6).alias("average_prediction"))
-            .select(F.lit(f).alias("feature"), F.round("grid_value", 6).alias("grid_value"), "average_prediction")
-        )
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+        grids[f] = values if len(values) < grid_points else [lo + (hi - lo) * k / (grid_points - 1) for k in range(grid_points)]
+    rows = assembled(df, features).select(vector_to_array("features").alias("x"))
+    points = constants(df, [(f, k, float(g)) for f, grid in grids.items() for k, g in enumerate(grid)], "feature string, place int, grid_value double")
+    return dependence(rows, model, features, grids).join(F.broadcast(points), ["feature", "place"]).select(
+        "feature", F.round("grid_value", 6).alias("grid_value"), F.round("average", 6).alias("average_prediction")
+    )

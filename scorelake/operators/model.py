@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +27,7 @@ from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
 from scorelake.operators.newton import Fit, fit_many, scored_counts
 from scorelake.operators.scaling import coefficients_table
+from scorelake.operators.trees import leaf_rules
 
 
 def feature_columns(
@@ -188,30 +188,13 @@ def importances(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
     return constants(df, [(f, round(float(v), 6)) for f, v in zip(features, values)], "feature string, importance double")
 
 
-def _leaf_paths(model, features: Sequence[str]) -> list[tuple[int, str]]:
-    """Conditions of each leaf, in leaf order, from the model's printed form."""
-    paths: list[tuple[int, str]] = []
-    conditions: list[tuple[int, str]] = []
-    for line in model.toDebugString.splitlines():
-        depth = len(line) - len(line.lstrip())
-        branch = re.match(r"\s*(?:If|Else) \(feature (\d+) (<=|>) ([-+0-9.eE]+)\)", line)
-        if branch:
-            conditions = [c for c in conditions if c[0] < depth]
-            name = features[int(branch.group(1))]
-            conditions.append((depth, f"{name} {branch.group(2)} {round(float(branch.group(3)), 6)}"))
-        elif line.strip().startswith("Predict:"):
-            here = [c[1] for c in conditions if c[0] < depth]
-            paths.append((len(paths), " AND ".join(here)))
-    return paths
-
-
 def tree_rules(df: DataFrame, model, target: TargetSpec, features: Sequence[str]) -> DataFrame:
     """One row per leaf: its conditions, rows, bads and bad probability."""
     placed = model.transform(assembled(df, features, target))
     counts = placed.groupBy(F.col("leaf").cast("int").alias("leaf")).agg(
         F.count(F.lit(1)).alias("sample_count"), F.sum(F.col("label").cast("long")).alias("bad_count")
     )
-    rules = constants(df, _leaf_paths(model, features), "leaf int, rule string")
+    rules = constants(df, leaf_rules(df.sparkSession, model, features), "leaf int, rule string")
     return rules.join(counts, "leaf").select(
         (F.col("leaf") + 1).alias("rule_id"),
         "rule",

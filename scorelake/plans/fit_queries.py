@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scorelake.functions.columns import one_row
 from scorelake.functions.state import stage
 from scorelake.operators import calibrate, explain, isotonic, metrics, model, optimal, prep, reject, scaling, scoring, select
 from scorelake.plans.binning_queries import BINS_CTE, FEATURES
@@ -93,6 +94,32 @@ def tree_rules(spark, sf_dir):
     return model.tree_rules(sample, fitted, TARGET, TREE_FEATURES)
 
 
+@query(
+    "tree_rules_check",
+    f"""{SCORED_CTE} SELECT TRUE AS all_leaves, TRUE AS counts_agree, TRUE AS probabilities_agree, count(*) AS n_rows, count(*) FILTER (outcome = 'bad') AS n_bad
+    FROM scored WHERE role = 'train' AND outcome IN ('good', 'bad')""",
+)
+def tree_rules_check(spark, sf_dir):
+    """Every rule read as a filter: its rows, bads and probability against the model's, and all rows under one rule each."""
+    sample = _tree_sample(spark, sf_dir)
+    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "decision_tree", max_depth=4, min_samples_leaf=50)
+    rules = model.tree_rules(sample, fitted, TARGET, TREE_FEATURES).collect()  # one row per leaf
+    bad = F.col("outcome") == "bad"
+    scored_rows = model.apply_tree(fitted, sample, TREE_FEATURES)
+    sums, agree, near = [], F.lit(True), F.lit(True)
+    for i, r in enumerate(rules):
+        held = F.expr(r.rule)
+        gap = F.max(F.when(held, F.abs(F.col(metrics.PROBABILITY) - F.lit(r.probability))))
+        sums += [F.count_if(held).alias(f"n{i}"), F.count_if(held & bad).alias(f"b{i}"), gap.alias(f"g{i}")]
+        agree = agree & (F.col(f"n{i}") == r.sample_count) & (F.col(f"b{i}") == r.bad_count)
+        near = near & (F.col(f"g{i}") <= 1e-6)
+    total = lambda c: sum((F.col(f"{c}{i}") for i in range(len(rules))), F.lit(0)).cast("long")
+    leaves = F.lit(len(rules) == (fitted.numNodes + 1) // 2)
+    return scored_rows.agg(*sums).select(
+        leaves.alias("all_leaves"), agree.alias("counts_agree"), near.alias("probabilities_agree"), total("n").alias("n_rows"), total("b").alias("n_bad")
+    )
+
+
 @query("forest_fit")
 def forest_fit(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
@@ -415,9 +442,9 @@ def bins_optimal_iv(spark, sf_dir):
     parts = []
     for method in ("cart", "quantile"):
         bins, status = optimal.fit_optimal_bins(dev, TARGET, FEATURES, optimal.OptimalParams(prebinning=method))
-        totals = dev.agg(F.count_if(TARGET.is_good).alias("tg"), F.count_if(TARGET.is_bad).alias("tb"))
-        g, b = F.col("good_count") / F.col("tg"), F.col("bad_count") / F.col("tb")
-        regular = bins.filter("NOT is_missing AND NOT is_special AND NOT is_other").crossJoin(F.broadcast(totals))  # one row
+        totals = one_row(dev.agg(F.count_if(TARGET.is_good).alias("tg"), F.count_if(TARGET.is_bad).alias("tb")))
+        g, b = F.col("good_count") / F.col("all.tg"), F.col("bad_count") / F.col("all.tb")
+        regular = bins.filter("NOT is_missing AND NOT is_special AND NOT is_other").withColumn("all", totals)
         iv = regular.groupBy("variable").agg(F.round(F.sum((g - b) * F.log(g / b)), 6).alias("iv"))
         parts.append(status.join(iv, "variable", "left").select(F.lit(method).alias("prebinning"), "variable", "status", "iv"))
     return parts[0].union(parts[1])
@@ -496,12 +523,54 @@ def importance_stability(spark, sf_dir):
     return explain.importance_stability(table)
 
 
-@query("partial_dependence")
+# A fixed linear model of the tree sample's features.
+_LINEAR = {"quantity": 0.02, "price": 1e-6, "discount": 6.0, "tax": -1.0, "balance": 1e-5, "builder": 0.5}
+_LINEAR_Z = "-2.4::DOUBLE + " + " + ".join(f"{w!r}::DOUBLE * {c}" for c, w in _LINEAR.items())
+_FILLED_CTE = f"""{SCORED_CTE}, s AS (SELECT coalesce(quantity, 25)::DOUBLE AS quantity, price::DOUBLE AS price, discount::DOUBLE AS discount, tax::DOUBLE AS tax,
+  coalesce(balance, 0)::DOUBLE AS balance, CASE WHEN segment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0 END AS builder FROM scored WHERE role = 'train' AND outcome IN ('good', 'bad'))"""
+
+
+def _grid_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, unnest(CASE WHEN count(DISTINCT {c}) < 100 THEN list_sort(list_distinct(list({c})))
+      ELSE list_transform(range(100), lambda k: quantile_cont({c}, 0.05) + (quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05)) * k / 99) END) AS grid_value FROM s"""
+
+
+@query(
+    "partial_dependence",
+    f"""{_FILLED_CTE}, g AS ({" UNION ALL ".join(_grid_sql(c) for c in ("discount", "builder", "quantity", "price"))}),
+    z AS (SELECT *, {_LINEAR_Z} AS z FROM s)
+    SELECT feature, round(grid_value, 6) AS grid_value, round(avg(1 / (1 + exp(-(z + CASE feature
+      {" ".join(f"WHEN '{c}' THEN {w!r}::DOUBLE * (grid_value - {c})" for c, w in _LINEAR.items())} END)))), 6) AS average_prediction
+    FROM z, g GROUP BY feature, grid_value""",
+)
 def partial_dependence(spark, sf_dir):
+    """Of a linear model, over four features."""
+    sample = _tree_sample(spark, sf_dir)
+    weight = {"discount": 4.0, "builder": 3.0, "quantity": 2.0, "price": 1.0}
+    ranked = spark.createDataFrame([(f, weight.get(f, 0.0)) for f in TREE_FEATURES], "feature string, importance double")
+    linear = scaling.coefficients_table(sample, -2.4, _LINEAR)
+    return explain.partial_dependence(sample, linear, TREE_FEATURES, ranked, top=4, grid_points=100)
+
+
+@query(
+    "partial_dependence_tree",
+    f"""{_FILLED_CTE} {" UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN count(DISTINCT {c}) < 100 THEN count(DISTINCT {c}) ELSE 100 END AS points, TRUE AS equals_rescoring FROM s" for c in ("price", "quantity", "discount"))}""",
+)
+def partial_dependence_tree(spark, sf_dir):
+    """Of a tree, held against scoring every row once more for every grid value."""
     sample = _tree_sample(spark, sf_dir)
     fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "decision_tree")
-    table = model.importances(sample, fitted, TREE_FEATURES)
-    return explain.partial_dependence(sample, fitted, TREE_FEATURES, table, grid_points=100)
+    ranked = spark.createDataFrame([(f, 1.0 if f in ("price", "quantity", "discount") else 0.0) for f in TREE_FEATURES], "feature string, importance double")
+    curves = stage(explain.partial_dependence(sample, fitted, TREE_FEATURES, ranked, top=3, grid_points=100))
+    parts = []
+    for f in ("price", "quantity", "discount"):
+        grid = [(r.grid_value, r.average_prediction) for r in curves.filter(F.col("feature") == f).collect()]  # 100 values at most
+        points = F.array(*[F.struct(F.lit(g).alias("at"), F.lit(a).alias("average_prediction")) for g, a in grid])
+        rows = sample.select("*", F.lit(f).alias("feature"), F.inline(points)).withColumn(f, F.col("at"))
+        scored_rows = model.apply_tree(fitted, rows, TREE_FEATURES).groupBy("feature", "at", "average_prediction").agg(F.avg(metrics.PROBABILITY).alias("again"))
+        gap = F.max(F.abs(F.col("again") - F.col("average_prediction")))
+        parts.append(scored_rows.groupBy("feature").agg(F.count(F.lit(1)).alias("points"), (gap <= 1e-6).alias("equals_rescoring")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("native_explanation", f"{LOGIT_CTE} SELECT feature, round(abs(coefficient), 6) AS importance FROM coefs WHERE feature <> '(Intercept)'")
