@@ -165,7 +165,7 @@ def cv_metrics_tree(spark, sf_dir):
 _FOLDED_CTE = SCORED_CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, design AS (
       SELECT [1.0::DOUBLE, coalesce(quantity, 25), price, discount, tax, coalesce(balance, 0), CASE WHEN segment = 'BUILDING' THEN 1 ELSE 0 END] AS x,
         CASE WHEN outcome = 'bad' THEN 1.0::DOUBLE ELSE 0 END AS y,
-        (row_number() OVER (PARTITION BY outcome ORDER BY md5(concat_ws('|', app_key, 42))) - 1) % 5 AS fold
+        (row_number() OVER (PARTITION BY outcome ORDER BY md5(concat_ws('|', app_key, price, 42))) - 1) % 5 AS fold
       FROM scored WHERE role = 'train' AND outcome IN ('good', 'bad'))"""
 
 
@@ -185,7 +185,7 @@ _FOLDED_CTE = SCORED_CTE.replace("WITH ", "WITH RECURSIVE ", 1) + """, design AS
 )
 def cv_metrics(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", folds=5)
+    return model.cross_validate(sample, TARGET, TREE_FEATURES, ["app_key", "price"], "logistic", folds=5)
 
 
 @query("tune_grid")
@@ -211,7 +211,7 @@ _TUNED = random.Random(42).sample([0.001, 0.01, 0.1, 1.0, 10.0], 4)
 )
 def tune_random(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key"], "logistic", {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}, folds=5, random_trials=4)
+    return model.tune(sample, TARGET, TREE_FEATURES, ["app_key", "price"], "logistic", {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}, folds=5, random_trials=4)
 
 
 @query("select_embedded")
