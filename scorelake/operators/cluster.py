@@ -90,6 +90,39 @@ def threshold_clusters(
     return _describe(labels, corr, stats, rule)
 
 
+def chain_merges(distance: np.ndarray, linkage: str) -> list[tuple[float, int, int]]:
+    """All merges ``(height, a, b)`` of average or complete linkage by a chain of nearest neighbours.
+
+    The chain walks from a cluster to its nearest until two are each other's nearest; those merge and the
+    rest of the chain stays valid, as neither linkage brings a merged cluster nearer.  Distances to
+    a merged cluster follow from those of its parts, so the work is quadratic.  The merged cluster
+    takes the place of ``a``; equal distances go to the chain's own predecessor, then to the first place.
+    """
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive = np.ones(len(d)), np.ones(len(d), bool)
+    merges, chain = [], []
+    for _ in range(len(d) - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            here = chain[-1]
+            near = int(np.argmin(d[here]))
+            if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        chain = chain[:-2]
+        a, b = min(here, near), max(here, near)
+        merges.append((float(d[a, b]), a, b))
+        joined = np.maximum(d[a], d[b]) if linkage == "complete" else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = joined, joined
+        d[a, a] = np.inf
+        d[b], d[:, b] = np.inf, np.inf
+        size[a], alive[b] = size[a] + size[b], False
+    return merges
+
+
 def hierarchical_clusters(
     corr: DataFrame,
     columns: Sequence[str],
@@ -101,7 +134,7 @@ def hierarchical_clusters(
     """Merge the closest clusters (distance 1 - corr) until none is within ``cut``.
 
     The correlations come from Spark; only the k by k table of the k variables is
-    merged, inside one grouped task.
+    merged, inside one grouped task, in time and memory of k squared: some thousands of variables.
     """
     if linkage not in ("average", "complete"):
         raise ValueError("linkage must be average or complete")
@@ -114,22 +147,12 @@ def hierarchical_clusters(
         distance = np.ones((k, k))
         a, b = table["variable_a"].map(position), table["variable_b"].map(position)
         distance[a, b] = distance[b, a] = 1.0 - table["corr"]
-        groups = [[i] for i in range(k)]
-        reduce = np.max if linkage == "complete" else np.mean
-        while len(groups) > 1:
-            best = min(
-                (float(reduce(distance[np.ix_(g, h)])), i, j)
-                for i, g in enumerate(groups)
-                for j, h in enumerate(groups)
-                if i < j
-            )
-            if best[0] > cut:
-                break
-            joined = groups[best[1]] + groups[best[2]]
-            groups = [g for i, g in enumerate(groups) if i not in best[1:]] + [joined]
-        return pd.DataFrame(
-            [(names[i], i, min(g)) for g in groups for i in g], columns=["variable", "position", "root"]
-        )
+        root = np.arange(k)
+        for height, i, j in chain_merges(distance, linkage):
+            if height <= cut:
+                root[root == root[j]] = root[i]
+        least = {r: int(np.flatnonzero(root == r).min()) for r in set(root.tolist())}
+        return pd.DataFrame([(names[i], i, least[int(root[i])]) for i in range(k)], columns=["variable", "position", "root"])
 
     labels = materialise(
         corr.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(merge, "variable string, position int, root int")

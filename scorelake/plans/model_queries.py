@@ -291,33 +291,62 @@ def _cluster_stats(spark, sf_dir):
 _STATS = "SELECT variable, iv, CASE WHEN variable = 'quantity' THEN (SELECT round(avg(CASE WHEN quantity IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) FROM scored) ELSE 0 END AS missing_rate FROM iv"
 
 
+_WIDE_CTE = f"""{BINS_CTE.replace('WITH apps', 'WITH RECURSIVE apps')}, wide AS ({_GROSS} scored), cm AS ({_corr_oracle(_CORR_COLUMNS)}),
+    v AS (SELECT unnest({_CORR_COLUMNS!r}) AS variable, unnest(range(0, {len(_CORR_COLUMNS)})) AS pos)"""
+# Members, representatives and the largest correlation of clusters given as lab (variable, root).
+_MEMBERS_SQL = f"""st AS ({_STATS}),
+    mm AS (SELECT lab.variable, root, pos, iv, missing_rate, count(*) OVER (PARTITION BY root) AS size, dense_rank() OVER (ORDER BY root) AS num,
+      row_number() OVER (PARTITION BY root ORDER BY RULE) AS rk
+      FROM lab JOIN v ON lab.variable = v.variable LEFT JOIN st ON lab.variable = st.variable),
+    mx AS (SELECT a.root, max(CORR) AS mc FROM cm JOIN lab a ON variable_a = a.variable JOIN lab b ON variable_b = b.variable WHERE a.root = b.root GROUP BY 1)
+    SELECT CASE WHEN size > 1 THEN 'cluster_' || lpad(CAST(num AS VARCHAR), 3, '0') END AS cluster_id, variable, iv, missing_rate,
+      size > 1 AND rk = 1 AS is_representative, CASE WHEN size > 1 THEN round(greatest(mc, 0), 4) END AS max_pairwise_corr
+    FROM mm LEFT JOIN mx ON mm.root = mx.root"""
+_HIGHEST_IV, _LOWEST_MISSING = "coalesce(iv, 0) DESC, pos", "coalesce(missing_rate, 'inf'::DOUBLE), pos"
+
+
+def _merging_sql(cut: float, linkage: str, rule: str) -> str:
+    """The closest two clusters merge, step by step, over lists of labels."""
+    return f"""{_WIDE_CTE},
+    pairs AS (SELECT a.pos + 1 AS i, b.pos + 1 AS j, 1 - abs(corr) AS d FROM cm JOIN v a ON a.variable = variable_a JOIN v b ON b.variable = variable_b),
+    state AS (
+      SELECT 0 AS step, range(0, {len(_CORR_COLUMNS)}) AS labels
+      UNION ALL
+      SELECT step + 1, list_transform(labels, lambda l: CASE WHEN l = hi THEN lo ELSE l END) FROM (
+        SELECT step, any_value(labels) AS labels, least(labels[i], labels[j]) AS lo, greatest(labels[i], labels[j]) AS hi, {linkage}(d) AS d,
+          row_number() OVER (PARTITION BY step ORDER BY {linkage}(d), lo, hi) AS place
+        FROM state, pairs WHERE labels[i] <> labels[j] GROUP BY step, lo, hi) m WHERE place = 1 AND d <= {cut}),
+    lab AS (SELECT variable, min(pos) OVER (PARTITION BY label) AS root FROM
+      (SELECT variable, pos, (SELECT arg_max(labels, step) FROM state)[pos + 1] AS label FROM v) q),
+    {_MEMBERS_SQL.replace("RULE", rule).replace("CORR", "abs(corr)")}"""
+
+
 @query(
     "cluster_threshold",
-    f"""{BINS_CTE.replace('WITH apps', 'WITH RECURSIVE apps')}, wide AS ({_GROSS} scored), cm AS ({_corr_oracle(_CORR_COLUMNS)}),
-    v AS (SELECT unnest({_CORR_COLUMNS!r}) AS variable, unnest(range(0, {len(_CORR_COLUMNS)})) AS pos),
+    f"""{_WIDE_CTE},
     ed AS (SELECT variable_a AS a, variable_b AS b FROM cm WHERE corr >= 0.9 UNION ALL SELECT variable_b, variable_a FROM cm WHERE corr >= 0.9),
     reach AS (SELECT variable AS src, variable AS dst FROM v UNION SELECT src, b FROM reach JOIN ed ON dst = a),
     lab AS (SELECT src AS variable, min(pos) AS root FROM reach JOIN v ON dst = v.variable GROUP BY 1),
-    st AS ({_STATS}),
-    mm AS (SELECT lab.variable, root, pos, iv, missing_rate, count(*) OVER (PARTITION BY root) AS size, dense_rank() OVER (ORDER BY root) AS num,
-      row_number() OVER (PARTITION BY root ORDER BY coalesce(iv, 0) DESC, pos) AS rk
-      FROM lab JOIN v ON lab.variable = v.variable LEFT JOIN st ON lab.variable = st.variable),
-    mx AS (SELECT a.root, max(corr) AS mc FROM cm JOIN lab a ON variable_a = a.variable JOIN lab b ON variable_b = b.variable WHERE a.root = b.root GROUP BY 1)
-    SELECT CASE WHEN size > 1 THEN 'cluster_' || lpad(CAST(num AS VARCHAR), 3, '0') END AS cluster_id, variable, iv, missing_rate,
-      size > 1 AND rk = 1 AS is_representative, CASE WHEN size > 1 THEN round(mc, 4) END AS max_pairwise_corr
-    FROM mm LEFT JOIN mx ON mm.root = mx.root""",
+    {_MEMBERS_SQL.replace("RULE", _HIGHEST_IV).replace("CORR", "corr")}""",
 )
 def cluster_threshold(spark, sf_dir):
     table = corr.correlation_matrix(_with_gross(scored(spark, sf_dir)), _CORR_COLUMNS)
     return cluster.threshold_clusters(table, _CORR_COLUMNS, _cluster_stats(spark, sf_dir), 0.9)
 
 
-@query("cluster_hierarchical")
+@query("cluster_hierarchical", _merging_sql(0.5, "avg", _HIGHEST_IV))
 def cluster_hierarchical(spark, sf_dir):
     table = corr.correlation_matrix(_with_gross(scored(spark, sf_dir)), _CORR_COLUMNS, absolute=True)
     return cluster.hierarchical_clusters(table, _CORR_COLUMNS, _cluster_stats(spark, sf_dir), cut=0.5)
 
 
+@query("cluster_complete", _merging_sql(0.9995, "max", _LOWEST_MISSING))
+def cluster_complete(spark, sf_dir):
+    table = corr.correlation_matrix(_with_gross(scored(spark, sf_dir)), _CORR_COLUMNS, absolute=True)
+    stats = _cluster_stats(spark, sf_dir)
+    return cluster.hierarchical_clusters(table, _CORR_COLUMNS, stats, cut=0.9995, linkage="complete", rule="lowest_missing")
+
+
 @query(
     "cluster_candidates",
     f"{BINS_CTE} SELECT variable, CAST(row_number() OVER (ORDER BY iv DESC, variable) AS INT) AS position FROM iv",
