@@ -78,3 +78,46 @@ def stream_psi(spark, sf_dir):
     return monitor.window_psi(counts, expected).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row_count", "psi"
     )
+
+
+# Arrival: a period's rows come together, but some one period late (kept: their window is open) and some three late (dropped).
+_LATE, _TOO_LATE = "event_id % 50 = 7", "event_id % 50 = 13"
+
+
+@query(
+    "stream_psi_late",
+    f"""WITH d AS (SELECT ts, value, event_id, CAST(floor(epoch(ts) / 432000) AS BIGINT) AS period FROM events WHERE value IS NOT NULL),
+    e AS (SELECT list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS b FROM d WHERE period <= (SELECT min(period) + 1 FROM d)),
+    bc AS (SELECT len(list_filter(b, lambda x: x <= value)) AS bin, count(*) AS en FROM d, e WHERE period <= (SELECT min(period) + 1 FROM d) GROUP BY 1),
+    kept AS (SELECT * FROM d WHERE NOT ({_TOO_LATE})),
+    c AS (SELECT period, len(list_filter(b, lambda x: x <= value)) AS bin, count(*) AS n FROM kept, e GROUP BY ALL),
+    t AS (SELECT period, sum(n) AS total FROM c WHERE (period + 1) * 432000 <= (SELECT epoch(max(ts)) - 3600 FROM d) GROUP BY period),
+    f AS (SELECT t.period, total, bc.bin, en, coalesce(n, 0) AS n, sum(en) OVER (PARTITION BY t.period) AS etotal
+      FROM t CROSS JOIN bc LEFT JOIN c ON c.period = t.period AND c.bin = bc.bin),
+    p AS (SELECT *, CASE WHEN n = 0 THEN 0.5 / total ELSE n / total END AS ap, en / etotal AS ep FROM f)
+    SELECT strftime(make_timestamp(period * 432000 * 1000000), '%Y-%m-%d') AS start_day, CAST(max(total) AS BIGINT) AS row_count,
+      round(sum((ap - ep) * ln(ap / ep)), 6) AS psi, (SELECT count(*) > 0 FROM d WHERE {_LATE}) AS late_rows FROM p GROUP BY period""",
+)
+def stream_psi_late(spark, sf_dir):
+    """PSI of five-day windows while rows arrive late; every arrival is a run of its own on the state the runs before it left."""
+    events = table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    period = F.floor(F.unix_timestamp("ts") / 432000)
+    moved = F.when(F.expr(_TOO_LATE), 3).when(F.expr(_LATE), 1).otherwise(0)
+    arriving = stage(events.select("*", period.alias("period"), (period + moved).alias("arrival")))
+    ends = arriving.agg(F.min("period").alias("first"), F.max("arrival").alias("last")).first()
+    baseline = arriving.filter(F.col("period") <= ends.first + 1)
+    edges = sorted({r.q for r in exact_quantiles(baseline, ["value"], [k / 10 for k in range(1, 10)]).collect()})
+    placed = place(baseline, "value", constants(baseline, [(edges,)], "breaks array<double>"), left_closed=True)
+    expected = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    inbox, sink, state = staging_path(spark), staging_path(spark), staging_path(spark)
+    for arrival in range(ends.first, ends.last + 1):
+        arriving.filter(F.col("arrival") == arrival).select("ts", "value").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("ts timestamp, value double").parquet(inbox)
+        counts = monitor.window_counts(stream, "value", edges, "ts", window="5 days")
+        run = counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    late = arriving.filter(_LATE).limit(1).count() > 0
+    closed = spark.read.schema(counts.schema).parquet(sink)
+    return monitor.window_psi(closed, expected).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("start_day"), "row_count", "psi", F.lit(late).alias("late_rows")
+    )
