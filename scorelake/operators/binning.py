@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -17,12 +17,14 @@ from scorelake.functions.columns import (
     quote,
     ratio,
     sql_number,
-    sql_position,
     sql_text,
 )
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.state import collect_state, materialise
 from scorelake.functions.target import TargetSpec
+from scorelake.operators.counting import MISSING, chunks, interval_counts
+
+SKETCHED = 64  # columns whose quantiles are sketched together
 
 BINS_SCHEMA = (
     "variable string, kind string, bin_id string, bin_order int, label string, "
@@ -67,40 +69,43 @@ def fit_bins(
     """Bins of every variable: equal-frequency for numbers, levels for the rest.
 
     Numeric bins are ``(lower, upper]`` with open ends; empty ones are dropped.
-    Breaks take two passes; one more pass counts intervals and levels of all
-    variables together.
+    Breaks take two passes over a chunk of columns; one more counts its intervals or levels.
     """
     names = [c for c in (columns or df.columns) if c != target.column]
     numeric = [c for c in numeric_columns(df) if c in names]
     categorical = [c for c in names if c not in numeric]
     breaks = numeric_breaks(df, numeric, params, df.count()) if numeric else {}
-    keys = {c: f"cast({quote(c)} AS string)" for c in categorical}
-    for c in numeric:
-        keys[c] = f"cast({sql_position(f'cast({quote(c)} AS double)', breaks.get(c, []))} AS string)"
-        keys[c] = f"CASE WHEN {quote(c)} IS NOT NULL THEN {keys[c]} END"
-    pairs = ", ".join(f"struct({sql_text(c)} AS variable, {keys[c]} AS value)" for c in names)
-    counts = materialise(
-        df.select(target.is_good.alias("_good"), target.is_bad.alias("_bad"), F.expr(f"inline(array({pairs}))"))
-        .groupBy("variable", "value")
-        .agg(*_tally())
-    )
-    # Top levels: the row_number limit is applied before the shuffle as well.
-    by_size = Window.partitionBy("variable").orderBy(F.desc("row_count"), F.asc("value"))
-    limit = max(params.max_categorical_levels, params.max_bins)
-    levels = (
-        counts.filter("value IS NOT NULL")
-        .withColumn("rank", F.row_number().over(by_size))
-        .filter(F.col("rank") <= limit)
-    )
-    whole = counts.groupBy("variable", F.expr("value IS NULL AS missing")).agg(
-        *[F.sum(c).alias(c) for c in ("row_count", "good_count", "bad_count")]
-    )
-    sums = {(r.variable, r.missing): r for r in collect_state(whole)}
+    cells = interval_counts(df, numeric, breaks, target) if numeric else {}
+    sums: dict[tuple[str, bool], Row | dict] = {}
     found: dict[str, list[Row]] = {}
-    for r in collect_state(levels, what="bins"):
-        found.setdefault(r.variable, []).append(r)
+    limit = max(params.max_categorical_levels, params.max_bins)
+    for part in chunks(categorical):
+        pairs = ", ".join(f"struct({sql_text(c)} AS variable, cast({quote(c)} AS string) AS value)" for c in part)
+        counts = materialise(
+            df.select(target.is_good.alias("_good"), target.is_bad.alias("_bad"), F.expr(f"inline(array({pairs}))"))
+            .groupBy("variable", "value")
+            .agg(*_tally())
+        )
+        # Top levels: the row_number limit is applied before the shuffle as well.
+        by_size = Window.partitionBy("variable").orderBy(F.desc("row_count"), F.asc("value"))
+        levels = (
+            counts.filter("value IS NOT NULL")
+            .withColumn("rank", F.row_number().over(by_size))
+            .filter(F.col("rank") <= limit)
+        )
+        whole = counts.groupBy("variable", F.expr("value IS NULL AS missing")).agg(
+            *[F.sum(c).alias(c) for c in ("row_count", "good_count", "bad_count")]
+        )
+        sums |= {(r.variable, r.missing): r for r in collect_state(whole)}
+        for r in collect_state(levels, what="bins"):
+            found.setdefault(r.variable, []).append(r)
+    for c, intervals in cells.items():
+        if MISSING in intervals:
+            sums[c, True] = intervals.pop(MISSING)
+        if intervals:
+            sums[c, False] = {n: sum(i[n] for i in intervals.values()) for n in ("row_count", "good_count", "bad_count")}
     first = [r for (v, _), r in sums.items() if v == names[0]] if names else []
-    if not sum(r.good_count for r in first) or not sum(r.bad_count for r in first):
+    if not sum(r["good_count"] for r in first) or not sum(r["bad_count"] for r in first):
         raise ValueError("binning needs at least one good and one bad row")
     rows: list[dict] = []
     for c in names:
@@ -110,7 +115,7 @@ def fit_bins(
             rows.append(_bin_row(c, kind, 1, "Missing", missing, is_missing=True))
         start = 1 if missing is not None else 0
         if c in numeric:
-            rows += _interval_bins(c, start, breaks.get(c), found.get(c, []))
+            rows += _interval_bins(c, start, breaks.get(c), cells[c])
         elif (c, False) in sums:
             rows += _level_bins(c, start, sums[(c, False)], found[c], params)
     fields = [f.strip().split(" ")[0] for f in BINS_SCHEMA.split(",")]
@@ -149,9 +154,10 @@ def numeric_breaks(
     probs = {k / size for size in sizes for k in range(1, size)}
     found: dict[str, dict[float, float]] = {}
     filled: dict[str, int] = {}
-    for r in collect_state(exact_quantiles(df, columns, sorted(probs)), what="breaks"):
-        found.setdefault(r.variable, {})[r.p] = r.q
-        filled[r.variable] = r.n
+    for part in chunks(columns, SKETCHED):
+        for r in collect_state(exact_quantiles(df, part, sorted(probs)), what="breaks"):
+            found.setdefault(r.variable, {})[r.p] = r.q
+            filled[r.variable] = r.n
     breaks: dict[str, list[float]] = {}
     for c in columns:
         n = filled.get(c, 0)
@@ -174,11 +180,10 @@ def _interval_label(lower: float | None, upper: float | None) -> str:
     return f"{left}, {right}"
 
 
-def _interval_bins(c: str, start: int, breaks: list[float] | None, found: Sequence[Row]) -> list[dict]:
+def _interval_bins(c: str, start: int, breaks: list[float] | None, tallies: Mapping[int, dict]) -> list[dict]:
     """Bins of one numeric variable; a break between two empty intervals is dropped."""
     if breaks is None:
         return []
-    tallies = {int(r.value): r for r in found}
     filled = sorted(tallies)
     rows = []
     for position, i in enumerate(filled):
