@@ -275,7 +275,14 @@ def calibrate_platt_cv(spark, sf_dir):
     return _reported(sample, _rounded(fitted.transform(_with_raw(sample))))
 
 
-@query("calibrate_platt_folded")
+@query(
+    "calibrate_platt_folded",
+    f"""{LOGIT_CTE}, logged AS (SELECT 1 / (1 + exp(-list_dot_product((SELECT list(coefficient ORDER BY place) FROM
+        (SELECT coefficient, list_position(['(Intercept)', {", ".join(f"'{n}'" for n in _WOE_NAMES)}], feature) AS place FROM coefs) o), d.x))) AS p, y FROM design d),
+    platt_rows AS (SELECT [1.0::DOUBLE, {_LOGIT_P}] AS x, y, -1 AS fold FROM logged),
+    {newton_cte("platt_rows", "asked", 2, state="platt_state", fitted="platt")}
+    SELECT feature, round(coefficient * beta[2] + CASE WHEN feature = '(Intercept)' THEN beta[1] ELSE 0 END, 6) AS coefficient FROM coefs, platt""",
+)
 def calibrate_platt_folded(spark, sf_dir):
     """Calibration folded into the coefficients of a fitted model."""
     frame, _ = _woe_frame(spark, sf_dir)

@@ -11,6 +11,7 @@ from scorelake.operators import (
 )
 from scorelake.plans.binning_queries import BINS_CTE, FEATURES, fitted_bins, fitted_cells
 from scorelake.plans.metric_queries import AUC_SELECT, KS_SELECT, bands_cte, ranking_cte, scored_sample
+from scorelake.plans.newton_sql import eliminated
 from scorelake.plans.registry import query
 from scorelake.plans.views import CHALLENGER_CTE, NUMERIC, SCORED_CTE, TARGET, development, scored
 from scorelake.sources.sqlgen import scoring_sql
@@ -584,7 +585,16 @@ def vif(spark, sf_dir):
     return diagnostics.vif(frame, ["quantity_woe", "price_woe"])
 
 
-@query("vif_all")
+@query(
+    "vif_all",
+    f"""{BINS_CTE}{with_woe(FEATURES, 'dev', 'x')}, names AS (SELECT unnest({_WOE_FEATURES!r}) AS feature, unnest(range(1, {len(FEATURES) + 1})) AS i),
+    long AS (SELECT r, i, v FROM (SELECT row_number() OVER () AS r, [{", ".join(_WOE_FEATURES)}] AS l FROM x) q, LATERAL (SELECT unnest(range(1, {len(FEATURES) + 1})) AS i, unnest(l) AS v)),
+    pairs AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS c FROM long a JOIN long b ON a.r = b.r GROUP BY ALL),
+    lines AS (SELECT i, list(c ORDER BY j) || list_transform(range(1, {len(FEATURES) + 1}), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0 END) AS line FROM pairs GROUP BY i),
+    solved AS (SELECT {eliminated("list(line ORDER BY i)", len(FEATURES))} AS m FROM lines),
+    v AS (SELECT feature, m[i][{len(FEATURES)} + i] AS vif FROM names, solved)
+    SELECT feature, round(vif, 6) AS vif, round(1 - 1 / vif, 6) AS r_squared, CASE WHEN vif < 10 THEN 'pass' ELSE 'warning' END AS status FROM v""",
+)
 def vif_all(spark, sf_dir):
     frame, _ = _woe_frame(spark, sf_dir)
     return diagnostics.vif(frame, _WOE_FEATURES)
