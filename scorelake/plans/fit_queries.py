@@ -370,11 +370,6 @@ def calibration_report(spark, sf_dir):
 # --- optimal binning --------------------------------------------------------------------
 
 
-@query("bins_optimal")
-def bins_optimal(spark, sf_dir):
-    return optimal.fit_optimal_bins(development(spark, sf_dir), TARGET, FEATURES)[0]
-
-
 # Every merge of neighbouring pre-bins that the limits allow, by a table of best values over (last bin, number of bins).
 _MERGE_SQL = """
 cum AS (
@@ -421,28 +416,50 @@ seg AS (
     GROUP BY ALL) s JOIN total USING (variable)
   WHERE gs >= 20 AND bs >= 20 AND gs + bs >= 0.03 * n),
 best AS (
-  SELECT prebinning, variable, trend, 1 AS k, i, j, rate, iv FROM seg, (VALUES ('up'), ('down')) t(trend) WHERE i = 1
+  SELECT prebinning, variable, trend, 1 AS k, i, j, rate, iv, [j] AS path FROM seg, (VALUES ('up'), ('down')) t(trend) WHERE i = 1
   UNION ALL
-  SELECT prebinning, variable, trend, k, i, j, rate, max(iv) FROM (
-    SELECT c.prebinning, c.variable, c.trend, c.k + 1 AS k, s.i, s.j, s.rate, c.iv + s.iv AS iv
+  SELECT prebinning, variable, trend, k, i, j, rate, max(iv), arg_max(path, iv) FROM (
+    SELECT c.prebinning, c.variable, c.trend, c.k + 1 AS k, s.i, s.j, s.rate, c.iv + s.iv AS iv, list_append(c.path, s.j) AS path
     FROM best c JOIN seg s ON s.prebinning = c.prebinning AND s.variable = c.variable AND s.i = c.j + 1
       AND CASE WHEN c.trend = 'up' THEN c.rate <= s.rate ELSE c.rate >= s.rate END
     WHERE c.k < 6) u
   GROUP BY ALL),
 top AS (
-  SELECT best.prebinning, best.variable, max(iv) AS iv, max(iv) FILTER (k > 1) AS parted FROM best
+  SELECT best.prebinning, best.variable, max(iv) AS iv, max(iv) FILTER (k > 1) AS parted, arg_max(path, iv) AS path FROM best
   JOIN (SELECT prebinning, variable, max(pos) AS m FROM placed GROUP BY ALL) e ON e.prebinning = best.prebinning AND e.variable = best.variable AND j = m
   GROUP BY ALL)
+"""
+_BEST_IV_SQL = """
 SELECT prebinning, variable, CASE WHEN parted IS NULL AND variable IN (NUMBERS) THEN 'REJECTED' ELSE 'OPTIMAL' END AS status,
   CASE WHEN parted IS NOT NULL OR variable NOT IN (NUMBERS) THEN round(iv, 6) END AS iv
 FROM top
 """
-_MERGE_SQL = _MERGE_SQL.replace("PROBS", "[" + ", ".join(repr(k / 20) for k in range(1, 20)) + "]").replace(
-    "NUMBERS", ", ".join(f"'{c}'" for c in NUMERIC)
-)
+_MERGE_SQL = _MERGE_SQL.replace("PROBS", "[" + ", ".join(repr(k / 20) for k in range(1, 20)) + "]")
+_NUMBERS = ", ".join(f"'{c}'" for c in NUMERIC)
+_MERGED_CTE = f"{BINS_CTE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_MERGE_SQL}"
+# The bins of the best merge of tree pre-bins, with missing values first and rare levels last.
+_BEST_BINS_SQL = f""", chosen AS (SELECT variable, path FROM top WHERE prebinning = 'cart' AND (parted IS NOT NULL OR variable NOT IN ({_NUMBERS}))),
+middles AS (SELECT c.variable, list_sort(list((cut + (SELECT max(x) FROM cum u WHERE u.variable = c.variable AND x < cut)) / 2)) AS mid
+  FROM (SELECT variable, unnest(b) AS cut FROM cart) c GROUP BY c.variable),
+lv AS (SELECT variable, x, l.n >= 0.01 * t.n AS plain, l.n, g, b, row_number() OVER (PARTITION BY variable, l.n >= 0.01 * t.n ORDER BY b / l.n, x) AS pos FROM level l JOIN total t USING (variable)),
+grouped AS (SELECT p.variable, len(list_filter(path, lambda e: e < p.pos)) AS grp, min(pos) AS first, max(pos) AS last, len(any_value(path)) AS size, sum(g) AS g, sum(b) AS b
+  FROM placed p JOIN chosen USING (variable) WHERE prebinning = 'cart' GROUP BY ALL),
+nulls AS (SELECT variable, count(*) AS n, count(*) FILTER (outcome = 'good') AS g, count(*) FILTER (outcome = 'bad') AS b
+  FROM (SELECT variable, x IS NULL AS gone, outcome FROM num UNION ALL SELECT variable, x IS NULL, outcome FROM cat) q WHERE gone GROUP BY variable),
+listed AS (
+  SELECT variable, -1 AS grp, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, NULL AS categories, TRUE AS is_missing, FALSE AS is_other, g, b FROM nulls JOIN chosen USING (variable)
+  UNION ALL
+  SELECT variable, grp, CASE WHEN grp > 0 THEN mid[first - 1] END, CASE WHEN grp < size - 1 THEN mid[last] END,
+    (SELECT string_agg(x, ', ' ORDER BY x) FROM lv WHERE plain AND lv.variable = gr.variable AND pos BETWEEN first AND last), FALSE, FALSE, g, b
+  FROM grouped gr LEFT JOIN middles USING (variable)
+  UNION ALL
+  SELECT variable, 99, NULL, NULL, NULL, FALSE, TRUE, sum(g), sum(b) FROM lv JOIN chosen USING (variable) WHERE NOT plain GROUP BY variable)
+SELECT variable, CASE WHEN variable IN ({_NUMBERS}) THEN 'numeric' ELSE 'categorical' END AS kind, CAST(row_number() OVER (PARTITION BY variable ORDER BY grp) AS INT) AS bin_order,
+  round(lower, 6) AS lower, round(upper, 6) AS upper, categories, is_missing, is_other, CAST(g + b AS BIGINT) AS row_count, CAST(g AS BIGINT) AS good_count, CAST(b AS BIGINT) AS bad_count
+FROM listed"""
 
 
-@query("bins_optimal_iv", f"{BINS_CTE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_MERGE_SQL}")
+@query("bins_optimal_iv", _MERGED_CTE + _BEST_IV_SQL.replace("NUMBERS", _NUMBERS))
 def bins_optimal_iv(spark, sf_dir):
     """Information value of the best merge, from tree and from quantile pre-bins."""
     dev = development(spark, sf_dir)
@@ -457,6 +474,15 @@ def bins_optimal_iv(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
+@query("bins_optimal", _MERGED_CTE + _BEST_BINS_SQL)
+def bins_optimal(spark, sf_dir):
+    bins, _ = optimal.fit_optimal_bins(development(spark, sf_dir), TARGET, FEATURES)
+    return bins.select(
+        "variable", "kind", "bin_order", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"),
+        F.array_join("categories", ", ").alias("categories"), "is_missing", "is_other", "row_count", "good_count", "bad_count",
+    )
+
+
 @query("bins_optimal_status")
 def bins_optimal_status(spark, sf_dir):
     params = optimal.OptimalParams(min_bin_size=0.2, monotonic="ascending")
