@@ -154,7 +154,49 @@ def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")), ["email", "ip", "card", "phone"])
 
 
-@query("op11_prefix_trie")
+# CRC-32 of a decimal number by the usual table, over the codes of its digits.
+CRC_TABLE_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE_SQL}, turns AS (
+  SELECT conv_id, turn, role, {{'key': sha256(strlen(role) || ':' || role || text), 'bytes': strlen(text)}} AS told
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) q
+), own AS (
+  SELECT conv_id, list(told ORDER BY turn NULLS FIRST, role, told.key) AS turns FROM turns GROUP BY conv_id
+), taken AS (
+  SELECT conv_id, turns, ({crc_sql("conv_id::VARCHAR")} % 9)::INT AS h FROM own, crc
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(o.turns[1:h], []), c.turns[h + 1:]) AS turns FROM taken c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5
+), steps AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt
+), paths AS (
+  SELECT conv_id, d, d = len(turns) AS ends, CASE WHEN d > 0 THEN turns[d].bytes ELSE 0 END AS bytes,
+    sha256(array_to_string(list_transform(turns[1:d], lambda t: t.key), ',')) AS id,
+    CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[1:d - 1], lambda t: t.key), ',')) END AS parent
+  FROM steps
+), nodes AS (
+  SELECT id, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY id, d
+), kids AS (
+  SELECT parent AS id, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT p.id, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.id IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN kids k ON k.id = n.id JOIN paths p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.id
+)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below ON below.id = n.id LEFT JOIN kids ON kids.id = n.id LEFT JOIN nodes up ON up.id = n.parent
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation opens with turns of the one its group of five begins with, then goes on with its own."""
     own = stage(turn_sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
