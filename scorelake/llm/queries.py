@@ -269,7 +269,61 @@ def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op13_structure_repair")
+_BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# Row by row the least (cost, audit) of every state: at most two insertions, then an edit.
+REPAIR_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL}, told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+), struck AS (
+  SELECT *, {crc_sql("place")} % 20 AS damage FROM told, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM struck, range(2) copies(c) WHERE damage <> 0 AND (c = 0 OR damage = 3)
+), placed AS (
+  SELECT *, trim(text, {_BLANKS_SQL}) AS bare, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id
+), follows(q, r) AS (VALUES ('-', 's'), ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')
+), added(q, r, price, letters, lines) AS (VALUES ('-', '-', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+  ('-', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']), ('a', 'u', 3, 'I', ['user:']),
+  ('-', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])
+), edits AS (
+  SELECT conv_id, pos, q, q AS r, 4 AS price, 'D' AS letter, [] AS lines FROM judged, (VALUES ('-'), ('s'), ('u'), ('a')) s(q)
+  UNION ALL
+  SELECT conv_id, pos, q, r, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K', [role || ':' || text] FROM judged JOIN follows ON r = initial
+  WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL
+  SELECT conv_id, pos, q, r, 3 + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'R', [CASE r WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM judged JOIN follows ON r IN ('u', 'a') WHERE fault IS NULL OR fault = 'truncated'
+), state AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, '-' AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, q, min(best) FROM (
+    SELECT s.conv_id, e.pos, e.r AS q, {{'cost': s.best.cost + i.price + e.price, 'audit': s.best.audit || i.letters || e.letter,
+      'lines': list_concat(list_concat(s.best.lines, i.lines), e.lines)}} AS best
+    FROM state s JOIN added i ON i.q = s.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.pos = s.pos + 1 AND e.q = i.r) made
+  GROUP BY conv_id, pos, q
+), ended AS (
+  SELECT s.conv_id, min({{'cost': s.best.cost + i.price, 'audit': s.best.audit || i.letters, 'lines': list_concat(s.best.lines, i.lines)}}) AS best
+  FROM state s JOIN added i ON i.q = s.q AND i.r IN ('-', 'a') LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+  WHERE s.pos = coalesce(c.n, 0) GROUP BY s.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op13_structure_repair", REPAIR_SQL)
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows damaged by the hash of their place, and the cheapest repair of what is left."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -203,7 +203,8 @@ def plan_repairs(conversations: DataFrame, conv_ids: DataFrame | None = None) ->
         marks = conv_ids.select(col("conv_id").cast("long").alias("conv_id")).distinct()
         rows = rows.unionByName(marks.withColumn("here", F.lit(False)), allowMissingColumns=True)
     rows = rows.repartition("conv_id").select("*", fault.alias("fault")).drop("text")
-    return rows.sortWithinPartitions(*ORDER).mapInArrow(_plans, PLAN_DDL)
+    # Of rows alike the first is the one that repeats nothing.
+    return rows.sortWithinPartitions(*ORDER, F.desc("fault")).mapInArrow(_plans, PLAN_DDL)
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
