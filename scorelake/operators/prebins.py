@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.columns import constants
 from scorelake.functions.ordered import running_totals
 
-NODE_SCHEMA = "variable string, node int, low double, high double, good_before long, bad_before long, good long, bad long"
+NODE_SCHEMA = "variable string, node int, low double, high double, good_before long, bad_before long, good long, bad long, min_rows double"
 
 
 def _purity(good: Column, bad: Column) -> Column:
@@ -66,10 +66,9 @@ class _Tree:
 
 
 def _best_splits(totals: DataFrame, trees: dict[str, _Tree]) -> dict[str, dict[int, tuple]]:
-    nodes = [(v, n, *t.ranges[n]) for v, t in trees.items() for n in t.open]
-    floor = constants(totals, [(v, float(t.min_rows)) for v, t in trees.items()], "variable string, min_rows double")
+    nodes = [(v, n, *t.ranges[n], float(t.min_rows)) for v, t in trees.items() for n in t.open]
     # At most 1 / min_size nodes a variable.
-    table = F.broadcast(constants(totals, nodes, NODE_SCHEMA).join(floor, "variable").withColumnRenamed("variable", "of"))
+    table = F.broadcast(constants(totals, nodes, NODE_SCHEMA).withColumnRenamed("variable", "of"))
     left_good, left_bad = F.col("before_good_count") - F.col("good_before"), F.col("before_bad_count") - F.col("bad_before")
     right_good, right_bad = F.col("good") - left_good, F.col("bad") - left_bad
     inside = (F.col("variable") == F.col("of")) & (F.col("low").isNull() | (F.col("value") > F.col("low"))) & (F.col("high").isNull() | (F.col("value") < F.col("high")))

@@ -136,13 +136,11 @@ def gbt_fit(spark, sf_dir):
 
 @query("gbt_presets")
 def gbt_presets(spark, sf_dir):
+    """Boosted trees with all their rounds; presets of one depth are one model, fitted once."""
     sample = _tree_sample(spark, sf_dir)
-    parts = [
-        model.importances(
-            sample, model.fit_tree(sample, TARGET, TREE_FEATURES, preset), TREE_FEATURES
-        ).select(F.lit(preset).alias("preset"), "feature", "importance")
-        for preset in model.BOOSTING_DEPTH
-    ]
+    depths = sorted(set(model.BOOSTING_DEPTH.values()))
+    fitted = {d: model.importances(sample, model.fit_tree(sample, TARGET, TREE_FEATURES, "gradient_boosting", max_depth=d), TREE_FEATURES) for d in depths}
+    parts = [fitted[d].select(F.lit(preset).alias("preset"), "feature", "importance") for preset, d in model.BOOSTING_DEPTH.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
