@@ -149,6 +149,55 @@ def test_e8_points_are_nearest():
     assert (mine[:, None] <= ((y[:, None] - found[:, None] - roots[None]) ** 2).sum(axis=2) + 1e-9).all() and mine.max() <= 1 + 1e-9
 
 
+def met_pairs(entries, planted):
+    """Pairs that meet in some cell, counted with repeats, and the share of planted pairs (2k, 2k + 1) among them."""
+    own = np.array(entries.column("own").to_pylist())
+    near = np.array(entries.column("near").to_pylist()).reshape(*own.shape, -1)
+    total, found = 0, np.zeros(planted, bool)
+    a, b = np.arange(planted) * 2, np.arange(planted) * 2 + 1
+    for t in range(own.shape[1]):
+        cells, place, size = np.unique(own[:, t], return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(cells, near[:, t]), len(cells) - 1)
+        total += (size[place] - 1).sum() // 2 + np.where(cells[at] == near[:, t], size[at], 0).sum()
+        found |= (own[a, t] == own[b, t]) | (near[a, t] == own[b, t, None]).any(1) | (near[b, t] == own[a, t, None]).any(1)
+    return total, found.mean()
+
+
+def test_lattice_cells_follow_the_number_of_vectors():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    planted, met = 1000, []
+    for n in (20_000, 40_000):
+        unit = rng.normal(size=(n, 64))
+        unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
+        cosine = np.linspace(0.95, 0.97, planted)[:, None]
+        base, other = unit[0 : 2 * planted : 2], unit[1 : 2 * planted : 2]
+        other = other - (other * base).sum(axis=1)[:, None] * base
+        unit[1 : 2 * planted : 2] = cosine * base + np.sqrt(1 - cosine**2) * other / np.sqrt((other**2).sum(axis=1))[:, None]
+        groups, tables = lattice.layout(n, 0.95)
+        assert groups == 2
+        ids = pa.array(np.arange(n))
+        batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(list(unit))], names=["node", "copies", "vector"])
+        entries = next(lattice._hasher(groups, tables, lattice.NEIGHBOURS, lattice.SCALE)(iter([batch])))
+        total, recall = met_pairs(entries, planted)
+        assert recall >= 0.99
+        met.append(total / n)
+    assert max(met) < 2 * lattice.MET  # both sides of a pair are counted
+    sizes = [10**k for k in range(2, 11)]
+    same, near = lattice.meeting_rates(0.0, lattice.SCALE, lattice.NEIGHBOURS)
+    for n in sizes:
+        groups, tables = lattice.layout(n, 0.95)
+        assert tables * (same**groups + groups * same ** (groups - 1) * near) * n <= lattice.MET
+    assert [lattice.layout(n, 0.95)[0] for n in sizes] == sorted(lattice.layout(n, 0.95)[0] for n in sizes)
+    assert lattice.most_differing(0.95) == 54
+
+
+def test_lattice_with_several_groups_links_what_brute_force_links(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "MET", 1)
+    test_lattice_links_equal_brute_force(spark)
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
