@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from scorelake.functions.target import TargetSpec
 
 PROBABILITY = "predicted_bad_probability"
 SCORE = "score"
+# Cells a pass divides every interval of a group end into.
+END_CELLS = 4096
 
 
 def labelled(df: DataFrame, target: TargetSpec, *columns: str) -> DataFrame:
@@ -133,11 +136,51 @@ def calibration_curve(df: DataFrame, target: TargetSpec, bins: int = 10) -> Data
     )
 
 
+def _group_ends(ranked: DataFrame, sizes: dict[str, tuple[int, int]]) -> dict[str, list[int]]:
+    """Where groups end: each at the first running total ``upto`` that fills ``size`` rows beyond the end before it.
+
+    ``sizes`` gives ``(rows, size)`` per role.  A pass finds the first and last total in each of
+    ``END_CELLS`` equal cells and so an interval for every end at once; the next pass looks into those
+    intervals only.  Passes grow with the logarithm of the rows: two for a million, three for a billion.
+    """
+    regions = [(role, 0, 1, n) for role, (n, _) in sizes.items()]
+    limits: dict[tuple[str, int], tuple[int, int]] = {}
+    cells: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    while regions:
+        table = constants(ranked, regions, "role string, grp int, lo long, hi long").withColumnRenamed("role", "_role")
+        inside = F.col("role").eqNullSafe(F.col("_role")) & F.col("upto").between(F.col("lo"), F.col("hi"))
+        cell = F.expr(f"((upto - lo) * {END_CELLS}) div (hi - lo + 1)")
+        found = ranked.join(F.broadcast(table), inside).groupBy("role", "grp", cell.alias("cell"))
+        cells = {}
+        for r in found.agg(F.min("upto").alias("first"), F.max("upto").alias("last")).collect():
+            cells.setdefault((r.role, r.grp), []).append((r.first, r.last))
+        for blocks in cells.values():
+            blocks.sort()
+        regions = []
+        for role, (n, size) in sizes.items():
+            low = high = grp = 0
+            while low < n:
+                grp += 1
+                blocks = cells.get((role, grp)) or (cells.get((role, 0)) if (role, grp) not in limits else None)
+                if blocks:
+                    limits[role, grp] = (_reached(blocks, min(low + size, n))[0], _reached(blocks, min(high + size, n))[1])
+                low, high = limits[role, grp]
+                if low < high:
+                    regions.append((role, grp, low, high))
+            limits = {key: v for key, v in limits.items() if key[0] != role or key[1] <= grp}
+    return {role: [0] + [limits[key][0] for key in sorted(limits) if key[0] == role] for role in sizes}
+
+
+def _reached(blocks: list[tuple[int, int]], goal: int) -> tuple[int, int]:
+    """Bounds of the first total of at least ``goal``, given the first and last total of every cell in order."""
+    first, last = blocks[bisect_left(blocks, goal, key=lambda b: b[1])]
+    return (first, first) if first >= goal else (goal, last)
+
+
 def hosmer_lemeshow(df: DataFrame, target: TargetSpec) -> DataFrame:
     """Hosmer-Lemeshow statistic on up to ten groups that never split a tied probability.
 
-    Each group ends at the first tie block that fills it, so the at most ten
-    ends are looked up one after another on the running totals.
+    Each group ends at the first tie block that fills it.
     """
     counts = value_counts(labelled(df, target, PROBABILITY), PROBABILITY).withColumn(
         "expected", F.col("n") * F.col("value")
@@ -150,18 +193,7 @@ def hosmer_lemeshow(df: DataFrame, target: TargetSpec) -> DataFrame:
         if r.n >= 2 and 0 < r.bad < r.n:
             groups = max(2, min(10, r.n // 5))
             sizes[r.role] = (r.n, max(1, -(-r.n // groups)))
-    ends: dict[str, list[int]] = {role: [0] for role in sizes}
-    open_roles = dict(sizes)
-    while open_roles:
-        goal = None
-        for role, (n, size) in open_roles.items():
-            reach = F.lit(min(ends[role][-1] + size, n))
-            test = F.col("role") == role
-            goal = F.when(test, reach) if goal is None else goal.when(test, reach)
-        found = ranked.filter(F.col("upto") >= goal).groupBy("role").agg(F.min("upto").alias("end"))
-        for r in found.collect():
-            ends[r.role].append(r.end)
-        open_roles = {k: v for k, v in open_roles.items() if ends[k][-1] < v[0]}
+    ends = _group_ends(ranked, sizes)
     breaks = constants(
         df, [(role, [float(e) for e in es[1:-1]]) for role, es in ends.items()], "role string, breaks array<double>"
     )
