@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -111,8 +112,13 @@ def bundle_violations(
     model_target: str = "",
     card_target: str = "",
     declared_target: str = "",
+    feature_order: Sequence[str] = (),
+    frozen_order: str = "",
 ) -> DataFrame:
-    """Why a scorecard bundle may not be frozen; no rows when it may."""
+    """Why a scorecard bundle may not be frozen; no rows when it may.
+
+    ``frozen_order`` is the ``feature_order_hash`` the model was fitted with, ``feature_order`` what the bundle would score.
+    """
     needed = coefficients.filter(F.col("feature") != INTERCEPT).select(
         F.expr("substring(feature, 1, length(feature) - 4)").alias("variable")
     )
@@ -127,6 +133,8 @@ def bundle_violations(
         targets.append(("SCORECARD_TARGET_DIFFERS", card_target))
     if model_target and declared_target and model_target != declared_target:
         targets.append(("DECLARED_TARGET_DIFFERS", declared_target))
+    if frozen_order and feature_order_hash(list(feature_order)) != frozen_order:
+        targets.append(("FEATURE_ORDER_DIFFERS", ",".join(feature_order)))
     return missing.unionByName(intercept).unionByName(constants(coefficients, targets, "check string, detail string"))
 
 

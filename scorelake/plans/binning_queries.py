@@ -107,6 +107,17 @@ def bins_all(spark, sf_dir):
     return _shown(fitted_bins(spark, sf_dir))
 
 
+@query(
+    "bin_warnings",
+    f"""{BINS_CTE} SELECT variable, bin_id, round(row_count / whole, 6) AS fraction
+    FROM (SELECT *, sum(row_count) OVER (PARTITION BY variable) AS whole FROM bins WHERE kind = 'numeric' AND NOT is_missing) b
+    WHERE row_count / whole < 0.05""",
+)
+def bin_warnings(spark, sf_dir):
+    found = binning.bin_warnings(fitted_bins(spark, sf_dir), PARAMS)
+    return found.withColumn("fraction", F.round("fraction", 6))
+
+
 def fitted_cells(spark, sf_dir, columns=None, params=woe.WoeParams()):
     dev = development(spark, sf_dir)
     bins = fitted_bins(spark, sf_dir, columns, dev)

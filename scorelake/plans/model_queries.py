@@ -429,6 +429,32 @@ def select_filter(spark, sf_dir):
     return select.select_by_filters(wide, CORRELATED + ["flat", "sparse"], woe.iv_table(cells), params)
 
 
+_FILTERED = ["gross", "net", *CORRELATED]
+
+
+@query(
+    "select_filter_correlated",
+    f"""{_WIDE_CTE}, f AS (SELECT unnest({_FILTERED!r}) AS variable, unnest(range(0, {len(_FILTERED)})) AS place),
+    fi AS (SELECT f.variable, place, iv FROM f LEFT JOIN iv ON iv.variable = f.variable),
+    pr AS (SELECT row_number() OVER (ORDER BY a.place, b.place) AS idx, a.variable AS a, b.variable AS b,
+      CASE WHEN coalesce(a.iv, 0) >= coalesce(b.iv, 0) THEN b.variable ELSE a.variable END AS loser,
+      EXISTS (SELECT 1 FROM cm WHERE abs(corr) > 0.9 AND variable_a IN (a.variable, b.variable) AND variable_b IN (a.variable, b.variable) AND variable_a <> variable_b) AS close
+      FROM fi a JOIN fi b ON a.place < b.place),
+    walk AS (SELECT CAST(0 AS BIGINT) AS idx, CAST([] AS VARCHAR[]) AS gone UNION ALL
+      SELECT pr.idx, CASE WHEN close AND NOT list_contains(gone, a) AND NOT list_contains(gone, b) THEN list_append(gone, loser) ELSE gone END
+      FROM walk JOIN pr ON pr.idx = walk.idx + 1),
+    done AS (SELECT gone FROM walk ORDER BY idx DESC LIMIT 1)
+    SELECT variable, CASE WHEN list_contains(gone, variable) THEN 'rejected' ELSE 'selected' END AS decision,
+      CASE WHEN list_contains(gone, variable) THEN 'correlation' ELSE 'filter' END AS method,
+      CASE WHEN list_contains(gone, variable) THEN 1.0::DOUBLE ELSE iv END AS score FROM fi, done""",
+)
+def select_filter_correlated(spark, sf_dir):
+    """Derived amounts that correlate with the price; the walk over close pairs decides."""
+    _, cells = fitted_cells(spark, sf_dir, CORRELATED)
+    params = select.FilterParams(min_iv=0.0, max_correlation=0.9)
+    return select.select_by_filters(_with_gross(scored(spark, sf_dir)), _FILTERED, woe.iv_table(cells), params)
+
+
 # --- model tables on fixed coefficients ---------------------------------------------------
 
 
@@ -612,6 +638,21 @@ def bundle_check(spark, sf_dir):
     return scaling.bundle_violations(coefficients, table, -1.3, "outcome", "default_flag", "outcome")
 
 
+@query(
+    "bundle_feature_order",
+    f"""{BINS_CTE}, need(variable) AS (VALUES ('quantity'), ('discount'), ('segment'))
+    SELECT 'VARIABLE_WITHOUT_WOE' AS "check", variable AS detail FROM need WHERE variable NOT IN (SELECT variable FROM woe WHERE variable <> 'segment')
+    UNION ALL SELECT 'FEATURE_ORDER_DIFFERS', 'segment_woe,quantity_woe,discount_woe'""",
+)
+def bundle_feature_order(spark, sf_dir):
+    """A bundle that would score the features in another order than the model was fitted in, without bins of one."""
+    _, table = _fitted(spark, sf_dir, MODEL_VARIABLES)
+    fitted = scaling.feature_order_hash(list(MODEL))
+    coefficients = scaling.coefficients_table(table, INTERCEPT, MODEL)
+    order = ["segment_woe", "quantity_woe", "discount_woe"]
+    return scaling.bundle_violations(coefficients, table.filter("variable <> 'segment'"), INTERCEPT, feature_order=order, frozen_order=fitted)
+
+
 @query(
     "build_summary",
     f"""{BINS_CTE}, {_CARD} SELECT 'features' AS item, CAST(3 AS BIGINT) AS row_count UNION ALL SELECT 'iv_rows', count(*) FROM iv WHERE variable IN ('quantity', 'discount', 'segment')
@@ -624,6 +665,25 @@ def build_summary(spark, sf_dir):
     return scaling.build_summary(coefficients, woe.iv_table(cells), table, scaling.scorecard(table, coefficients, SCALING))
 
 
+_RESAMPLED_CTE = BINS_CTE.replace("WHERE role = 'train' AND", "WHERE role = 'train' AND priority <> '1-URGENT' AND")
+
+
+@query(
+    "compare_iv_refitted",
+    f"""WITH b AS ({BINS_CTE} SELECT * FROM iv WHERE variable <> 'balance'), c AS ({_RESAMPLED_CTE} SELECT * FROM iv WHERE variable <> 'flag')
+    SELECT coalesce(b.variable, c.variable) AS variable, b.variable IS NOT NULL AS in_baseline, c.variable IS NOT NULL AS in_challenger,
+      b.iv AS baseline_iv, c.iv AS challenger_iv, b.bin_count AS baseline_bin_count, c.bin_count AS challenger_bin_count,
+      round(coalesce(c.iv, 0) - coalesce(b.iv, 0), 6) AS iv_delta, coalesce(c.bin_count, 0) - coalesce(b.bin_count, 0) AS bin_count_delta
+    FROM b FULL JOIN c ON b.variable = c.variable""",
+)
+def compare_iv_refitted(spark, sf_dir):
+    """Against a challenger that is binned anew without urgent orders, so shared variables differ."""
+    _, cells = fitted_cells(spark, sf_dir)
+    dev = development(spark, sf_dir).filter("priority <> '1-URGENT'")
+    challenger = woe.woe_cells(dev, fitted_bins(spark, sf_dir, dev=dev), TARGET)
+    return compare.compare_iv(woe.iv_table(cells).filter("variable <> 'balance'"), woe.iv_table(challenger).filter("variable <> 'flag'"))
+
+
 # --- challenger -----------------------------------------------------------------------------
 
 
