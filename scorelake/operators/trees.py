@@ -80,13 +80,13 @@ def forest_of(spark: SparkSession, model) -> Forest:
 
 
 def leaf_rules(spark: SparkSession, model, features: Sequence[str]) -> list[tuple[int, str]]:
-    """Conditions of each leaf of a decision tree, leaves numbered from the left as the model numbers them."""
+    """Conditions of each leaf of a decision tree, leaves numbered from the left as the model numbers them; TRUE for a lone leaf."""
     ((left, right, feature, threshold, _),) = forest_of(spark, model).trees
     rules: list[tuple[int, str]] = []
 
     def walk(node: int, path: tuple[str, ...]) -> None:
         if left[node] < 0:
-            rules.append((len(rules), " AND ".join(path)))
+            rules.append((len(rules), " AND ".join(path) or "TRUE"))
             return
         name, cut = features[feature[node]], round(float(threshold[node]), 6)
         walk(left[node], (*path, f"{name} <= {cut}"))
