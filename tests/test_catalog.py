@@ -12,7 +12,8 @@ SHORT = [
     "iv_table", "exclusion_waterfall", "split_stratified", "auc_gini", "ks", "psi", "hosmer_lemeshow",
     "threshold_f1", "cutoff_bands_explicit", "fairness_groups", "score_logit", "score_sql", "calibration_report",
     "bins_optimal", "bins_optimal_iv", "smote", "isotonic_steps", "calibrate_platt_cv", "logit_fit", "cv_metrics", "partial_dependence",
-    "tree_rules_check", "cluster_complete", "select_by_cluster",
+    "tree_rules_check", "cluster_complete", "select_by_cluster", "corr_spearman", "bin_warnings", "select_filter_correlated",
+    "bundle_feature_order", "compare_iv_refitted",
 ]
 KEYS = sorted(ORACLES) if os.environ.get("SCORELAKE_ALL") else SHORT
 
