@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.columns import col
+from scorelake.functions.state import stage
 from scorelake.operators.corr import correlation_matrix
 from scorelake.operators.scaling import INTERCEPT
 
@@ -45,8 +47,9 @@ def vif(df: DataFrame, features: Sequence[str], limit: float = VIF_LIMIT) -> Dat
     inverted, inside one small grouped task.
     """
     names = list(features)
+    df = stage(df.select(*[col(c) for c in names]))  # read three times, and its columns may be costly expressions
     corr = correlation_matrix(df, names, missing="complete_case")
-    spreads = df.dropna(subset=names).agg(*[F.stddev_pop(F.col(c)).alias(c) for c in names]).first()
+    spreads = df.dropna(subset=names).agg(*[F.stddev_pop(col(c)).alias(c) for c in names]).first()
     flat = {c for c in names if not spreads[c]}
 
     def invert(table: pd.DataFrame) -> pd.DataFrame:
