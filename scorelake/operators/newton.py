@@ -137,15 +137,21 @@ def fit_many(rows: DataFrame, fits: Sequence[Fit], max_passes: int = 100) -> tup
     return trial, converged
 
 
-def scored_counts(rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray]) -> DataFrame:
-    """``(fit, role, value, good, bad)``: counts of every fit's probabilities; rows of the fold left out are ``test``."""
+def scored_counts(
+    rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], roles: Sequence[str] = ("test", "train"), slices: int | None = None
+) -> DataFrame:
+    """``(fit, role, value, good, bad)``: counts of every fit's probabilities; rows of the fold left out are ``test``.
+
+    ``roles`` names the parts to count, ``slices`` the tasks that add the counts up.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, _, fold = _rows(batch)
             for k, (fit, beta) in enumerate(zip(fits, coefficients)):
                 p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -700, 700)))
-                for role, held in (("test", fold == fit.without), ("train", fold != fit.without)):
+                for role in roles:
+                    held = fold == fit.without if role == "test" else fold != fit.without
                     values, place = np.unique(p[held], return_inverse=True)
                     bad = np.bincount(place, y[held], len(values)).astype(np.int64)
                     n = np.bincount(place, minlength=len(values))
@@ -155,4 +161,6 @@ def scored_counts(rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[n
                     )
 
     counted = rows.select("x", "y", "weight", "fold").mapInArrow(count, "fit int, role string, value double, good long, bad long")
+    if slices:
+        counted = counted.repartition(slices, "fit", "role", "value")
     return counted.groupBy("fit", "role", "value").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))

@@ -17,6 +17,7 @@ from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassi
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions.columns import quote, sql_number
 from scorelake.functions.state import staging_path
 from scorelake.operators.scaling import INTERCEPT, model_of
 
@@ -42,6 +43,9 @@ def tree_nodes(spark: SparkSession, model) -> DataFrame:
     )
 
 
+TREE_MODELS = (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Node arrays of every tree, the leaf values they add up, and what the sum becomes."""
@@ -55,7 +59,7 @@ class Forest:
 
 def forest_of(spark: SparkSession, model) -> Forest:
     """The bad-class probability of a decision tree, a random forest or boosted trees as arrays."""
-    if not isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)):
+    if not isinstance(model, TREE_MODELS):
         raise ValueError("the model has no trees")
     boosted = isinstance(model, GBTClassificationModel)
     weights = [1.0] if isinstance(model, DecisionTreeClassificationModel) else list(model.treeWeights)
@@ -79,6 +83,33 @@ def forest_of(spark: SparkSession, model) -> Forest:
     return Forest(tuple(trees), boosted)
 
 
+def probability_sql(spark: SparkSession, model, features: Sequence[str]) -> str:
+    """The bad-class probability of a decision tree as Spark SQL over features that are not missing."""
+    ((left, right, feature, threshold, value),) = forest_of(spark, model).trees
+
+    def node(i: int) -> str:
+        if left[i] < 0:
+            return sql_number(value[i])
+        return f"if(cast({quote(features[feature[i]])} AS double) <= {sql_number(threshold[i])}, {node(left[i])}, {node(right[i])})"
+
+    return node(0)
+
+
+def probabilities(forest: Forest, x: np.ndarray) -> np.ndarray:
+    """The bad-class probability of every row of ``x``."""
+    total = np.zeros(len(x))
+    for left, right, feature, threshold, value in forest.trees:
+        waiting = [(0, np.arange(len(x)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if left[node] < 0:
+                total[rows] += value[node]
+            elif len(rows):
+                below = x[rows, feature[node]] <= threshold[node]
+                waiting += [(left[node], rows[below]), (right[node], rows[~below])]
+    return forest.finish(total)
+
+
 def leaf_rules(spark: SparkSession, model, features: Sequence[str]) -> list[tuple[int, str]]:
     """Conditions of each leaf of a decision tree, leaves numbered from the left as the model numbers them; TRUE for a lone leaf."""
     ((left, right, feature, threshold, _),) = forest_of(spark, model).trees

@@ -15,7 +15,7 @@ from scorelake.plans.model_queries import SCALING, _woe_frame, with_woe
 from scorelake.plans.newton_sql import newton_cte
 from scorelake.plans.prep_queries import REJECTS
 from scorelake.plans.registry import query
-from scorelake.plans.views import NUMERIC, TARGET, apps, development, known, scored
+from scorelake.plans.views import NUMERIC, TARGET, apps, development, development_rows, known, scored
 
 TREE_FEATURES = ["quantity", "price", "discount", "tax", "balance", "builder"]
 
@@ -28,7 +28,9 @@ def _filled(df):
 
 
 def _tree_sample(spark, sf_dir):
-    return stage(_filled(development(spark, sf_dir)).select("app_key", "outcome", "role", *TREE_FEATURES))
+    """Development rows with the tree features only, dealt out evenly and written once."""
+    rows = _filled(development_rows(spark, sf_dir)).select("app_key", "outcome", "role", *TREE_FEATURES)
+    return stage(rows.repartition(spark.sparkContext.defaultParallelism))
 
 
 _WOE_NAMES = [f"{v}_woe" for v in FEATURES]
@@ -130,7 +132,7 @@ def forest_fit(spark, sf_dir):
 @query("gbt_fit")
 def gbt_fit(spark, sf_dir):
     sample = _tree_sample(spark, sf_dir)
-    fitted = model.fit_tree(sample, TARGET, TREE_FEATURES, "gradient_boosting", n_trees=100)
+    fitted, _ = model.fit_boosted(sample, TARGET, TREE_FEATURES, n_trees=100)
     return model.importances(sample, fitted, TREE_FEATURES)
 
 
@@ -139,7 +141,7 @@ def gbt_presets(spark, sf_dir):
     """Boosted trees with all their rounds; presets of one depth are one model, fitted once."""
     sample = _tree_sample(spark, sf_dir)
     depths = sorted(set(model.BOOSTING_DEPTH.values()))
-    fitted = {d: model.importances(sample, model.fit_tree(sample, TARGET, TREE_FEATURES, "gradient_boosting", max_depth=d), TREE_FEATURES) for d in depths}
+    fitted = {d: model.importances(sample, model.fit_boosted(sample, TARGET, TREE_FEATURES, max_depth=d)[0], TREE_FEATURES) for d in depths}
     parts = [fitted[d].select(F.lit(preset).alias("preset"), "feature", "importance") for preset, d in model.BOOSTING_DEPTH.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

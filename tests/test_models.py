@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake.functions import ordered
 from scorelake.functions.target import TargetSpec
 from scorelake.operators import metrics, model
 
@@ -53,3 +54,19 @@ def test_tree_facts_and_blank_members(sample):
     assert model.tree_facts(sample, deep).first().warning is None
     with pytest.raises(ValueError):
         TargetSpec("outcome", good=("good", ""), bad=("bad",))
+
+
+def test_search_counts_its_tests_only_and_in_bounded_slices(spark, monkeypatch):
+    rows = spark.range(900).select("id", (F.col("id") * 7 % 101).cast("double").alias("a"), F.when(F.col("id") * 13 % 10 < F.col("id") % 101 / 20, "bad").otherwise("good").alias("outcome"))
+    target = TargetSpec("outcome", good=("good",), bad=("bad",))
+    told = lambda: (
+        model.tune(rows, target, ["a"], ["id"], "logistic", {"c": [0.1, 1.0]}, folds=3).collect(),
+        sorted(model.cross_validate(rows, target, ["a"], ["id"], "logistic", folds=3).collect()),
+    )
+    whole, seen = told(), []
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    real = model.scored_counts
+    monkeypatch.setattr(model, "scored_counts", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    assert told() == whole
+    assert [c.rdd.getNumPartitions() for c in seen] == [18, 27]
+    assert [sorted(r.role for r in c.select("role").distinct().collect()) for c in seen] == [["test"], ["test", "train"]]
