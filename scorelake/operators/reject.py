@@ -13,7 +13,7 @@ from scorelake.functions.columns import col, constants, count_if
 from scorelake.functions.hashing import dense_index, hash_order, uniform
 from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.placing import place
-from scorelake.functions.state import collect_state, materialise
+from scorelake.functions.state import collect_state, stage
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.model import LogisticParams, assembled, feature_columns
 from scorelake.operators.prep import FINANCED
@@ -43,7 +43,7 @@ def score_bands(
         training = assembled(classified.filter(col(FINANCED)), names, target)
     n = training.count()
     model = LogisticParams().estimator(n).fit(training)
-    scored = materialise(
+    scored = stage(
         model.transform(assembled(classified, names, keep=classified.columns)).select(
             *[col(c) for c in classified.columns], vector_to_array("probability")[1].alias("_score")
         )
