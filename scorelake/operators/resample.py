@@ -6,15 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.functions.columns import col, constants, null_safe_join
+from scorelake.functions.columns import col, constants
 from scorelake.functions.hashing import dense_index, hash_order, rank_cutoffs, refuse_ties, uniform
-from scorelake.functions.state import materialise
+from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
-from scorelake.operators.neighbours import nearest_neighbours
+from scorelake.operators.neighbours import nearest_neighbours, neighbour_lists
 
 SYNTHETIC = "_is_synthetic_row"
 
@@ -105,10 +105,10 @@ def indexed_points(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Distinct feature vectors with their ``copies`` and a dense ``point`` number in hash order."""
     doubles = [col(f).cast("double").alias(f) for f in features]
     distinct = df.select(*doubles).groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
-    points = materialise(
+    points = stage(
         distinct.withColumn("_h", F.md5(F.concat_ws("|", *[col(f).cast("string") for f in features])))
     )
-    return materialise(dense_index(points).withColumnRenamed("_index", "point").drop("_h"))
+    return stage(dense_index(points).withColumnRenamed("_index", "point").drop("_h"))
 
 
 def smote(
@@ -143,39 +143,29 @@ def smote(
         raise ValueError("SMOTE needs every feature of every minority row")
     indexed = indexed_points(minority, features)
     n_points = indexed.count()
-    neighbours = nearest_neighbours(indexed, features, min(k, n_points - 1)) if n_points > 1 else None
+    if n_points > 1:
+        listed = neighbour_lists(indexed, features, min(k, n_points - 1), keep=["copies"]).withColumn("_near", F.col("found.neighbour"))
+    else:
+        listed = indexed.select("point", F.array(*doubles).alias("x"), "copies", F.lit(None).cast("array<long>").alias("_near"))
     # Each draw picks a base row in proportion to its copies, then a neighbour rank.
-    per_point = indexed.withColumn(
-        "quota", F.col("copies") * F.lit(float(new_rows)) / F.lit(float(n_min))
-    )
-    whole = per_point.withColumn("whole", F.floor("quota")).withColumn(
-        "chance", F.md5(F.concat_ws("|", "point", F.lit(seed)))
-    )
-    missing = new_rows - whole.agg(F.sum("whole")).first()[0]
-    extra = _lowest_points(whole, missing)
-    drawn = (
-        null_safe_join(whole, extra, ["point"], "left")
-        .withColumn("draws", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
-        .filter("draws > 0")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws"))))
-    )
+    quota = F.col("copies") * F.lit(float(new_rows)) / F.lit(float(n_min))
+    chance = F.md5(F.concat_ws("|", "point", F.lit(seed)))
+    missing = new_rows - indexed.agg(F.sum(F.floor(quota))).first()[0]
+    draws = (F.floor(quota) + _extra_draws(indexed, chance, missing)).cast("int")
+    drawn = listed.withColumn("draws", draws).filter("draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws"))))
     pick = F.floor(uniform([F.col("point"), F.col("draw")], seed) * F.lit(k)).cast("int") + 1
     step = uniform([F.col("draw"), F.col("point")], seed + 1)
-    # Ranks up to copies - 1 are the point's own copies.
-    chosen = drawn.withColumns({"rank": pick - (F.col("copies") - 1).cast("int"), "step": step})
-    coordinates = indexed.select(
-        F.col("point").alias("neighbour"), *[col(f).alias(f"_n_{i}") for i, f in enumerate(features)]
-    )
-    if neighbours is None:
-        linked = chosen.select("*", *[F.lit(None).cast("double").alias(f"_n_{i}") for i in range(len(features))])
-    else:
-        linked = chosen.join(neighbours.select("point", "rank", "neighbour"), ["point", "rank"], "left").join(
-            coordinates, "neighbour", "left"
-        )
-    moved = [
-        F.coalesce(col(f) + F.col("step") * (F.col(f"_n_{i}") - col(f)), col(f)).alias(f)
-        for i, f in enumerate(features)
-    ]
+    # Ranks up to copies - 1 are the point's own copies; such a draw stays where it is and meets its own point.
+    rank = pick - (F.col("copies") - 1).cast("int")
+    chosen = drawn.withColumns({"_neighbour": F.get("_near", rank - 1), "step": step})
+    coordinates = indexed.select(F.col("point").alias("_met"), *[col(f).alias(f"_n_{i}") for i, f in enumerate(features)])
+    drawn_to = chosen.select("x", "step", "_neighbour", F.coalesce("_neighbour", "point").alias("_met"))
+    linked = drawn_to.join(coordinates, "_met")
+    moved = []
+    for i, f in enumerate(features):
+        own = F.get("x", F.lit(i))
+        towards = F.when(F.col("_neighbour").isNotNull(), own + F.col("step") * (F.col(f"_n_{i}") - own))
+        moved.append(F.coalesce(towards, own).alias(f))
     label = (target.bad if minority_is_bad else target.good)[0]
     synthetic = linked.select(*moved)
     columns = []
@@ -192,11 +182,11 @@ def smote(
     return original.unionByName(synthetic.select(*columns))
 
 
-def _lowest_points(points: DataFrame, count: int) -> DataFrame:
-    """One extra draw for the ``count`` points with the lowest hash."""
+def _extra_draws(points: DataFrame, chance: Column, count: int) -> Column:
+    """1 for the ``count`` points with the lowest hash, else 0."""
     if count <= 0:
-        return points.select("point", F.lit(0).alias("extra")).filter(F.lit(False))
-    hashed = points.select("point", F.col("chance").alias("_h"), F.lit(0).alias("_one"))
+        return F.lit(0)
+    hashed = points.select(chance.alias("_h"), F.lit(0).alias("_one"))
     wanted = constants(points, [(0, "extra", int(count))], "_one int, cut string, k long")
-    cut = rank_cutoffs(hashed.select("_one", "_h"), ["_one"], wanted).first()
-    return hashed.filter(F.col("_h") <= F.lit(cut.h)).select("point", F.lit(1).alias("extra"))
+    cut = rank_cutoffs(hashed, ["_one"], wanted).first()
+    return F.when(chance <= F.lit(cut.h), 1).otherwise(0)

@@ -474,7 +474,7 @@ near AS (
 )
 def smote_neighbours(spark, sf_dir):
     """The five nearest of every distinct minority point; equal distances by hash order."""
-    dev = development(spark, sf_dir).fillna({"quantity": 25.0}).filter(TARGET.is_bad)
+    dev = development(spark, sf_dir, ["outcome", *_SMOTE_FEATURES]).fillna({"quantity": 25.0}).filter(TARGET.is_bad)
     points = resample.indexed_points(dev, _SMOTE_FEATURES)
     near = resample.nearest_neighbours(points, _SMOTE_FEATURES, 5)
     other = points.select(F.col("point").alias("neighbour"), F.col("balance").alias("neighbour_balance"))
@@ -498,5 +498,5 @@ def smote_neighbours(spark, sf_dir):
     FROM picked p LEFT JOIN near ON near.point = p.point AND near.rank = p.rank LEFT JOIN pts b ON b.point = near.neighbour""",
 )
 def smote(spark, sf_dir):
-    dev = development(spark, sf_dir).select("app_key", "outcome", *_SMOTE_FEATURES).fillna({"quantity": 25.0})
+    dev = development(spark, sf_dir, ["app_key", "outcome", *_SMOTE_FEATURES]).fillna({"quantity": 25.0})
     return resample.smote(dev, TARGET, _SMOTE_FEATURES, k=5, seed=7)

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import target as t
-from scorelake.operators import prep, profile, resample, split
+from scorelake.functions.state import stage
+from scorelake.operators import neighbours, prep, profile, resample, split
 from scorelake.operators.prep import RejectRules, Rule, Treatment
+from scorelake.plans import views
 from scorelake.sources import readers, writers
 
 TARGET = t.TargetSpec("target", ("good",), ("bad",), ("maybe",))
@@ -143,6 +145,48 @@ def test_nearest_neighbours_equal_brute_force(spark):
         assert np.allclose(mine, distances)
 
 
+def _jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    result = work()
+    spark.sparkContext.setJobGroup("other", "other")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), result
+
+
+def test_neighbour_tree_takes_as_many_passes_when_deep(spark):
+    points = stage(spark.range(6000).selectExpr("id AS point", "array(rand(1), rand(2)) AS x"))
+    shallow, (_, _, few) = _jobs(spark, "shallow tree", lambda: neighbours.grow_tree(points, 2, 1024))
+    deep, (_, placed, many) = _jobs(spark, "deep tree", lambda: neighbours.grow_tree(points, 2, 8))
+    assert len(few) < 30 and len(many) > 500 and max(many.values()) <= 32
+    assert deep == shallow and placed.count() == 6000
+
+
+@pytest.mark.parametrize("limit, value", [("SAMPLED", 1), ("PROBES", 20)])
+def test_neighbours_are_exact_with_a_coarse_sample_and_with_blocks(spark, monkeypatch, limit, value):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, limit, value)
+    points = np.unique(np.random.default_rng(2).integers(0, 40, (500, 2)), axis=0).astype(float)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "point long, a double, b double")
+    listed = {r.point: [tuple(f) for f in r.found] for r in neighbours.neighbour_lists(df, ["a", "b"], 4, leaf=24).collect()}
+    gaps = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(gaps, np.inf)
+    assert listed == {i: sorted(zip(g.tolist(), range(len(g))))[:4] for i, g in enumerate(gaps)}
+
+
+def test_development_columns_keep_the_rows(spark, tmp_path):
+    lines = "id AS l_orderkey, id % 7 AS l_partkey, id % 3 AS l_suppkey, cast(id % 4 AS int) AS l_linenumber, cast(id % 40 AS double) AS l_quantity, cast(id AS double) AS l_extendedprice, 0.06D AS l_discount, 0.01D AS l_tax, 'R' AS l_returnflag, 'F' AS l_linestatus, timestamp '2020-01-01' AS l_shipdate"
+    line = spark.range(300).selectExpr("if(id % 50 = 0, null, id % 90) AS id", "id AS n").selectExpr(*lines.split(", "))
+    orders = spark.range(100).selectExpr("if(id % 30 = 7, null, id % 80) AS o_orderkey", "if(id % 9 = 0, null, id % 25) AS o_custkey", "'1-URGENT' AS o_orderpriority")
+    customer = spark.range(30).selectExpr("if(id = 4, null, id % 20) AS c_custkey", "if(id % 2 = 0, 'BUILDING', null) AS c_mktsegment", "cast(id AS double) AS c_acctbal")
+    for name, df in (("lineitem", line), ("orders", orders), ("customer", customer)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    columns = ["app_key", "outcome", "quantity", "balance"]
+    kept = views.development(spark, str(tmp_path), columns)
+    whole = views.development(spark, str(tmp_path)).select(*columns)
+    assert kept.columns == columns and kept.count() > 100
+    assert kept.exceptAll(whole).isEmpty() and whole.exceptAll(kept).isEmpty()
+
+
 def test_smote_balances_and_stays_inside_the_minority(spark):
     df = spark.range(100).selectExpr(
         "id AS row_id", "cast(id % 20 AS double) AS a", "cast(id AS double) / 10 AS b",
