@@ -17,6 +17,7 @@ from scorelake.functions.columns import col, null_safe_join
 from scorelake.functions.state import small_side
 
 PREFIX_HEX = 4  # 65,536 buckets per group
+MAX_OFFSETS = 8 * 16**PREFIX_HEX  # rows of bucket offsets that are broadcast: eight groups
 
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:
@@ -85,3 +86,22 @@ def dense_index(hashed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .withColumn("_index", F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_local", "_offset")
     )
+
+
+def lean_index(hashed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`dense_index` without ``_h``, for rows whose later order does not matter: they are exchanged once, with half the hash.
+
+    The bucket offsets are counted first and broadcast, and a hash travels as bytes behind its bucket.
+    """
+    by = list(by)
+    offsets = small_side(_bucket_offsets(hashed, by).drop("_n"), MAX_OFFSETS)
+    bucketed = hashed.withColumns(
+        {"_bucket": F.substring("_h", 1, PREFIX_HEX), "_h": F.unhex(F.substring("_h", PREFIX_HEX + 1, 32 - PREFIX_HEX))}
+    )
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_h")
+    numbered = bucketed.withColumn("_local", F.row_number().over(inside) - F.lit(1)).drop("_h")
+    return (
+        null_safe_join(numbered, offsets, by + ["_bucket"])
+        .withColumn("_index", F.col("_offset") + F.col("_local"))
+        .drop("_bucket", "_local", "_offset")
+    )

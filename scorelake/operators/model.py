@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.columns import col, constants, numeric_columns, quote, ratio, sql_search
-from scorelake.functions.hashing import dense_index, hash_order
+from scorelake.functions.hashing import dense_index, hash_order, lean_index
 from scorelake.functions.ordered import running_totals, slices_for
 from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
-from scorelake.operators.newton import Fit, fit_many, scored_counts
+from scorelake.operators.newton import Fit, fit_many, left_out_wins, scored_counts
 from scorelake.operators.scaling import coefficients_table
 from scorelake.operators.trees import leaf_rules, probability_sql
 
@@ -279,15 +279,18 @@ def tree_rules(df: DataFrame, model, target: TargetSpec, features: Sequence[str]
 # --- cross-validation ----------------------------------------------------------------
 
 
-def with_folds(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42, by: Column | None = None) -> DataFrame:
+def with_folds(
+    df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42, by: Column | None = None, index: Callable[..., DataFrame] = dense_index
+) -> DataFrame:
     """Add ``fold``: a hash of the row key, so folds do not depend on partitioning.
 
     With ``by`` folds are stratified: a row's place in the hash order of its class
-    decides, so the folds of a class differ by one row at most.
+    decides, so the folds of a class differ by one row at most.  ``index`` finds the place; both
+    kinds give the same folds, and ``dense_index`` also the order of rows that tree fits draw from.
     """
     if by is not None:
         hashed = df.withColumns({"_h": hash_order(keys, seed), "_class": by})
-        return dense_index(hashed, ["_class"]).withColumn("fold", F.pmod("_index", F.lit(folds)).cast("int")).drop("_index", "_h", "_class")
+        return index(hashed, ["_class"]).withColumn("fold", F.pmod("_index", F.lit(folds)).cast("int")).drop("_index", "_h", "_class")
     bucket = F.conv(F.substring(hash_order(keys, seed), 1, 8), 16, 10).cast("long")
     return df.withColumn("fold", F.pmod(bucket, F.lit(folds)).cast("int"))
 
@@ -439,14 +442,14 @@ def _tune_logistic(df, target, features, keys, values, folds, seed, random_trial
 
     if random_trials is not None and random_trials < len(values):
         values = random.Random(seed).sample(values, random_trials)
-    data = stage(model_rows(with_folds(df, keys, folds, seed, target.is_bad), target, features, F.col("fold")))
+    data = stage(model_rows(with_folds(df, keys, folds, seed, target.is_bad, lean_index), target, features, F.col("fold")))
     fits = [LogisticParams(c=c).fit(k) for c in values for k in range(folds)]
     betas, converged = fit_many(data, fits)
     if not all(converged):
         raise ValueError("a logistic fit of the search did not converge")
-    slices = slices_for(df, data.count() * len(values))  # every row is tested once a penalty
-    counts = stage(scored_counts(data, fits, betas, ["test"], slices).select(F.col("fit").alias("role"), "value", "good", "bad"))
-    areas = {r.role: r.auc for r in auc_gini(running_totals(counts, "value", ["good", "bad"], ["role"], slices)).collect()}  # one row per fit
+    won = [(k, float(wins), 2.0 * good * bad) for k, (wins, good, bad) in left_out_wins(data, fits, betas).items()]
+    area = F.round(F.when(F.col("pairs") > 0, F.col("wins") / F.col("pairs")), 6)
+    areas = {r.fit: r.auc for r in constants(df, won, "fit int, wins double, pairs double").select("fit", area.alias("auc")).collect()}  # one row per fit
     rows = []
     for i, c in enumerate(values):
         own = np.array([areas[i * folds + k] for k in range(folds)])

@@ -20,6 +20,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.packing import pack, unpack
+from scorelake.functions.state import shuffles_released
+
 # Executors need no copy of this package: what Python workers run is sent by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -164,3 +167,93 @@ def scored_counts(
     if slices:
         counted = counted.repartition(slices, "fit", "role", "value")
     return counted.groupBy("fit", "role", "value").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+SLICE_ROWS = 1_000_000  # scored rows that meet in one task, about
+FLUSH_ROWS = 1_000_000  # scored rows that a task holds before it sends them
+SAMPLE_ROWS = 100_000  # rows at most whose scores part the slices
+
+
+def _probability(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Term by term, so that equal rows have equal probabilities whatever rows are beside them."""
+    z = np.full(len(x), beta[0])
+    for j in range(1, len(beta)):
+        z += x[:, j] * beta[j]
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+
+
+def _slice_cuts(rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], slice_rows: int) -> list[np.ndarray]:
+    """Probabilities that part every fit's left-out rows into slices, from a bounded sample: it decides how even slices are, not what they give."""
+    n = rows.count()
+    slices = -(-n // (slice_rows * max(1, len({f.without for f in fits}))))
+    if slices <= 1:
+        return [np.empty(0) for _ in fits]
+    drawn = rows.sample(min(1.0, SAMPLE_ROWS / n), 42).select("x", "y", "weight", "fold").limit(2 * SAMPLE_ROWS).toArrow().combine_chunks().to_batches()
+    if not drawn:
+        return [np.empty(0) for _ in fits]
+    x, _, _, fold = _rows(drawn[0])
+    shares = np.arange(1, slices) / slices
+    held = [_probability(x[fold == fit.without], beta) for fit, beta in zip(fits, coefficients)]
+    return [np.unique(np.quantile(p, shares)) if len(p) else np.empty(0) for p in held]
+
+
+def _send_values(fits: Sequence[Fit], coefficients: Sequence[np.ndarray], cuts: Sequence[np.ndarray], flush_rows: int):
+    def sent(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        made: list[tuple[int, int, int, bytes]] = []
+        for k, parts in enumerate(held):
+            if not parts:
+                continue
+            values, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+            bad = np.bincount(place, np.concatenate([y for _, y in parts]), len(values)).astype(np.uint32)
+            good = (np.bincount(place, minlength=len(values)) - bad).astype(np.uint32)
+            ends = [0, *np.searchsorted(values, cuts[k], side="right"), len(values)]
+            made += [(k, i, b - a, pack([values[a:b], good[a:b], bad[a:b]])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        fit, piece, n, data = zip(*made) if made else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["fit", "slice", "n", "data"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [[] for _ in fits], 0
+        for batch in batches:
+            x, y, _, fold = _rows(batch)
+            for k, (fit, beta) in enumerate(zip(fits, coefficients)):
+                own = fold == fit.without
+                if own.any():
+                    held[k].append((_probability(x[own], beta), y[own]))
+                    n += len(held[k][-1][0])
+            if n >= flush_rows:
+                yield sent(held)
+                held, n = [[] for _ in fits], 0
+        if n:
+            yield sent(held)
+
+    return send
+
+
+def _slice_wins(table: pa.Table) -> pa.Table:
+    """Of one slice: twice the pairs of a bad and a good row that the bad one wins, ties counted half, its goods and its bads."""
+    parts = [unpack(data, n, [np.float64, np.uint32, np.uint32]) for data, n in zip(table["data"].to_pylist(), table["n"].to_pylist())]
+    values, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    good, bad = (np.bincount(place, np.concatenate([p[i] for p in parts]), len(values)).astype(np.int64) for i in (1, 2))
+    wins = np.sum(bad * (2 * (np.cumsum(good) - good) + good))
+    told = {"fit": table["fit"][0].as_py(), "slice": table["slice"][0].as_py(), "wins": int(wins), "good": int(good.sum()), "bad": int(bad.sum())}
+    return pa.Table.from_pylist([told], pa.schema([("fit", pa.int32()), ("slice", pa.int32()), ("wins", pa.int64()), ("good", pa.int64()), ("bad", pa.int64())]))
+
+
+def left_out_wins(
+    rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], slice_rows: int = SLICE_ROWS, flush_rows: int = FLUSH_ROWS
+) -> dict[int, tuple[int, int, int]]:
+    """Per fit whose fold has rows: twice the pairs that its left-out bad rows win, and the numbers of its good and bad rows.
+
+    Every probability is exchanged once, packed with others of its range; equal ones of a task are one count.  A
+    range returns three numbers, which the driver adds up in order, so nothing is staged.
+    """
+    cuts = _slice_cuts(rows, fits, coefficients, slice_rows)
+    sent = rows.select("x", "y", "weight", "fold").mapInArrow(_send_values(fits, coefficients, cuts, flush_rows), "fit int, slice int, n int, data binary")
+    told = sent.groupBy("fit", "slice").applyInArrow(_slice_wins, "fit int, slice int, wins long, good long, bad long")
+    with shuffles_released(rows.sparkSession):
+        slices = sorted(told.toArrow().to_pylist(), key=lambda r: (r["fit"], r["slice"]))  # a row per fit and million rows
+    totals: dict[int, tuple[int, int, int]] = {}
+    for r in slices:
+        wins, good, bad = totals.get(r["fit"], (0, 0, 0))
+        totals[r["fit"]] = (wins + r["wins"] + 2 * r["bad"] * good, good + r["good"], bad + r["bad"])
+    return totals
