@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +15,9 @@ from scorelake.functions.ordered import exact_quantiles
 from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.model import assembled
+from scorelake.operators.permuted import permuted_hits
 from scorelake.operators.scaling import INTERCEPT
-from scorelake.operators.trees import TREE_MODELS, Forest, dependence, forest_of, probabilities
-
-# Executors need no copy of this package: what Python workers run is sent by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from scorelake.operators.trees import TREE_MODELS, dependence, forest_of
 
 
 def coefficient_magnitude(coefficients: DataFrame) -> DataFrame:
@@ -33,42 +27,29 @@ def coefficient_magnitude(coefficients: DataFrame) -> DataFrame:
     )
 
 
-def _variant_hits(forest: Forest, features: list[str]):
-    """Rows, and rows whose class is met, with each feature in turn taken from the other row."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, hits = 0, np.zeros(len(features), np.int64)
-        for batch in batches:
-            label = batch["label"].to_numpy(zero_copy_only=False) == 1.0
-            x, other = (batch[c].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("x", "other"))
-            for j in range(len(features)):
-                variant = x.copy()
-                variant[:, j] = other[:, j]
-                hits[j] += np.count_nonzero((probabilities(forest, variant) > 0.5) == label)
-            n += batch.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.full(len(features), n)), pa.array(hits)], names=["feature", "n", "hits"])
-
-    return count
-
-
 def permutation_importance(
     df: DataFrame, model, target: TargetSpec, features: Sequence[str], keys: Sequence[str], repeats: int = 5, seed: int = 42
 ) -> DataFrame:
     """``(feature, importance_mean, importance_std)``: accuracy lost when a feature is shuffled.
 
-    A shuffle is one join: rows in one hash order meet the values of rows in
-    another.  One permutation serves all features of a repeat, and the variants
-    of a row are scored together; a tree model's are walked in Arrow batches, of which a task returns counts only.
+    A shuffle meets the rows of one hash order with the values of another at the same ranks.  One permutation serves all
+    features of a repeat.  For a tree model rows are lined up in packed slices (see :func:`~scorelake.operators.permuted.permuted_hits`); for
+    any other a shuffle is one join, and the variants of a row are scored together.
     """
+    accuracy = lambda: F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    if isinstance(model, TREE_MODELS):
+        rows = assembled(df, features, target, keep=list(keys))
+        baseline = model.transform(rows.select("label", "features")).agg(accuracy().alias("a")).first().a
+        packed = rows.select(*keys, "label", vector_to_array("features").alias("x"))
+        hits = permuted_hits(packed, forest_of(df.sparkSession, model), len(features), keys, seed, [seed + 1 + r for r in range(repeats)])
+        told = [(f, baseline - met / n) for repeat in hits for f, (n, met) in zip(features, repeat)]
+        return _loss_table(constants(df, told, "feature string, loss double"))
     base = stage(
         assembled(df, features, target, keep=list(keys)).select(
             *keys, "label", vector_to_array("features").alias("x")
         )
     )
     fixed = stage(dense_index(base.withColumn("_h", hash_order(keys, seed))).select("_index", "label", "x"))
-    forest = forest_of(df.sparkSession, model) if isinstance(model, TREE_MODELS) else None
-    accuracy = lambda: F.avg((F.col("prediction") == F.col("label")).cast("double"))
     baseline = (
         model.transform(base.select("label", array_to_vector("x").alias("features"))).agg(accuracy().alias("a")).first().a
     )
@@ -86,13 +67,7 @@ def permutation_importance(
                 for i, f in enumerate(features)
             ]
         )
-        met = fixed.join(shuffled, "_index")
-        if forest is not None:
-            hits = met.select("label", "x", "other").mapInArrow(_variant_hits(forest, list(features)), "feature string, n long, hits long")
-            share = F.sum("hits").cast("double") / F.sum("n")
-            losses.append(hits.groupBy("feature").agg((F.lit(baseline) - share).alias("loss")).withColumn("repeat", F.lit(r)))
-            continue
-        rows = met.select("label", F.inline(variants))
+        rows = fixed.join(shuffled, "_index").select("label", F.inline(variants))
         scored = model.transform(rows.select("feature", "label", array_to_vector("v").alias("features")))
         losses.append(
             scored.groupBy("feature").agg((F.lit(baseline) - accuracy()).alias("loss")).withColumn("repeat", F.lit(r))
@@ -100,7 +75,11 @@ def permutation_importance(
     every = losses[0]
     for part in losses[1:]:
         every = every.unionByName(part)
-    return every.groupBy("feature").agg(
+    return _loss_table(every)
+
+
+def _loss_table(losses: DataFrame) -> DataFrame:
+    return losses.groupBy("feature").agg(
         F.round(F.avg("loss"), 6).alias("importance_mean"), F.round(F.stddev_pop("loss"), 6).alias("importance_std")
     )
 
