@@ -17,7 +17,7 @@ from scorelake.functions.columns import col, null_safe_join
 from scorelake.functions.state import small_side
 
 PREFIX_HEX = 4  # 65,536 buckets per group
-MAX_OFFSETS = 8 * 16**PREFIX_HEX  # rows of bucket offsets that are broadcast: eight groups
+MAX_OFFSETS = 2 * 16**PREFIX_HEX  # rows of bucket offsets that are broadcast: those of two groups
 
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:

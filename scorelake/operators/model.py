@@ -28,7 +28,7 @@ from scorelake.functions.ordered import running_totals, slices_for
 from scorelake.functions.state import stage
 from scorelake.functions.target import TargetSpec
 from scorelake.operators.metrics import PROBABILITY, auc_gini
-from scorelake.operators.newton import Fit, fit_many, left_out_wins, scored_counts
+from scorelake.operators.newton import Fit, fit_many, scored_counts, slices_won
 from scorelake.operators.scaling import coefficients_table
 from scorelake.operators.trees import leaf_rules, probability_sql
 
@@ -345,7 +345,7 @@ def _logistic_folds(df, target, features, keys, folds, seed, params: LogisticPar
     if not all(converged) and params.fail_on_no_convergence:
         raise ValueError(f"logistic regression did not converge in {params.max_iter} iterations")
     slices = slices_for(df, data.count() * len(fits))
-    counts = stage(scored_counts(data, fits, betas, slices=slices).withColumn("role", F.concat_ws("/", "fit", "role")).drop("fit"))
+    counts = stage(scored_counts(data, fits, betas, slices=slices).select(F.concat_ws("/", "fit", "role").alias("role"), "value", "good", "bad"))
     areas = {r.role: r.auc for r in auc_gini(running_totals(counts, "value", ["good", "bad"], ["role"], slices)).collect()}
     high = lambda c, over: F.sum(F.when((F.col("value") >= 0.5) == F.lit(over), F.col(c)).otherwise(0))
     sums = counts.groupBy("role").agg(high("bad", True).alias("tp"), high("good", True).alias("fp"), high("bad", False).alias("fn"), high("good", False).alias("tn"))
@@ -447,9 +447,11 @@ def _tune_logistic(df, target, features, keys, values, folds, seed, random_trial
     betas, converged = fit_many(data, fits)
     if not all(converged):
         raise ValueError("a logistic fit of the search did not converge")
-    won = [(k, float(wins), 2.0 * good * bad) for k, (wins, good, bad) in left_out_wins(data, fits, betas).items()]
-    area = F.round(F.when(F.col("pairs") > 0, F.col("wins") / F.col("pairs")), 6)
-    areas = {r.fit: r.auc for r in constants(df, won, "fit int, wins double, pairs double").select("fit", area.alias("auc")).collect()}  # one row per fit
+    slices = slices_for(df, data.count() * len(values))  # every row is tested once a penalty
+    won = slices_won(scored_counts(data, fits, betas, ["test"], slices))
+    # One row per fit: a bad row that wins all the pairs that are won.
+    ranking = constants(df, [(k, 1, 0, w / 2, bad, good) for (k, _), (w, good, bad) in won.items()], "role int, bad long, good long, before_good double, total_bad long, total_good long")
+    areas = {r.role: r.auc for r in auc_gini(ranking).collect()}
     rows = []
     for i, c in enumerate(values):
         own = np.array([areas[i * folds + k] for k in range(folds)])

@@ -140,38 +140,9 @@ def fit_many(rows: DataFrame, fits: Sequence[Fit], max_passes: int = 100) -> tup
     return trial, converged
 
 
-def scored_counts(
-    rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], roles: Sequence[str] = ("test", "train"), slices: int | None = None
-) -> DataFrame:
-    """``(fit, role, value, good, bad)``: counts of every fit's probabilities; rows of the fold left out are ``test``.
-
-    ``roles`` names the parts to count, ``slices`` the tasks that add the counts up.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, _, fold = _rows(batch)
-            for k, (fit, beta) in enumerate(zip(fits, coefficients)):
-                p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -700, 700)))
-                for role in roles:
-                    held = fold == fit.without if role == "test" else fold != fit.without
-                    values, place = np.unique(p[held], return_inverse=True)
-                    bad = np.bincount(place, y[held], len(values)).astype(np.int64)
-                    n = np.bincount(place, minlength=len(values))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(values), k, np.int32)), pa.array([role] * len(values)), pa.array(values), pa.array(n - bad), pa.array(bad)],
-                        names=["fit", "role", "value", "good", "bad"],
-                    )
-
-    counted = rows.select("x", "y", "weight", "fold").mapInArrow(count, "fit int, role string, value double, good long, bad long")
-    if slices:
-        counted = counted.repartition(slices, "fit", "role", "value")
-    return counted.groupBy("fit", "role", "value").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-
-
-SLICE_ROWS = 1_000_000  # scored rows that meet in one task, about
+SLICE_ROWS = 1_000_000  # scored rows of a fit that meet in one task, about
 FLUSH_ROWS = 1_000_000  # scored rows that a task holds before it sends them
-SAMPLE_ROWS = 100_000  # rows at most whose scores part the slices
+SAMPLE_ROWS = 100_000  # rows, about, whose scores part the slices
 
 
 def _probability(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -182,78 +153,97 @@ def _probability(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
-def _slice_cuts(rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], slice_rows: int) -> list[np.ndarray]:
-    """Probabilities that part every fit's left-out rows into slices, from a bounded sample: it decides how even slices are, not what they give."""
+def _slice_cuts(rows: DataFrame, coefficients: Sequence[np.ndarray], held: int, slice_rows: int) -> list[np.ndarray]:
+    """Probabilities that part every fit's ``held``-th part of the rows into slices, from a bounded sample: it decides how even slices are, not what they hold."""
     n = rows.count()
-    slices = -(-n // (slice_rows * max(1, len({f.without for f in fits}))))
+    slices = -(-n // (slice_rows * held))
     if slices <= 1:
-        return [np.empty(0) for _ in fits]
-    drawn = rows.sample(min(1.0, SAMPLE_ROWS / n), 42).select("x", "y", "weight", "fold").limit(2 * SAMPLE_ROWS).toArrow().combine_chunks().to_batches()
+        return [np.empty(0) for _ in coefficients]
+    drawn = rows.select("x", "y", "weight", "fold").sample(min(1.0, SAMPLE_ROWS / n), 42).toArrow().combine_chunks().to_batches()
     if not drawn:
-        return [np.empty(0) for _ in fits]
-    x, _, _, fold = _rows(drawn[0])
-    shares = np.arange(1, slices) / slices
-    held = [_probability(x[fold == fit.without], beta) for fit, beta in zip(fits, coefficients)]
-    return [np.unique(np.quantile(p, shares)) if len(p) else np.empty(0) for p in held]
+        return [np.empty(0) for _ in coefficients]
+    x, shares = _rows(drawn[0])[0], np.arange(1, slices) / slices
+    return [np.unique(np.quantile(_probability(x, beta), shares)) for beta in coefficients]
 
 
-def _send_values(fits: Sequence[Fit], coefficients: Sequence[np.ndarray], cuts: Sequence[np.ndarray], flush_rows: int):
+def _send_values(fits: Sequence[Fit], coefficients: Sequence[np.ndarray], roles: Sequence[str], cuts: Sequence[np.ndarray], flush_rows: int):
+    parts = [(k, role) for k in range(len(fits)) for role in roles]
+
     def sent(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-        made: list[tuple[int, int, int, bytes]] = []
-        for k, parts in enumerate(held):
-            if not parts:
+        made: list[tuple[int, str, int, int, bytes]] = []
+        for (k, role), own in zip(parts, held):
+            if not own:
                 continue
-            values, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-            bad = np.bincount(place, np.concatenate([y for _, y in parts]), len(values)).astype(np.uint32)
+            values, place = np.unique(np.concatenate([p for p, _ in own]), return_inverse=True)
+            bad = np.bincount(place, np.concatenate([y for _, y in own]), len(values)).astype(np.uint32)
             good = (np.bincount(place, minlength=len(values)) - bad).astype(np.uint32)
             ends = [0, *np.searchsorted(values, cuts[k], side="right"), len(values)]
-            made += [(k, i, b - a, pack([values[a:b], good[a:b], bad[a:b]])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-        fit, piece, n, data = zip(*made) if made else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(fit, pa.int32()), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["fit", "slice", "n", "data"])
+            made += [(k, role, i, b - a, pack([values[a:b], good[a:b], bad[a:b]])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        fit, role, piece, n, data = zip(*made)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(fit, pa.int32()), pa.array(role), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
+            names=["fit", "role", "slice", "n", "data"],
+        )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [[] for _ in fits], 0
+        held, n = [[] for _ in parts], 0
         for batch in batches:
             x, y, _, fold = _rows(batch)
-            for k, (fit, beta) in enumerate(zip(fits, coefficients)):
-                own = fold == fit.without
+            for i, (k, role) in enumerate(parts):
+                own = fold == fits[k].without if role == "test" else fold != fits[k].without
                 if own.any():
-                    held[k].append((_probability(x[own], beta), y[own]))
-                    n += len(held[k][-1][0])
+                    held[i].append((_probability(x[own], coefficients[k]), y[own]))
+                    n += len(held[i][-1][0])
             if n >= flush_rows:
                 yield sent(held)
-                held, n = [[] for _ in fits], 0
+                held, n = [[] for _ in parts], 0
         if n:
             yield sent(held)
 
     return send
 
 
-def _slice_wins(table: pa.Table) -> pa.Table:
-    """Of one slice: twice the pairs of a bad and a good row that the bad one wins, ties counted half, its goods and its bads."""
+_COUNTS = pa.schema([("fit", pa.int32()), ("role", pa.string()), ("slice", pa.int32()), ("value", pa.float64()), ("below", pa.int64()), ("good", pa.int64()), ("bad", pa.int64())])
+
+
+def _slice_counts(table: pa.Table) -> pa.Table:
     parts = [unpack(data, n, [np.float64, np.uint32, np.uint32]) for data, n in zip(table["data"].to_pylist(), table["n"].to_pylist())]
     values, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     good, bad = (np.bincount(place, np.concatenate([p[i] for p in parts]), len(values)).astype(np.int64) for i in (1, 2))
-    wins = np.sum(bad * (2 * (np.cumsum(good) - good) + good))
-    told = {"fit": table["fit"][0].as_py(), "slice": table["slice"][0].as_py(), "wins": int(wins), "good": int(good.sum()), "bad": int(bad.sum())}
-    return pa.Table.from_pylist([told], pa.schema([("fit", pa.int32()), ("slice", pa.int32()), ("wins", pa.int64()), ("good", pa.int64()), ("bad", pa.int64())]))
+    same = [pa.array([table[c][0].as_py()] * len(values), _COUNTS.field(c).type) for c in ("fit", "role", "slice")]
+    return pa.Table.from_arrays([*same, pa.array(values), pa.array(np.cumsum(good) - good), pa.array(good), pa.array(bad)], schema=_COUNTS)
+
+
+def scored_counts(
+    rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], roles: Sequence[str] = ("test", "train"), slices: int | None = None,
+    slice_rows: int = SLICE_ROWS, flush_rows: int = FLUSH_ROWS,
+) -> DataFrame:
+    """``(fit, role, slice, value, below, good, bad)``: counts of every fit's probabilities; rows of the fold left out are ``test``.
+
+    ``roles`` names the parts to count, ``slices`` the tasks that add the counts up.  Probabilities are exchanged once, packed with
+    others of their range, the ``slice``; ``below`` are the goods of smaller values in it.
+    """
+    held = 1 if "train" in roles else max(1, len({f.without for f in fits}))
+    cuts = _slice_cuts(rows, coefficients, held, slice_rows)
+    sent = rows.select("x", "y", "weight", "fold").mapInArrow(
+        _send_values(fits, coefficients, roles, cuts, flush_rows), "fit int, role string, slice int, n int, data binary"
+    )
+    if slices:
+        sent = sent.repartition(slices, "fit", "role", "slice")
+    return sent.groupBy("fit", "role", "slice").applyInArrow(_slice_counts, "fit int, role string, slice int, value double, below long, good long, bad long")
 
 
-def left_out_wins(
-    rows: DataFrame, fits: Sequence[Fit], coefficients: Sequence[np.ndarray], slice_rows: int = SLICE_ROWS, flush_rows: int = FLUSH_ROWS
-) -> dict[int, tuple[int, int, int]]:
-    """Per fit whose fold has rows: twice the pairs that its left-out bad rows win, and the numbers of its good and bad rows.
+def slices_won(counts: DataFrame) -> dict[tuple[int, str], tuple[int, int, int]]:
+    """Per fit and role: twice the pairs that bad rows win, ties counted half, and the numbers of good and bad rows.
 
-    Every probability is exchanged once, packed with others of its range; equal ones of a task are one count.  A
-    range returns three numbers, which the driver adds up in order, so nothing is staged.
+    A slice of ``counts`` returns three numbers, which the driver adds up in order, so nothing is staged or exchanged again.
     """
-    cuts = _slice_cuts(rows, fits, coefficients, slice_rows)
-    sent = rows.select("x", "y", "weight", "fold").mapInArrow(_send_values(fits, coefficients, cuts, flush_rows), "fit int, slice int, n int, data binary")
-    told = sent.groupBy("fit", "slice").applyInArrow(_slice_wins, "fit int, slice int, wins long, good long, bad long")
-    with shuffles_released(rows.sparkSession):
-        slices = sorted(told.toArrow().to_pylist(), key=lambda r: (r["fit"], r["slice"]))  # a row per fit and million rows
-    totals: dict[int, tuple[int, int, int]] = {}
-    for r in slices:
-        wins, good, bad = totals.get(r["fit"], (0, 0, 0))
-        totals[r["fit"]] = (wins + r["wins"] + 2 * r["bad"] * good, good + r["good"], bad + r["bad"])
+    wins = F.sum(F.col("bad") * (F.lit(2) * F.col("below") + F.col("good")))
+    told = counts.groupBy("fit", "role", "slice").agg(wins.alias("wins"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    totals: dict[tuple[int, str], tuple[int, int, int]] = {}
+    with shuffles_released(counts.sparkSession):
+        found = told.toArrow().to_pylist()  # a row per million scores
+    for r in sorted(found, key=lambda r: r["slice"]):
+        won, good, bad = totals.get((r["fit"], r["role"]), (0, 0, 0))
+        totals[r["fit"], r["role"]] = (won + r["wins"] + 2 * r["bad"] * good, good + r["good"], bad + r["bad"])
     return totals

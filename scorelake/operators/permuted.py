@@ -28,7 +28,7 @@ from scorelake.operators.trees import Forest, probabilities
 # Executors need no copy of this package: what Python workers run is sent by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_ROWS = 1_000_000  # ranks that are lined up in one task
+SLICE_ROWS = 500_000  # ranks that are lined up in one task
 SLICE_BUCKETS = 16  # buckets of hashes in a slice, about
 FLUSH_ROWS = 500_000  # rows that a task holds before it sends them
 SCORED_ROWS = 65_536  # pairs that are scored together

@@ -69,21 +69,25 @@ def _scored(spark, n=3000):
 
 
 @pytest.mark.parametrize(("slice_rows", "flush_rows"), [(10**6, 10**6), (150, 100), (10, 10**6)])
-def test_left_out_wins_equal_all_pairs(spark, slice_rows, flush_rows):
+def test_slices_win_as_all_pairs_do(spark, slice_rows, flush_rows):
     rows, df = _scored(spark)
     fits = [newton.Fit(without=k) for k in (0, 1, 2)] * 2
     betas = [np.array([-1.0, 0.5, b]) for b in (0.25, 0.25, 0.25, 0.0, 0.0, 0.0)]
-    told = newton.left_out_wins(df, fits, betas, slice_rows, flush_rows)
+    counts = newton.scored_counts(df, fits, betas, ["test"], slice_rows=slice_rows, flush_rows=flush_rows)
+    told = newton.slices_won(counts)
+    assert counts.groupBy("fit", "role", "value").count().filter("count > 1").isEmpty()
     for k, (fit, beta) in enumerate(zip(fits, betas)):
         own = [(-1.0 + beta[1] * x[0] + beta[2] * x[1], y) for x, y, _, fold in rows if fold == fit.without]
         bad, good = (np.array([z for z, y in own if y == c]) for c in (1.0, 0.0))
         wins = 2 * (bad[:, None] > good[None, :]).sum() + (bad[:, None] == good[None, :]).sum()
-        assert told[k] == (wins, len(good), len(bad))
+        assert told[k, "test"] == (wins, len(good), len(bad))
 
 
 def test_a_fit_without_left_out_rows_has_no_wins(spark):
     _, df = _scored(spark, 30)
-    assert set(newton.left_out_wins(df, [newton.Fit(without=0), newton.Fit(without=9)], [np.zeros(3)] * 2)) == {0}
+    counts = newton.scored_counts(df, [newton.Fit(without=0), newton.Fit(without=9)], [np.zeros(3)] * 2)
+    told = newton.slices_won(counts)
+    assert set(told) == {(0, "test"), (0, "train"), (1, "train")} and told[1, "train"][0] == told[1, "train"][1] * told[1, "train"][2]
 
 
 def test_a_search_stages_its_rows_only(spark, monkeypatch):
